@@ -27,18 +27,22 @@ SOURCES = _words(
 )
 
 # White space as browsers understand it (RE2 and Java both read this class).
-SPACE_SET = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE_SET = r"\s\x0B\p{Z}\x{FEFF}"
 SPACE = f"[{SPACE_SET}]"
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 NOT_NEWLINE = r"[^\n\r\x{2028}\x{2029}]"
 
-# Offer kinds, tried in this order on lower-cased text.
+# Offer kinds with a telling word and a pattern, tried in order on lower-cased text.
 OFFER_KINDS = (
-    ("percentage", rf"\d%{SPACE}*off"),
-    ("fixed", r"£\d"),
-    ("free_shipping", rf"free{SPACE}+(delivery|shipping)"),
-    ("bogo", rf"buy{SPACE}+\d+{SPACE}+get"),
+    ("percentage", "%", rf"\d%{SPACE}*off"),
+    ("fixed", "£", r"£\d"),
+    ("free_shipping", "free", rf"free{SPACE}+(delivery|shipping)"),
+    ("bogo", "buy", rf"buy{SPACE}+\d+{SPACE}+get"),
 )
-EXTRA_KIND = ("extra_discount", rf"extra{SPACE}+discount")
+EXTRA_KIND = ("extra_discount", "extra", rf"extra{SPACE}+discount")
 
 # Amounts inside descriptions.
 PERCENT_OFF = rf"(?i)(\d+)%{SPACE}*off"

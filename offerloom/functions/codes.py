@@ -7,12 +7,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerloom.fixed import COMMON_WORDS, EXTRA_STOP_PREFIXES, FEED_COMMON_WORDS, SPACE, SPACE_SET, STOP_PREFIXES
-from offerloom.functions.text import any_of, first_group, trim_all, whole_word
+from offerloom.fixed import (
+    COMMON_WORDS,
+    EXTRA_STOP_PREFIXES,
+    FEED_COMMON_WORDS,
+    SPACE_SET,
+    STOP_PREFIXES,
+)
+from offerloom.functions.text import any_of, let, trim_all, whole_word
 
 TOKEN = whole_word("[A-Z0-9]{3,20}")
 YEAR = r"^20\d{2}\z"
 
+LABELLED_CODE = rf"(?i)(?:code|voucher|promo)[:{SPACE_SET}]+([A-Z0-9]{{3,30}})"
+STANDALONE_CODE = f"({whole_word('[A-Z0-9]{5,20}')})"
+QUOTED_CODE = r"""(?i)["']([A-Z0-9]{3,30})["']"""
+
 
 def norm_code(code: Column) -> Column:
     """Upper case without white space, hyphens and underscores; no code gives ''."""
@@ -20,14 +30,18 @@ def norm_code(code: Column) -> Column:
 
 
 def is_valid_code(code: Column, common_words: Iterable[str] = COMMON_WORDS) -> Column:
-    """3 to 30 characters, a letter, and a digit or at least 6 capitals; no common word, no year."""
+    """3 to 30 characters, a letter, and a digit or at least 6 capitals; no common word, no year.
+
+    Tests that white space around the code cannot change come first and spare most words the trim.
+    """
     word = trim_all(code)
+    has_digit = code.rlike("[0-9]")
     verdict = (
-        F.length(word).between(3, 30)
-        & word.rlike("[A-Za-z]")
-        & (word.rlike("[0-9]") | ((F.length(word) >= 6) & (word == F.upper(word))))
+        ((code == F.upper(code)) | has_digit)
+        & code.rlike("[A-Za-z]")
+        & F.length(word).between(3, 30)
+        & (has_digit | (F.length(word) >= 6))
         & ~F.upper(word).isin(*common_words)
-        & ~word.rlike(YEAR)
     )
     return F.coalesce(verdict, F.lit(False))
 
@@ -58,17 +72,20 @@ def first_candidate_token(text: Column, source: str | None = None) -> Column:
 
 def feed_code(title: Column, description: Column) -> Column:
     """Labelled code, else standalone token, else quoted token; only first matches count."""
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
-    labelled = first_group(text, rf"(?i)(?:code|voucher|promo)[:{SPACE_SET}]+([A-Z0-9]{{3,30}})")
-    standalone = first_group(text, f"({whole_word('[A-Z0-9]{5,20}')})")
-    quoted = first_group(text, r"""(?i)["']([A-Z0-9]{3,30})["']""")
-
-    def usual(word: Column) -> Column:
-        return F.upper(word).isin(*FEED_COMMON_WORDS)
-
-    long_or_digit = standalone.rlike("[0-9]") | (F.length(standalone) >= 6)
-    return F.coalesce(
-        F.when(~usual(labelled), labelled),
-        F.when(~usual(standalone) & long_or_digit, standalone),
-        F.when(~usual(quoted), quoted),
-    )
+    def rare(word: Column) -> Column:
+        return (word != "") & ~F.upper(word).isin(*FEED_COMMON_WORDS)
+
+    def accepted(word: Column) -> Column:
+        return F.when(rare(word), word)
+
+    def accepted_alone(word: Column) -> Column:
+        return F.when((word.rlike("[0-9]") | (F.length(word) >= 6)) & rare(word), word)
+
+    def search(text: Column) -> Column:
+        return F.coalesce(
+            let(F.regexp_extract(text, LABELLED_CODE, 1), accepted),
+            let(F.regexp_extract(text, STANDALONE_CODE, 1), accepted_alone),
+            let(F.regexp_extract(text, QUOTED_CODE, 1), accepted),
+        )
+
+    return let(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))), search)

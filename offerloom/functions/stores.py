@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerloom import fixed
-from offerloom.functions.text import any_of, first_group, title_words, trim_all, whole_word
+from offerloom.functions.text import any_of, first_group, let, title_words, trim_all, whole_word
 
 UNKNOWN = "Unknown"
 UNKNOWN_DOMAIN = "unknown.co.uk"
@@ -18,19 +18,23 @@ def _words(text: Column) -> Column:
 
 def clean_store_name(name: Column) -> Column:
     """At most three words before the first word that belongs to a description."""
-    text = F.regexp_replace(F.regexp_replace(name, r"\]\]>", ""), r"(?i)<!\[CDATA\[", "")
-    text = trim_all(text)
-    ending = whole_word(any_of(fixed.NAME_ENDINGS))
-    before = F.regexp_extract(text, f"(?is)^(.*?){ending}", 1)
-    text = F.when(before != "", trim_all(before)).otherwise(text)
-    text = trim_all(F.regexp_replace(text, rf"[,;:{fixed.SPACE_SET}]+\z", ""))
-    words = F.transform(
-        F.slice(_words(text), 1, 3),
-        lambda word: F.regexp_replace(word, r"^[,;:!?()]+|[,;:!?()]+\z", ""),
-    )
-    words = F.filter(words, lambda word: word != "")
-    named = F.exists(words, lambda word: ~F.lower(word).isin(*fixed.GENERIC_NAMES))
-    return F.when(named, F.array_join(words, " ")).otherwise(F.lit(UNKNOWN))
+    text = F.regexp_replace(F.replace(name, F.lit("]]>"), F.lit("")), r"(?i)<!\[CDATA\[", "")
+
+    def before_description(whole: Column) -> Column:
+        before = first_group(whole, f"(?is)^(.+?){whole_word(any_of(fixed.NAME_ENDINGS))}")
+        opens = whole.rlike(f"(?i)^{whole_word(any_of(fixed.NAME_ENDINGS))}")
+        return F.when(opens, whole).otherwise(F.coalesce(trim_all(before), whole))
+
+    def three_words(cut: Column) -> Column:
+        words = F.slice(_words(F.regexp_replace(cut, rf"[,;:{fixed.SPACE_SET}]+\z", "")), 1, 3)
+        bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[,;:!?()]+|[,;:!?()]+\z", ""))
+        return F.filter(bare, lambda w: w != "")
+
+    def named(words: Column) -> Column:
+        own = F.exists(words, lambda w: ~F.lower(w).isin(*fixed.GENERIC_NAMES))
+        return F.when(own, F.array_join(words, " ")).otherwise(F.lit(UNKNOWN))
+
+    return let(three_words(let(trim_all(text), before_description)), named)
 
 
 def name_in_text(text: Column) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerloom.fixed import SPACE
+from offerloom.fixed import SPACE, SPACE_CHARS
 
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -25,13 +25,18 @@ def whole_word(pattern: str) -> str:
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse_space(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", " ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -56,3 +61,18 @@ def title_words(text: Column) -> Column:
 
 def round_half_up(number: Column) -> Column:
     return F.floor(number + F.lit(0.5))
+
+
+def literal_map(table: Mapping[str, str]) -> Column:
+    """A small fixed table as one map literal."""
+    return F.expr(f"map({', '.join(_sql_text(item) for pair in table.items() for item in pair)})")
+
+
+def literal_pairs(pairs: Iterable[tuple[str, str]]) -> Column:
+    """A small fixed list as one array literal of (key, value)."""
+    rows = (f"named_struct('key', {_sql_text(k)}, 'value', {_sql_text(v)})" for k, v in pairs)
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -70,18 +70,16 @@ def first_per_key(keyed: DataFrame) -> DataFrame:
 
 
 def _new_offer(now: Column, intended: bool) -> dict[str, Column]:
-    """Registry columns of an offer seen for the first time."""
-    entry = F.col("i.entry")
-    description = clean_description(entry["description"], intended)
-    kind = F.when(entry["type"] == "unknown", offer_type(description)).otherwise(entry["type"])
+    """Registry columns of an offer seen for the first time; ``_text`` and ``_kind`` are set."""
+    entry, text, kind = F.col("i.entry"), F.col("_text"), F.col("_kind")
     source = F.coalesce(blank_to_null(entry["source"]), F.lit(UNKNOWN_SOURCE))
     return {
         "dup_no": F.lit(0),
         "code": F.col("i.norm_code"),
-        "description": description,
+        "description": text,
         "type": kind,
-        "value": F.coalesce(F.nullif(entry["value"], F.lit(0.0)), offer_value(description, kind, intended)),
-        "min_spend": F.coalesce(F.nullif(entry["min_spend"], F.lit(0.0)), min_spend(description)),
+        "value": F.coalesce(F.nullif(entry["value"], F.lit(0.0)), offer_value(text, kind, intended)),
+        "min_spend": F.coalesce(F.nullif(entry["min_spend"], F.lit(0.0)), min_spend(text)),
         "expiry": blank_to_null(entry["expiry"]).try_cast("date"),
         "source": source,
         "sources": union_provenance(F.array(source), F.col("i.found_by")),
@@ -134,7 +132,13 @@ def upsert(registry: DataFrame, incoming: DataFrame, now: Column, intended: bool
         else:
             value = F.when(is_new, fresh[name]).otherwise(kept.get(name, F.col(f"r.{name}")))
         columns.append(value.cast(field.dataType).alias(name))
-    return known.join(firsts, same, "full_outer").select(
+    entry = F.col("i.entry")
+    joined = known.join(firsts, same, "full_outer")
+    # Separate projections, so that each text rule runs once per new offer.
+    joined = joined.withColumn("_text", F.when(is_new, clean_description(entry["description"], intended)))
+    inferred = F.when(entry["type"] == "unknown", offer_type(F.col("_text"))).otherwise(entry["type"])
+    joined = joined.withColumn("_kind", F.when(is_new, inferred))
+    return joined.select(
         *columns, is_new.alias("is_new"), F.coalesce("i.rows", F.lit(0)).alias("rows")
     )
 

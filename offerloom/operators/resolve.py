@@ -19,7 +19,7 @@ from offerloom.functions.stores import (
     name_in_text,
     strip_slug_suffix,
 )
-from offerloom.functions.text import title_words, trim_all
+from offerloom.functions.text import let, literal_map, literal_pairs, title_words, trim_all
 
 #: Sources whose pages belong to no single store.
 MIXED_SOURCES = ("latestdeals", "moneysavingexpert")
@@ -28,38 +28,35 @@ NO_STORE = "Various"
 
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
     """Exact lookup in a small literal table; null when absent."""
-    literals = [F.lit(item) for pair in table.items() for item in pair]
-    return F.try_element_at(F.create_map(*literals), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def first_contained(text: Column, table: Mapping[str, str], both_ways: bool = False) -> Column:
-    """Entry (key, domain) of the first table key that occurs in ``text``, or null.
+    """Entry (key, value) of the first table key that occurs in ``text``, or null.
 
     With ``both_ways`` a key that contains the whole text counts as well.
     """
-    entries = F.array(
-        *(F.struct(F.lit(k).alias("key"), F.lit(v).alias("domain")) for k, v in table.items())
-    )
-
-    def hit(entry: Column) -> Column:
+    def hit(entry: Column, text: Column) -> Column:
         inside = F.contains(text, entry["key"])
         return inside | F.contains(entry["key"], text) if both_ways else inside
 
-    return F.get(F.filter(entries, hit), F.lit(0))
+    entries = literal_pairs(table.items())
+    return let(text, lambda t: F.get(F.filter(entries, lambda entry: hit(entry, t)), F.lit(0)))
 
 
 def resolve_domain_feed(offers: DataFrame, table: Mapping[str, str] = STORE_TABLES["hotukdeals"]) -> DataFrame:
     """Exact name, else first table key inside the name or around it, else a generated domain."""
-    name = trim_all(F.lower(F.col("store_name")))
+    name = F.col("_name")
     unnamed = F.coalesce(F.col("store_name").isin("", UNKNOWN), F.lit(True))
     domain = F.when(unnamed, F.lit(UNKNOWN_DOMAIN)).otherwise(
         F.coalesce(
             lookup(name, table),
-            first_contained(name, table, both_ways=True)["domain"],
+            first_contained(name, table, both_ways=True)["value"],
             generated_domain(F.col("store_name")),
         )
     )
-    return offers.withColumn("store_domain", domain)
+    named = offers.withColumn("_name", trim_all(F.lower(F.col("store_name"))))
+    return named.withColumn("store_domain", domain).drop("_name")
 
 
 def _slug_domain(source: str) -> Column:
@@ -104,8 +101,8 @@ def resolve_domain_text(offers: DataFrame) -> DataFrame:
         source == MIXED_SOURCES[1], F.coalesce(title_words(by_text["key"]), F.lit(NO_STORE))
     )
     mixed_domain = F.when(
-        source == MIXED_SOURCES[0], F.coalesce(by_name["domain"], F.lit(UNKNOWN_DOMAIN))
-    ).when(source == MIXED_SOURCES[1], F.coalesce(by_text["domain"], F.lit(UNKNOWN_DOMAIN)))
+        source == MIXED_SOURCES[0], F.coalesce(by_name["value"], F.lit(UNKNOWN_DOMAIN))
+    ).when(source == MIXED_SOURCES[1], F.coalesce(by_text["value"], F.lit(UNKNOWN_DOMAIN)))
     return offers.withColumns(
         {
             "store_name": F.coalesce(mixed_name, F.col("store_name")),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.fixed import FALLBACK_SLUGS
-from offerloom.functions.text import first_group
+from offerloom.functions.text import first_group, literal_map
 from offerloom.sources.profiles import DISCOVERY, PAGED_URL, URL_TEMPLATES, Discovery
 
 
@@ -73,8 +73,7 @@ def fallback_slugs(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
 
 def crawl_frontier(slugs: DataFrame, templates: dict[str, str] = URL_TEMPLATES) -> DataFrame:
     """Page address of every slug."""
-    literals = [F.lit(item) for pair in templates.items() for item in pair]
-    template = F.try_element_at(F.create_map(*literals), F.col("source"))
+    template = F.try_element_at(literal_map(templates), F.col("source"))
     return slugs.withColumn("url", F.replace(template, F.lit("{slug}"), F.col("slug")))
 
 

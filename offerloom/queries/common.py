@@ -92,7 +92,7 @@ def sql_clean(plain: str) -> str:
 
 def sql_type(text: str, extra: bool = False) -> str:
     kinds = fixed.OFFER_KINDS[:-1] + (fixed.EXTRA_KIND,) if extra else fixed.OFFER_KINDS
-    arms = " ".join(f"WHEN regexp_matches(lower({text}), '{pattern}') THEN '{kind}'" for kind, pattern in kinds)
+    arms = " ".join(f"WHEN regexp_matches(lower({text}), '{pattern}') THEN '{kind}'" for kind, _, pattern in kinds)
     return f"CASE {arms} ELSE 'unknown' END"
 
 

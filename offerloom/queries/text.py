@@ -103,12 +103,12 @@ def value_min_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", clean_description(offer_text(), intended=True).alias("text")
     )
-    kind = offer_type(F.col("text"))
     return (
-        described.select(
+        described.withColumn("kind", offer_type(F.col("text")))
+        .select(
             "l_returnflag",
-            kind.alias("kind"),
-            offer_value(F.col("text"), kind).alias("value"),
+            "kind",
+            offer_value(F.col("text"), F.col("kind")).alias("value"),
             min_spend(F.col("text")).alias("spend"),
         )
         .groupBy("l_returnflag", "kind")
@@ -324,7 +324,7 @@ NAME_TABLE = {"wid": "wid.example", "blue": "blue.example", "o": "o.example", "s
 
 def domains_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = first_contained(F.col("p_name"), NAME_TABLE, both_ways=True)
-    rows = table(spark, sf_dir, "part").select("p_name", F.coalesce(hit["domain"], F.lit("unknown.co.uk")).alias("domain"))
+    rows = table(spark, sf_dir, "part").select("p_name", F.coalesce(hit["value"], F.lit("unknown.co.uk")).alias("domain"))
     return rows.groupBy("p_name", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
