@@ -50,23 +50,39 @@ def stop_prefixes(source: str | None) -> tuple[str, ...]:
     return STOP_PREFIXES + EXTRA_STOP_PREFIXES.get(source or "", ())
 
 
-def is_candidate_token(token: Column, source: str | None = None) -> Column:
-    """A card token that may be a code: not opening with a stop word, even inside a longer word."""
-    return (
+def is_candidate_token(token: Column, source: Column | str | None = None) -> Column:
+    """A card token that may be a code: not opening with a stop word, even inside a longer word.
+
+    ``source`` adds the stop words of a source; as a column it picks them row by row.
+    """
+
+    def opens_with(prefixes: Iterable[str]) -> Column:
+        return token.rlike(f"^(?:{any_of(prefixes)})")
+
+    usable = (
         token.rlike("[A-Z]")
         & (token.rlike("[0-9]") | (F.length(token) >= 6))
-        & ~token.rlike(f"^(?:{any_of(stop_prefixes(source))})")
+        & ~opens_with(STOP_PREFIXES)
         & ~token.rlike(YEAR)
     )
-
-
-def candidate_tokens(text: Column, source: str | None = None) -> Column:
+    if source is None:
+        return usable
+    if isinstance(source, str):
+        extra = EXTRA_STOP_PREFIXES.get(source)
+        return usable & ~opens_with(extra) if extra else usable
+    for extra in dict.fromkeys(EXTRA_STOP_PREFIXES.values()):
+        named = [name for name, words in EXTRA_STOP_PREFIXES.items() if words == extra]
+        usable = usable & ~(source.isin(*named) & opens_with(extra))
+    return usable
+
+
+def candidate_tokens(text: Column, source: Column | str | None = None) -> Column:
     """Every candidate token of a text, in order."""
     tokens = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
     return F.filter(tokens, lambda token: is_candidate_token(token, source))
 
 
-def first_candidate_token(text: Column, source: str | None = None) -> Column:
+def first_candidate_token(text: Column, source: Column | str | None = None) -> Column:
     return F.get(candidate_tokens(text, source), F.lit(0))
 
 

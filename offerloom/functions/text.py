@@ -63,6 +63,15 @@ def round_half_up(number: Column) -> Column:
     return F.floor(number + F.lit(0.5))
 
 
+def present(value: Column) -> Column:
+    """Generator that keeps rows with a value.
+
+    A filter on a computed column is pushed below the projection and computes it again; a generator
+    computes it once.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def literal_map(table: Mapping[str, str]) -> Column:
     """A small fixed table as one map literal."""
     return F.expr(f"map({', '.join(_sql_text(item) for pair in table.items() for item in pair)})")

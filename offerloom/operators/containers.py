@@ -90,10 +90,12 @@ class _Outline(HTMLParser):
         self._size += len(data)
 
     def matches(self, node: int, selector: Selector) -> bool:
-        css = self.attrs[node].get("class", "")
-        return self.tag[node] in selector.tags or any(part in css for part in selector.classes)
+        css = self.attrs[node].get("class")
+        return self.tag[node] in selector.tags or bool(css and any(part in css for part in selector.classes))
 
     def all(self, selector: Selector) -> list[int]:
+        if not (selector.tags or selector.classes):
+            return []
         return [node for node in range(1, len(self.tag)) if self.matches(node, selector)]
 
     def content(self, node: int) -> str:
@@ -124,20 +126,20 @@ def _page_rows(html: str, profile: PageProfile) -> Iterator[tuple]:
         return heading, title, kind, node, attrs, text, page.first_inside(scope, notes)
 
     yield row("page", 0, {}, None, None)
-    for node in range(1, len(page.tag)):
-        named = {name: page.attrs[node][name] for name in profile.attributes if name in page.attrs[node]}
-        if named:
-            yield row("attribute", node, named, None, page.closest(node, profile.attribute_card))
-        if page.matches(node, profile.card):
-            yield row("card", node, {}, page.content(node), node)
-        if page.matches(node, profile.button):
-            scope = page.closest(node, profile.button_card)
-            yield row("button", node, {}, page.content(node), scope)
-        if page.matches(node, profile.sibling):
-            parent = page.parent[node]
-            spans = [n for n in range(parent + 1, page.last[parent]) if page.tag[n] == "span"]
-            text = page.content(spans[-1]) if spans else ""
-            yield row("sibling", node, {}, text, max(page.parent[parent], 0))
+    if profile.attributes:
+        for node, attrs in enumerate(page.attrs):
+            named = {name: attrs[name] for name in profile.attributes if name in attrs} if attrs else None
+            if named:
+                yield row("attribute", node, named, None, page.closest(node, profile.attribute_card))
+    for node in page.all(profile.card):
+        yield row("card", node, {}, page.content(node), node)
+    for node in page.all(profile.button):
+        yield row("button", node, {}, page.content(node), page.closest(node, profile.button_card))
+    for node in page.all(profile.sibling):
+        parent = page.parent[node]
+        spans = [n for n in range(parent + 1, page.last[parent]) if page.tag[n] == "span"]
+        text = page.content(spans[-1]) if spans else ""
+        yield row("sibling", node, {}, text, max(page.parent[parent], 0))
 
 
 def page_elements(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> DataFrame:

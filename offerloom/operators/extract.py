@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.functions.codes import feed_code, first_candidate_token, is_valid_code
 from offerloom.functions.descriptions import DESCRIPTION_CHARS, feed_description, offer_type
 from offerloom.functions.stores import clean_heading, feed_store, slug_to_name
-from offerloom.functions.text import blank_to_null, collapse_space, trim_all
+from offerloom.functions.text import blank_to_null, collapse_space, let, present, trim_all
 from offerloom.operators.containers import page_elements
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.resolve import (
@@ -108,13 +108,13 @@ def extract_feed_offers(items: DataFrame, source: str = "hotukdeals") -> DataFra
         F.lit(SOURCE_RANK[source]).alias("source_rank"),
         F.lit("").alias("page_key"),
         F.col("item_no").alias("pos"),
-        feed_code(F.col("title"), F.col("description")).alias("code"),
+        present(feed_code(F.col("title"), F.col("description"))).alias("code"),
         feed_store(F.col("title"), F.col("link")).alias("store_name"),
         feed_description(F.col("title")).alias("description"),
         offer_type(F.col("title")).alias("type"),
         F.lit(source).alias("source"),
         F.col("link").alias("url"),
-    ).filter(F.col("code").isNotNull())
+    )
     return as_raw_offers(resolve_domain_feed(found))
 
 
@@ -179,18 +179,19 @@ def element_code(sources: list[str], profiles: dict[str, PageProfile]) -> Column
     sibling = F.length(label).between(2, 25) & ~unwanted & label.rlike("[0-9]")
     return (
         F.when(F.col("kind") == "attribute", trim_all(_per_source(sources, attribute)))
-        .when(
-            F.col("kind") == "card",
-            _per_source(sources, lambda source: first_candidate_token(text, source)),
-        )
+        .when(F.col("kind") == "card", first_candidate_token(text, F.col("source")))
         .when((F.col("kind") == "button") & label.rlike(r"\A[A-Za-z0-9]{3,25}\z"), label)
         .when((F.col("kind") == "sibling") & sibling, label)
     )
 
 
 def dedupe_page(offers: DataFrame) -> DataFrame:
-    """First row of every code on a page; attribute rows come before text rows."""
-    return first_rows(offers, ["source", "url", "code"], [F.col("pos")])
+    """First row of every code on a page; attribute rows come before text rows.
+
+    The sibling form keeps repeats, so there the position is part of the key.
+    """
+    repeat = F.when(F.col("kind") == "sibling", F.col("pos"))
+    return first_rows(offers.withColumn("_repeat", repeat), ["source", "url", "code", "_repeat"], [F.col("pos")])
 
 
 def extract_page_offers(
@@ -199,12 +200,14 @@ def extract_page_offers(
     """Offers and error rows of stored pages (source, url, slug, html)."""
     sources = list(profiles)
     elements, errors = split_blocked_pages(page_elements(captures, profiles), profiles)
+
+    def usable(code: Column) -> Column:
+        return F.when((F.col("kind") == "sibling") | is_valid_code(code), code)
+
     second_pass = F.when(F.col("kind") == "attribute", F.lit(0)).otherwise(F.lit(1))
     found = (
         elements.filter(F.col("kind") != "page")
-        .withColumn("code", element_code(sources, profiles))
-        .filter(F.col("code").isNotNull())
-        .filter((F.col("kind") == "sibling") | is_valid_code(F.col("code")))
+        .withColumn("code", present(let(element_code(sources, profiles), usable)))
         .select(
             _per_source(sources, lambda source: F.lit(SOURCE_RANK.get(source, len(SOURCE_RANK)))).alias("source_rank"),
             F.coalesce("slug", F.lit("")).alias("page_key"),
@@ -218,7 +221,5 @@ def extract_page_offers(
             F.col("kind"),
         )
     )
-    repeated = F.col("kind") == "sibling"
-    offers = dedupe_page(found.filter(~repeated)).unionByName(found.filter(repeated))
-    offers = offers.withColumn("type", offer_type(F.col("description")))
+    offers = dedupe_page(found).withColumn("type", offer_type(F.col("description")))
     return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers))), errors

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.codes import first_candidate_token
 from offerloom.functions.stores import host_of, slug_to_name
-from offerloom.functions.text import trim_all
+from offerloom.functions.text import present, trim_all
 from offerloom.operators.containers import page_elements
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.extract import extract_page_offers, split_blocked_pages
@@ -42,9 +42,9 @@ def container_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First passing token of every article and list item, first row per page and code."""
     cards = page_elements(web_captures(spark, sf_dir), WEB).filter(F.col("kind") == "card")
     found = cards.select(
-        "source", "url", "pos", first_candidate_token(F.col("text")).alias("code"),
+        "source", "url", "pos", present(first_candidate_token(F.col("text"))).alias("code"),
         F.left(trim_all(F.col("description")), F.lit(200)).alias("description"),
-    ).filter(F.col("code").isNotNull())
+    )
     return first_rows(found, ["source", "url", "code"], [F.col("pos")]).select("url", "code", "description")
 
 
@@ -162,8 +162,8 @@ LAST_SEGMENT = r"/([^/?#]+)\z"
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    found = table(spark, sf_dir, "pages").select(host_of(url).alias("host"), slug_in(url, LAST_SEGMENT).alias("slug"))
-    return found.filter(F.col("slug").isNotNull()).distinct()
+    found = table(spark, sf_dir, "pages").select(host_of(url).alias("host"), present(slug_in(url, LAST_SEGMENT)).alias("slug"))
+    return found.distinct()
 
 
 SLUGS = f"""

@@ -14,6 +14,7 @@ from offerloom.functions.descriptions import (
     offer_type,
     offer_value,
 )
+from offerloom.functions.text import let, present
 from offerloom.operators.extract import extract_feed_offers, extract_markdown_offers, line_blocks
 from offerloom.operators.resolve import first_contained, resolve_domain_slug
 from offerloom.queries.common import (
@@ -35,9 +36,9 @@ from offerloom.queries.common import (
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = candidate_tokens(F.col("text"))
-    found = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
-    return found.filter(F.size("tokens") > 0).select(
+    tokens = let(candidate_tokens(F.col("text")), lambda found: F.when(F.size(found) > 0, found))
+    found = table(spark, sf_dir, "documents").select("doc_id", present(tokens).alias("tokens"))
+    return found.select(
         "doc_id",
         F.get("tokens", F.lit(0)).alias("first_token"),
         F.size("tokens").cast("long").alias("n_tokens"),
@@ -171,9 +172,7 @@ def feed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = F.substring_index("text", "\n", 1)
     rest = F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)")
-    return (
-        docs.select("doc_id", feed_code(cut, rest).alias("code")).filter(F.col("code").isNotNull())
-    )
+    return docs.select("doc_id", present(feed_code(cut, rest)).alias("code"))
 
 
 _COMMON = quoted(fixed.FEED_COMMON_WORDS)
