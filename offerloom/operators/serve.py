@@ -14,7 +14,7 @@ from offerloom.functions.text import blank_to_null
 from offerloom.operators.contains import salted_lookup, substrings
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.ranking import with_position
-from offerloom.session import GROUP_ROWS
+from offerloom.session import GROUP_ROWS, durable
 
 EXACT, WWW, CO_UK, PARTIAL, PRIORITY, POOL = 1, 2, 3, 4, 5, 6
 
@@ -106,7 +106,8 @@ def match_store(
 ) -> DataFrame:
     """Store of every distinct host: (host, tier, domain, pool, name); unmatched hosts are absent.
 
-    Equality tiers are hash joins; only hosts they leave over go to the containment tiers.
+    Equality tiers are hash joins; only hosts they leave over go to the containment tiers.  The
+    answer of the equality tiers is kept, as it is read once for its matches and twice for the rest.
     """
     hosts = hosts.select("host").distinct()
     spelled = hosts.select(
@@ -120,19 +121,25 @@ def match_store(
             )
         ),
     )
+    known = stores.select("domain", F.lit(True).alias("known"))
     # Within the second tier the spelling without www. goes first; it is the shorter one.
-    equal = (
-        spelled.join(stores.select("domain"), "domain")
+    spelling = F.struct("tier", F.length("domain").alias("size"), "domain")
+    tried = durable(
+        spelled.join(known, "domain", "left")
         .groupBy("host")
-        .agg(F.min(F.struct("tier", F.length("domain").alias("size"), "domain")).alias("m"))
+        .agg(F.min(F.when(F.col("known"), spelling)).alias("m"))
         .select("host", "m.tier", "m.domain")
     )
-    rest = hosts.join(equal, "host", "left_anti")
-    partial = _partial_matches(rest, stores)
-    last = rest.join(partial, "host", "left_anti")
+    equal = tried.filter(F.col("tier").isNotNull())
+    rest = tried.filter(F.col("tier").isNull()).select("host")
     stocked = stores.select("domain").join(offers.select("domain").distinct(), "domain", "left_semi")
-    fallback = _priority_matches(last, stores, stocked, priority)
-    matched = equal.unionByName(partial).unionByName(fallback, allowMissingColumns=True)
+    others = _partial_matches(rest, stores).unionByName(
+        _priority_matches(rest, stores, stocked, priority), allowMissingColumns=True
+    )
+    first = others.groupBy("host").agg(F.min(F.struct("tier", "domain", "pool")).alias("m"))
+    matched = equal.unionByName(
+        first.select("host", "m.tier", "m.domain", "m.pool"), allowMissingColumns=True
+    )
     names = stores.select("domain", "name")
     return matched.join(names, "domain", "left").select(
         "host",

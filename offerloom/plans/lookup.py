@@ -13,13 +13,14 @@ from offerloom.operators.serve import (
     store_rollup,
     visible_offers,
 )
+from offerloom.session import durable
 
 
 def lookup_hosts(
     hosts: DataFrame, stores: DataFrame, offers: DataFrame, hidden: DataFrame, asof: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matched hosts, ranked cards of the matched stores, and one header row per store."""
-    matched = match_store(hosts, stores, offers)
+    matched = durable(match_store(hosts, stores, offers))
     wanted = matched.select("domain").distinct()
     served = offers.join(wanted, "domain", "left_semi")
     visible = visible_offers(served, hidden)

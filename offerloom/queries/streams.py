@@ -1 +1,158 @@
-QUERIES, SQL = {}, {}
+"""The event table replayed as a stream through every streaming job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerloom.operators.extract import as_raw_offers
+from offerloom.queries.common import sql_stamp, stamp, table
+from offerloom.queries.registry import (
+    EVENTS_K,
+    REPORTED_REMOVED,
+    event_registry,
+)
+from offerloom.schemas import OFFER
+from offerloom.session import work_path
+from offerloom.sources.registry import empty_registry, read_registry_table, write_registry_table
+from offerloom.sources.reports import parse_reports
+from offerloom.streaming.jobs import (
+    drain,
+    latest_tests,
+    stream_dedupe,
+    stream_expire,
+    stream_outcomes,
+    stream_reports,
+    stream_tests,
+    stream_upsert,
+    to_changes,
+    to_table,
+)
+
+NOW = "2024-02-01 00:00:00"
+GAP_DAYS = 2
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream, with the number inside the properties."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.select(
+        "event_id", "user_id", "event_type", "value",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.get_json_object("props", "$.k").alias("k"),
+        F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string"), F.lit(".example.com")).alias("domain"),
+    )
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming = as_raw_offers(
+        event_stream(spark, sf_dir).select(
+            F.lit(0).alias("source_rank"), F.lit("").alias("page_key"), F.col("event_id").alias("pos"), F.col("k").alias("code"),
+            F.col("domain").alias("store_name"), F.col("domain").alias("store_domain"), F.lit("5% off all of it").alias("description"),
+            F.lit("unknown").alias("type"), F.col("event_type").alias("source"),
+        )
+    )
+    base = work_path(spark, "stream-registry")
+    drain(stream_upsert(incoming, f"{base}/registry", f"{base}/checkpoint", F.lit(NOW)))
+    offers, _ = read_registry_table(spark, f"{base}/registry")
+    return offers.select("domain", "code", "type", "source", F.array_join("sources", "|").alias("sources"), F.col("ord.pos").alias("pos"))
+
+
+UPSERTED = f"""
+WITH e AS (SELECT 's' || (user_id % 10) || '.example.com' AS domain, CAST(k AS VARCHAR) AS code, event_type, event_id FROM {EVENTS_K}),
+     t AS (SELECT domain, code, event_type, min(event_id) AS first FROM e GROUP BY 1, 2, 3)
+SELECT domain, code, 'percentage' AS type, arg_min(event_type, first) AS source,
+       array_to_string(list(event_type ORDER BY first), '|') AS sources, min(first) AS pos FROM t GROUP BY 1, 2
+"""
+
+
+def day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = event_stream(spark, sf_dir).select("ts", F.col("domain").alias("code"), F.col("event_type").alias("status"))
+    path = work_path(spark, "stream-outcomes")
+    drain(to_table(stream_outcomes(attempts), path))
+    return spark.read.parquet(f"{path}/data").select(stamp(F.col("day")).alias("day"), "code", "status", "n")
+
+
+DAY_COUNTS = f"""
+WITH e AS (SELECT date_trunc('day', ts) AS day, 's' || (user_id % 10) || '.example.com' AS code, event_type AS status FROM events)
+SELECT {sql_stamp('CAST(day AS TIMESTAMP)')} AS day, code, status, count(*) AS n FROM e
+WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL
+"""
+
+
+def running_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", F.lit("success")).otherwise(F.lit("failure"))
+    attempts = event_stream(spark, sf_dir).select("domain", F.col("k").alias("code"), status.alias("status"))
+    path = work_path(spark, "stream-tests")
+    drain(to_changes(stream_tests(attempts), path))
+    return latest_tests(spark, path)
+
+
+RUNNING_TESTS = f"""
+SELECT 's' || (user_id % 10) || '.example.com' AS domain, CAST(k AS VARCHAR) AS code, count(*) AS total,
+       count(*) FILTER (WHERE event_type = 'purchase') AS worked FROM {EVENTS_K} GROUP BY 1, 2
+"""
+
+
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offers = event_stream(spark, sf_dir).select("ts", "domain", F.concat(F.lit("k-"), "k").alias("code"))
+    path = work_path(spark, "stream-dedupe")
+    drain(to_table(stream_dedupe(offers), path))
+    return spark.read.parquet(f"{path}/data").select("domain", "norm_code")
+
+
+DEDUPED = f"SELECT DISTINCT 's' || (user_id % 10) || '.example.com' AS domain, 'K' || k AS norm_code FROM {EVENTS_K}"
+
+
+def reports_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = work_path(spark, "stream-reports")
+    _, stores = empty_registry(spark)
+    offers = event_registry(spark, sf_dir).withColumn("dup_no", F.lit(0))
+    nothing = spark.createDataFrame([], OFFER)
+    write_registry_table(nothing.unionByName(offers, allowMissingColumns=True), stores, f"{base}/registry", 0)
+    errors = event_stream(spark, sf_dir).filter(F.col("event_type") == "error")
+    titles = errors.select(
+        F.col("event_id").alias("report_id"),
+        F.concat(F.lit("Code failed: "), "k", F.lit(" @ s"), F.col("user_id").cast("string"), F.lit(".example.org")).alias("title"),
+    )
+    drain(stream_reports(parse_reports(titles), f"{base}/registry", f"{base}/checkpoint"))
+    left, _ = read_registry_table(spark, f"{base}/registry")
+    return left.select("domain", "norm_code")
+
+
+def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sightings = event_stream(spark, sf_dir).select("ts", "domain", F.col("k").alias("code"))
+    path = work_path(spark, "stream-expire")
+    drain(to_table(stream_expire(sightings, days=GAP_DAYS), path))
+    return spark.read.parquet(f"{path}/data").select(
+        "domain", "code", stamp(F.col("last_seen")).alias("last_seen"), stamp(F.col("expired_at")).alias("expired_at"), "sightings"
+    )
+
+
+EXPIRED = f"""
+WITH e AS (SELECT 's' || (user_id % 10) || '.example.com' AS domain, CAST(k AS VARCHAR) AS code, ts FROM {EVENTS_K}),
+     g AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY domain, code ORDER BY ts) + INTERVAL {GAP_DAYS} DAY AS gap FROM e),
+     r AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY domain, code ORDER BY ts) AS run FROM g),
+     s AS (SELECT domain, code, run, max(ts) AS last_seen, count(*) AS sightings FROM r GROUP BY 1, 2, 3)
+SELECT domain, code, {sql_stamp('last_seen')} AS last_seen, {sql_stamp(f'last_seen + INTERVAL {GAP_DAYS} DAY')} AS expired_at, sightings
+FROM s WHERE last_seen + INTERVAL {GAP_DAYS} DAY <= (SELECT max(ts) FROM events)
+"""
+
+QUERIES = {
+    "q_stream_upsert": upserted,
+    "q_stream_outcomes": day_counts,
+    "q_stream_tests": running_tests,
+    "q_stream_dedupe": deduped,
+    "q_stream_reports": reports_applied,
+    "q_stream_expire": expired,
+}
+
+SQL = {
+    "q_stream_upsert": UPSERTED,
+    "q_stream_outcomes": DAY_COUNTS,
+    "q_stream_tests": RUNNING_TESTS,
+    "q_stream_dedupe": DEDUPED,
+    "q_stream_reports": REPORTED_REMOVED,
+    "q_stream_expire": EXPIRED,
+}

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from offerloom.functions.codes import norm_code
 from offerloom.operators.lifecycle import RETENTION_DAYS, remove_reported
 from offerloom.operators.merge import merge_offers, store_upsert
-from offerloom.sources.registry import read_registry_table, snapshots, write_registry_table
+from offerloom.sources.registry import read_registry_table, write_registry_table
 
 
 def drain(query: StreamingQuery) -> None:
@@ -37,15 +37,18 @@ def to_table(stream: DataFrame, path: str, mode: str = "append") -> StreamingQue
 def stream_upsert(
     incoming: DataFrame, base: str, checkpoint: str, now: Column | None = None
 ) -> StreamingQuery:
-    """Merge every micro-batch of raw offers into the registry below ``base``."""
+    """Merge every micro-batch of raw offers into the registry below ``base``.
+
+    Batch ``n`` reads the newest snapshot up to ``n`` and writes snapshot ``n + 1``; snapshot 0, if
+    there is one, is the registry to start from.
+    """
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         moment = F.current_timestamp() if now is None else now
-        registry, stores = read_registry_table(spark, base, below=number)
-        write_registry_table(
-            merge_offers(registry, batch, moment), store_upsert(stores, batch, moment), base, number
-        )
+        registry, stores = read_registry_table(spark, base, below=number + 1)
+        merged = merge_offers(registry, batch, moment)
+        write_registry_table(merged, store_upsert(stores, batch, moment), base, number + 1)
 
     return (
         incoming.writeStream.foreachBatch(merge_batch)
@@ -55,21 +58,15 @@ def stream_upsert(
     )
 
 
-def stream_reports(
-    reports: DataFrame, base: str, accumulated: str, checkpoint: str
-) -> StreamingQuery:
-    """Remove reported offers as reports arrive; ``accumulated`` keeps all reports seen so far.
+def stream_reports(reports: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
+    """Remove reported offers as reports arrive, one snapshot per micro-batch.
 
-    Only the reports of the batch are needed on the snapshot before it, since earlier ones were
-    applied there; the accumulated set is what a later full reload would apply.
+    Earlier reports were applied to the snapshot a batch starts from, so only its own are needed.
     """
 
     def apply_batch(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{accumulated}/batch={number}")
-        registry, stores = read_registry_table(spark, base, below=number + 1)
-        fresh = spark.read.parquet(f"{accumulated}/batch={number}")
-        write_registry_table(remove_reported(registry, fresh), stores, base, number + 1)
+        registry, stores = read_registry_table(batch.sparkSession, base, below=number + 1)
+        write_registry_table(remove_reported(registry, batch), stores, base, number + 1)
 
     return (
         reports.writeStream.foreachBatch(apply_batch)
@@ -92,13 +89,35 @@ def stream_outcomes(
 
 
 def stream_tests(attempts: DataFrame) -> DataFrame:
-    """Running attempts and successes per offer."""
+    """Running attempts and successes per offer, for an ``update`` sink."""
     return attempts.groupBy("domain", "code").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "success").alias("worked"),
     )
 
 
+def to_changes(stream: DataFrame, path: str) -> StreamingQuery:
+    """Write the changed rows of every micro-batch below ``path``; a replay overwrites its batch."""
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(write_batch)
+        .outputMode("update")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_tests(spark: SparkSession, path: str) -> DataFrame:
+    """Newest totals per offer out of the changes; totals only grow."""
+    changes = spark.read.parquet(f"{path}/changes")
+    newest = changes.groupBy("domain", "code").agg(F.max(F.struct("total", "worked")).alias("t"))
+    return newest.select("domain", "code", "t.total", "t.worked")
+
+
 def stream_dedupe(offers: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Offers whose (domain, normal code) was not seen within the watermark."""
     return (
@@ -131,7 +150,3 @@ def stream_expire(
 def expired_by(sightings: DataFrame, watermark: Column, ts: str = "ts", days: int = RETENTION_DAYS) -> DataFrame:
     """What ``stream_expire`` has emitted once its watermark has reached ``watermark``."""
     return expiries(sightings, ts, days).filter(F.col("expired_at") <= watermark)
-
-
-def newest_snapshot(spark: SparkSession, base: str) -> int:
-    return max(snapshots(spark, base), default=-1)
