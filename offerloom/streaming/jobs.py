@@ -132,12 +132,15 @@ def expiries(sightings: DataFrame, ts: str = "ts", days: int = RETENTION_DAYS) -
 
     A session window with the retention as its gap is exactly that: it closes ``days`` after the
     last sighting.  Works on a table and, behind a watermark, on a stream, without Python state.
+
+    The end is worked out from the last sighting: a filter on the window itself would be pushed below
+    the grouping, where the sightings are not merged yet.
     """
-    return (
-        sightings.groupBy(F.session_window(ts, f"{days} days").alias("seen"), "domain", "code")
-        .agg(F.max(ts).alias("last_seen"), F.count(F.lit(1)).alias("sightings"))
-        .select("domain", "code", "last_seen", F.col("seen.end").alias("expired_at"), "sightings")
+    seen = sightings.groupBy(F.session_window(ts, f"{days} days"), "domain", "code").agg(
+        F.max(ts).alias("last_seen"), F.count(F.lit(1)).alias("sightings")
     )
+    ends = F.col("last_seen") + F.make_interval(days=F.lit(days))
+    return seen.select("domain", "code", "last_seen", ends.alias("expired_at"), "sightings")
 
 
 def stream_expire(
