@@ -20,6 +20,7 @@ from offerloom.operators.resolve import (
     resolve_domain_text,
 )
 from offerloom.schemas import RAW_OFFER
+from offerloom.sources.pages import select_sources
 from offerloom.sources.profiles import PAGES, SOURCE_RANK, PageProfile
 
 STORE_LINE = r"\[!\[(.+?)\]"
@@ -154,6 +155,16 @@ def split_blocked_pages(
     return marked.filter(~F.col("_blocked")).drop("_blocked"), errors
 
 
+def challenge_pages(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> DataFrame:
+    """Error rows of challenge pages alone: reads the guarded sources and looks at titles only."""
+    guarded = {
+        source: PageProfile(blocked=p.blocked, blocked_reason=p.blocked_reason)
+        for source, p in profiles.items()
+        if p.blocked
+    }
+    return split_blocked_pages(page_elements(select_sources(captures, list(guarded)), guarded), guarded)[1]
+
+
 def page_heading(sources: list[str]) -> Column:
     """Store name of a page: its heading, else its slug in words."""
 
@@ -199,7 +210,7 @@ def extract_page_offers(
 ) -> tuple[DataFrame, DataFrame]:
     """Offers and error rows of stored pages (source, url, slug, html)."""
     sources = list(profiles)
-    elements, errors = split_blocked_pages(page_elements(captures, profiles), profiles)
+    elements, _ = split_blocked_pages(page_elements(captures, profiles), profiles)
 
     def usable(code: Column) -> Column:
         return F.when((F.col("kind") == "sibling") | is_valid_code(code), code)
@@ -222,4 +233,4 @@ def extract_page_offers(
         )
     )
     offers = dedupe_page(found).withColumn("type", offer_type(F.col("description")))
-    return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers))), errors
+    return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers))), challenge_pages(captures, profiles)

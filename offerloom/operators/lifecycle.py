@@ -101,7 +101,6 @@ def source_summary(incoming: DataFrame) -> DataFrame:
 
 
 def run_summary(
-    incoming: DataFrame,
     merged: DataFrame,
     asof: Column,
     removed: DataFrame | None = None,

@@ -102,13 +102,18 @@ def _worked_after(now_best: Column) -> Column:
 
 
 def upsert(registry: DataFrame, incoming: DataFrame, now: Column, intended: bool = False) -> DataFrame:
-    """Registry after the run, with ``is_new`` and ``rows`` (incoming rows of the offer) per row.
+    """Registry after the run, with ``is_new`` and ``rows`` (incoming rows of the offer) per row."""
+    return upsert_firsts(registry, first_per_key(keyed_offers(incoming, now)), now, intended)
 
-    Incoming rows are reduced to one per key before the join, so both sides hold a key once and no
-    key is hot.  A second registry row of one normal form (``dup_no`` > 0) passes through unchanged.
+
+def upsert_firsts(registry: DataFrame, firsts: DataFrame, now: Column, intended: bool = False) -> DataFrame:
+    """``upsert`` of rows that ``first_per_key`` has already reduced.
+
+    Both sides of the join hold a key once, so no key is hot.  A second registry row of one normal
+    form (``dup_no`` > 0) passes through unchanged.
     """
     now = now.cast("timestamp")
-    firsts = first_per_key(keyed_offers(incoming, now)).alias("i")
+    firsts = firsts.alias("i")
     known = registry.alias("r")
     same = (
         (F.col("r.domain") == F.col("i.domain"))
@@ -161,10 +166,16 @@ def merge_stats(merged: DataFrame) -> DataFrame:
 
 def store_upsert(stores: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     """Stores after the run; a store keeps the name and category of its first offer."""
-    firsts = (
-        keyed_offers(incoming, now)
-        .groupBy("domain")
-        .agg(F.min(F.struct("ord", "entry.store_name", "entry.category")).alias("first"))
+    return store_upsert_firsts(stores, keyed_offers(incoming, now))
+
+
+def store_upsert_firsts(stores: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``store_upsert`` of keyed rows, reduced by ``first_per_key`` or not.
+
+    The first row of a store is the first row of its key, so the reduced rows are enough.
+    """
+    firsts = keyed.groupBy("domain").agg(
+        F.min(F.struct("ord", "entry.store_name", "entry.category")).alias("first")
     )
     new = firsts.join(stores.select("domain"), "domain", "left_anti").select(
         "domain",
@@ -173,5 +184,3 @@ def store_upsert(stores: DataFrame, incoming: DataFrame, now: Column) -> DataFra
         F.col("first.ord").alias("ord"),
     )
     return stores.select(*STORE.names).unionByName(new)
-
-

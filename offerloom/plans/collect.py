@@ -22,7 +22,12 @@ from offerloom.operators.lifecycle import (
     remove_reported,
     run_summary,
 )
-from offerloom.operators.merge import store_upsert, upsert
+from offerloom.operators.merge import (
+    first_per_key,
+    keyed_offers,
+    store_upsert_firsts,
+    upsert_firsts,
+)
 from offerloom.schemas import RAW_OFFER
 from offerloom.session import durable
 from offerloom.sources.registry import read_registry_table, snapshots, write_registry_table
@@ -84,9 +89,11 @@ def run_collection(
 ) -> RunResult:
     """Registry, stores and counters after one run.
 
-    The merged registry feeds the result and several counters, so it is checkpointed once.
+    Incoming rows come straight from page parsing, so they are read once: their reduced form is
+    checkpointed for offers and stores, the merged registry for the result and the counters.
     """
-    merged = durable(upsert(registry, incoming, now))
+    firsts = durable(first_per_key(keyed_offers(incoming, now)))
+    merged = durable(upsert_firsts(registry, firsts, now))
     kept = prune_stale(merged.drop("is_new", "rows"), now, days)
     removed = None
     if reports is not None:
@@ -95,11 +102,11 @@ def run_collection(
             left.select("domain", "norm_code", "dup_no"), ["domain", "norm_code", "dup_no"], "left_anti"
         )
         kept = left
-    summary = run_summary(incoming, merged, now, removed, errors, days)
+    summary = run_summary(merged, now, removed, errors, days)
     summary = summary.filter(F.col("counter") != "total").unionByName(
         kept.agg(F.lit("total").alias("counter"), F.count(F.lit(1)).alias("n"))
     )
-    all_stores = store_upsert(stores, incoming, now)
+    all_stores = store_upsert_firsts(stores, firsts)
     return RunResult(kept, drop_empty_stores(all_stores, kept), summary)
 
 

@@ -457,7 +457,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, eve
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = late_merge(spark, sf_dir)
-    return run_summary(item_offers(spark, sf_dir, "late"), merged, F.lit(LATE))
+    return run_summary(merged, F.lit(LATE))
 
 
 RUN_SUMMARY = f"""

@@ -13,7 +13,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offerloom.functions.codes import norm_code
 from offerloom.operators.lifecycle import RETENTION_DAYS, remove_reported
-from offerloom.operators.merge import merge_offers, store_upsert
+from offerloom.operators.merge import (
+    first_per_key,
+    keyed_offers,
+    store_upsert_firsts,
+    upsert_firsts,
+)
+from offerloom.session import durable
 from offerloom.sources.registry import read_registry_table, write_registry_table
 
 
@@ -47,8 +53,9 @@ def stream_upsert(
         spark = batch.sparkSession
         moment = F.current_timestamp() if now is None else now
         registry, stores = read_registry_table(spark, base, below=number + 1)
-        merged = merge_offers(registry, batch, moment)
-        write_registry_table(merged, store_upsert(stores, batch, moment), base, number + 1)
+        firsts = durable(first_per_key(keyed_offers(batch, moment)))
+        merged = upsert_firsts(registry, firsts, moment).drop("is_new", "rows")
+        write_registry_table(merged, store_upsert_firsts(stores, firsts), base, number + 1)
 
     return (
         incoming.writeStream.foreachBatch(merge_batch)
