@@ -1,8 +1,8 @@
 """The registered queries of this subpackage."""
 
-from offerloom.llm import rank_codec
+from offerloom.llm import packing, rank_codec, simple8b
 
-MODULES = (rank_codec,)
+MODULES = (simple8b, rank_codec, packing)
 
 
 def all_queries():
