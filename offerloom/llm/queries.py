@@ -1,8 +1,8 @@
 """The registered queries of this subpackage."""
 
-from offerloom.llm import packing, rank_codec, simhash, simple8b
+from offerloom.llm import packing, rank_codec, simhash, simple8b, substrings, suffixes
 
-MODULES = (simhash, simple8b, rank_codec, packing)
+MODULES = (simhash, substrings, simple8b, rank_codec, suffixes, packing)
 
 
 def all_queries():
