@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import regex
@@ -17,8 +18,11 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-#: Pieces and pre-tokens remembered by one worker (about 250 MB); results do not depend on it.
-REMEMBERED = 500_000
+from offerloom.llm.arrow import gather
+
+#: Pieces and pre-tokens in one of the two generations that a worker remembers (about 400 MB in all); results do not
+#: depend on it.
+REMEMBERED = 600_000
 
 #: The pattern that splits text before the merges: a fixed value of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,11 +38,13 @@ def byte_letters() -> list[str]:
 
 
 def letters_of(text: str, table: dict[int, str]) -> str:
+    if text.isascii() and text.isprintable():  # only the space has another letter
+        return text.replace(" ", table[0x20])
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
 
 
 class _Memory(dict):
-    """Text to a number; ``_Ids`` fills what is missing."""
+    """A dict that fills what is missing with ``fill(key)``."""
 
     def __init__(self, fill):
         super().__init__()
@@ -49,79 +55,85 @@ class _Memory(dict):
         return value
 
 
+class _Generation:
+    """Pre-tokens (their ids as bytes) and pieces (a place in the pool of ids) met since the memory was last renewed."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.words = _Memory(encoder.word)
+        self.pieces = _Memory(encoder.piece)
+        self.pool = array("I")
+        self.starts = array("q", [0])
+
+    def store(self, ids: bytes) -> int:
+        self.pool.frombytes(ids)
+        self.starts.append(len(self.pool))
+        return len(self.starts) - 2
+
+
 class PieceEncoder:
-    """Ids of texts; ``encode_word`` gives those of one pre-token."""
+    """Ids of texts; ``encode_word`` gives those of one pre-token.
+
+    Two generations are kept: what the older one knows moves to the newer when met again, and when the newer is full
+    the older goes.
+    """
 
     def __init__(self, encode_word, remembered: int = REMEMBERED):
         self.split = regex.compile(PATTERN).findall
         self.encode_word = encode_word
         self.remembered = remembered
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = _Memory(self.encode_word)
-        self.after_space = _Memory(lambda piece: self._keep(" " + piece, piece))
-        self.at_start = _Memory(lambda piece: self._keep(piece, piece))
-        self.whole = None
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.counts = np.zeros(1 << 14, np.int64)
-        self.used = self.known = 0
-
-    def _ids(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for word in self.split(text):
-            ids += self.words[word]
-        return ids
-
-    def _keep(self, text: str, piece: str) -> int:
-        """The place of the ids; -1 for a piece that cannot stand alone."""
+        self.new = self.old = _Generation(self)
+
+    def word(self, word: str) -> bytes:
+        known = self.old.words.get(word)
+        return array("I", self.encode_word(word)).tobytes() if known is None else known
+
+    def piece(self, piece: str) -> int:
+        """The place of the ids of a space and the piece; -1 if they cannot stand alone."""
+        old = self.old
+        known = old.pieces.get(piece) if old is not self.new else None
+        if known is not None:
+            return known if known < 0 else self.new.store(old.pool[old.starts[known] : old.starts[known + 1]].tobytes())
+        if piece.isalpha():
+            return self.new.store(self.new.words[" " + piece])
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return -1
-        return self._store(self._ids(text))
-
-    def _store(self, ids: list[int]) -> int:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if self.known == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[self.known], self.counts[self.known] = self.used, len(ids)
-        self.used += len(ids)
-        self.known += 1
-        return self.known - 1
+        return self.new.store(self.whole(" " + piece))
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.new.words.__getitem__, self.split(text)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        if len(self.after_space) > self.remembered or len(self.words) > self.remembered:
-            self.forget()
-        before = self.known, self.used
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.new.pieces) > self.remembered or len(self.new.words) > self.remembered:
+            self.old, self.new = self.new, _Generation(self)
+        new = self.new
         units: list[str] = []
         firsts, sizes = [], []
         for text in texts:
             parts = text.split(" ")
-            firsts.append(self.at_start[parts[0]])
-            parts[0] = ""
+            firsts.append(parts[0])
+            parts[0] = "a"  # any known piece; replaced below
             sizes.append(len(parts))
             units += parts
-        self.after_space[""] = -1
-        codes = np.fromiter(map(self.after_space.__getitem__, units), np.int64, len(units))
-        begins = np.cumsum(sizes) - sizes if texts else np.zeros(0, np.int64)
-        codes[begins] = firsts
-        odd = np.flatnonzero(np.minimum.reduceat(codes, begins) < 0) if texts else []
-        lone: list[int] = []
-        for k in odd:  # the text as a whole: its first unit stands for it, the others are empty
-            lone.append(self._store(self._ids(texts[k])))
-            codes[begins[k] : begins[k] + sizes[k]] = -1
-            codes[begins[k]] = lone[-1]
-        starts = np.where(codes < 0, 0, self.starts[codes])
-        counts = np.where(codes < 0, 0, self.counts[codes])
-        ids = self.pool[np.repeat(starts, counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))]
-        per_text = np.add.reduceat(counts, begins) if texts else np.zeros(0, np.int64)
-        if lone and lone[-1] - before[0] > self.remembered:  # whole texts are not worth keeping
-            self.forget()
-        return ids, per_text
+        codes = np.fromiter(map(new.pieces.__getitem__, units), np.int64, len(units))
+        begins = np.cumsum(sizes) - sizes
+        odd = np.minimum.reduceat(codes, begins) < 0
+        known, used = len(new.starts), len(new.pool)
+        for k, (text, first) in enumerate(zip(texts, firsts, strict=True)):
+            if not first or first[-1].isspace():
+                odd[k] = True
+            codes[begins[k]] = new.store(self.whole(text if odd[k] else first))
+        bounds, pool = np.frombuffer(new.starts, np.int64), np.frombuffer(new.pool, np.uint32)
+        counts = bounds[codes + 1] - bounds[codes]
+        alone = np.repeat(odd, sizes)
+        alone[begins] = False
+        counts[alone] = 0
+        ids = gather(pool, bounds[codes], counts)
+        del bounds, pool  # so that the arrays can shrink: ids of whole texts are not kept
+        del new.starts[known:], new.pool[used:]
+        return ids, np.add.reduceat(counts, begins)
 
 
 @functools.cache
