@@ -1,8 +1,8 @@
 """The registered queries of this subpackage."""
 
-from offerloom.llm import packing, rank_codec, simhash, simple8b, substrings, suffixes
+from offerloom.llm import ngram_filter, packing, rank_codec, simhash, simple8b, substrings, suffixes
 
-MODULES = (simhash, substrings, simple8b, rank_codec, suffixes, packing)
+MODULES = (simhash, substrings, ngram_filter, simple8b, rank_codec, suffixes, packing)
 
 
 def all_queries():
