@@ -116,7 +116,7 @@ QUERIES = {"op4_substrings": op4_substrings}
 SQL = {
     "op4_substrings": r"""
 WITH words AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words)
@@ -127,7 +127,7 @@ WITH words AS (
 ), lists AS (
   SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
 ), left_over AS (
-  SELECT w.doc_id, ws, list_filter(list_transform(ws, (x, k) -> CASE WHEN list_contains(coalesce(ks, []), k) THEN NULL ELSE x END), x -> x IS NOT NULL) AS kept
+  SELECT w.doc_id, ws, list_filter(list_transform(ws, lambda x, k: CASE WHEN list_contains(coalesce(ks, []), k) THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS kept
   FROM words w LEFT JOIN lists USING (doc_id)
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(kept))::BIGINT AS n_removed,
