@@ -1,8 +1,8 @@
 """The registered queries of this subpackage."""
 
-from offerloom.llm import divergence, line_join, ngram_filter, packing, rank_codec, simhash, simple8b, substrings, suffixes
+from offerloom.llm import divergence, graph_search, line_join, ngram_filter, packing, rank_codec, simhash, simple8b, substrings, suffixes
 
-MODULES = (divergence, simhash, substrings, ngram_filter, simple8b, rank_codec, line_join, suffixes, packing)
+MODULES = (graph_search, divergence, simhash, substrings, ngram_filter, simple8b, rank_codec, line_join, suffixes, packing)
 
 
 def all_queries():

@@ -94,6 +94,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, width: int = WID
     return with_lists(rows, repeated_spans(rows, rule), "left").mapInArrow(step, schema)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with the words that ``remove_repeats`` names cut out of the text; all rows and columns stay.
+
+    A null text becomes empty.
+    """
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    packed = F.struct(*rest).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), packed)
+    rule = Windows(window, width, word_tokens)
+
+    def step(batches):
+        for piece in pieces(batches):
+            data, offsets = text_buffers(piece.column("text"))
+            begins, _, at = word_spans(data, offsets)
+            text, tag, begin, end = list_arrays(piece)
+            own = text_tag(data, offsets)[text] == tag
+            gone = covered(at, text[own], begin[own], end[own])
+            left = pa.array(_without(data, offsets, begins, at, gone), pa.string())
+            yield pa.RecordBatch.from_arrays([piece.column("rest"), left], ["rest", "text"])
+
+    spans = repeated_spans(rows.select("doc_id", "text"), rule)
+    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, text string"
+    joined = with_lists(rows, spans, "left").mapInArrow(step, schema)
+    return joined.select(*(F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def _without(data, offsets, begins, at, gone) -> list[str]:
     """The texts without the removed words; each goes with the white space that follows it."""
     stops = np.append(begins[1:], len(data))
