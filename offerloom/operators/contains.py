@@ -1,42 +1,41 @@
 """Text containment as an equality join.
 
-"A contains B" is true exactly when B is one of A's substrings, so exploding the short side A (host
-names and domains, tens of characters) turns the test into a hash join.  No pair of rows is ever
-compared, and the work grows with the rows, not with their product.
+"A contains B" needs A to hold B's first characters somewhere.  So every needle stands under its first
+``GRAM`` characters (all of it, when it is shorter) and every haystack under its pieces of up to that
+length: the number of rows grows with the length of the texts, not with its square, and the test itself
+runs on the pairs that meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+GRAM = 6
+
+
+def first_gram(needle: Column) -> Column:
+    return F.substring(needle, 1, GRAM)
+
+
+def grams(haystack: Column) -> Column:
+    """Every distinct piece of at most ``GRAM`` characters, the empty one included."""
+    size = F.length(haystack)
+    none = F.array().cast("array<string>")
 
+    def of_length(k: int) -> Column:
+        starts = F.sequence(F.lit(1), size - (k - 1))
+        return F.when(size >= k, F.transform(starts, lambda at: F.substring(haystack, at, k))).otherwise(none)
 
-def substrings(text: Column) -> Column:
-    """Every distinct substring of a short text, the empty one included."""
-    size = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda start: F.transform(
-                F.sequence(F.lit(1), F.greatest(size - start + 1, F.lit(1))),
-                lambda length: F.substring(text, start, length),
-            ),
-        )
-    )
-    return F.array_distinct(F.array_append(pieces, F.lit("")))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(of_length(k) for k in range(1, GRAM + 1))))
 
 
-def salted_lookup(
-    probes: DataFrame, key: str, table: DataFrame, spread: Column, salts: int = SALTS
+def join_containing(
+    haystacks: DataFrame, haystack: str, needles: DataFrame, needle: str, also: Sequence[str] = ()
 ) -> DataFrame:
-    """Inner join of many probe rows to a table with one row per ``key``.
-
-    Pieces such as ``com`` occur in most hosts.  The probe side is spread over ``salts`` buckets by
-    ``spread`` and the table repeated once per bucket, so no key lands in a single task.
-    """
-    left = probes.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    """Pairs of rows where ``haystack`` contains ``needle``, and the columns ``also`` are equal."""
+    left = haystacks.withColumn("_gram", F.explode(grams(F.col(haystack))))
+    right = needles.withColumn("_gram", first_gram(F.col(needle)))
+    return left.join(right, ["_gram", *also]).filter(F.contains(haystack, F.col(needle))).drop("_gram")

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.codes import norm_code
-from offerloom.operators.contains import salted_lookup, substrings
-from offerloom.session import BROADCAST_ROWS, at_most
+from offerloom.operators.contains import join_containing
 
 RETENTION_DAYS = 90
 
@@ -43,44 +42,35 @@ def _report_keys(reports: DataFrame) -> DataFrame:
     ).agg(F.min("report_id").alias("report_id"))
 
 
-def match_reports(registry: DataFrame, reports: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
-    """Key (domain, norm_code) of every reported offer with the first report that removes it."""
+def match_reports(registry: DataFrame, reports: DataFrame) -> DataFrame:
+    """Key (domain, norm_code) of every reported offer with the first report that removes it.
+
+    Only offers whose code is reported are taken apart; code and piece together make the join key.
+    """
     keys = _report_keys(reports)
     offers = registry.select("domain", "norm_code").distinct()
-    if at_most(keys, few):
-        hits = offers.join(
-            F.broadcast(keys.withColumnRenamed("norm_code", "_code")),
-            (F.col("norm_code") == F.col("_code")) & F.contains("domain", F.col("label")),
-        )
-    else:
-        labels = keys.withColumnRenamed("label", "piece")
-        pieces = offers.join(keys.select("norm_code").distinct(), "norm_code", "left_semi").withColumn(
-            "piece", F.explode(substrings(F.col("domain")))
-        )
-        located = pieces.withColumn("_key", F.struct("norm_code", "piece"))
-        table = labels.select(F.struct("norm_code", "piece").alias("_key"), "report_id")
-        hits = salted_lookup(located, "_key", table, F.col("domain"))
+    offers = offers.join(keys.select("norm_code").distinct(), "norm_code", "left_semi")
+    hits = join_containing(offers, "domain", keys, "label", ["norm_code"])
     return hits.groupBy("domain", "norm_code").agg(F.min("report_id").alias("report_id"))
 
 
-def remove_reported(registry: DataFrame, reports: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
-    """Registry without the offers that a report names.
+def mark_reported(registry: DataFrame, reports: DataFrame, mark: str = "reported") -> DataFrame:
+    """Registry with a flag on the offers that a report names."""
+    hits = match_reports(registry, reports).select("domain", "norm_code", F.lit(True).alias(mark))
+    marked = registry.join(hits, ["domain", "norm_code"], "left")
+    return marked.select(*registry.columns, F.coalesce(mark, F.lit(False)).alias(mark))
 
-    A run brings few reports, so they are broadcast after a size check and the registry is read once
-    without a shuffle.  A larger set goes through the substring join.
-    """
-    keys = _report_keys(reports).alias("k")
-    if at_most(keys, few):
-        same = (F.col("r.norm_code") == F.col("k.norm_code")) & F.contains("r.domain", F.col("k.label"))
-        return registry.alias("r").join(F.broadcast(keys), same, "left_anti")
-    return registry.join(match_reports(registry, reports, few), ["domain", "norm_code"], "left_anti")
+
+def remove_reported(registry: DataFrame, reports: DataFrame) -> DataFrame:
+    """Registry without the offers that a report names."""
+    return registry.join(match_reports(registry, reports), ["domain", "norm_code"], "left_anti")
 
 
-def reports_with_effect(registry: DataFrame, reports: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+def reports_with_effect(registry: DataFrame, reports: DataFrame) -> DataFrame:
     """Every report with the number of offers it removed; all of them are to be closed."""
     hits = (
         registry.select("domain", "norm_code")
-        .join(match_reports(registry, reports, few), ["domain", "norm_code"])
+        .join(match_reports(registry, reports), ["domain", "norm_code"])
         .groupBy("report_id")
         .agg(F.count(F.lit(1)).alias("removed"))
     )

@@ -11,10 +11,10 @@ from offerloom.fixed import POOL_NAME, PRIORITY_DOMAINS
 from offerloom.functions.descriptions import money, parse_amount
 from offerloom.functions.ratings import age_label, outcome, rate, rate_class
 from offerloom.functions.text import blank_to_null
-from offerloom.operators.contains import salted_lookup, substrings
+from offerloom.operators.contains import join_containing
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.ranking import with_position
-from offerloom.session import GROUP_ROWS, durable
+from offerloom.session import durable
 
 EXACT, WWW, CO_UK, PARTIAL, PRIORITY, POOL = 1, 2, 3, 4, 5, 6
 
@@ -29,19 +29,10 @@ def _partial_matches(hosts: DataFrame, stores: DataFrame) -> DataFrame:
     bases = stores.groupBy(_key_base(F.col("domain")).alias("base")).agg(
         F.min(F.struct("ord", "domain")).alias("store")
     )
-    host_pieces = hosts.select(
-        "host", F.explode(F.array_union(substrings(F.col("host")), substrings(compact))).alias("piece")
-    )
-    inside_host = salted_lookup(
-        host_pieces, "piece", bases.withColumnRenamed("base", "piece"), F.col("host")
-    ).select("host", "store")
-    # One row per piece, reduced in the map tasks, meets about one row per host: no salt needed.
-    base_pieces = (
-        bases.select(F.explode(substrings(F.col("base"))).alias("piece"), "store")
-        .groupBy("piece")
-        .agg(F.min("store").alias("store"))
-    )
-    around_host = hosts.select("host", compact.alias("piece")).join(base_pieces, "piece").select("host", "store")
+    names = hosts.select("host", F.explode(F.array_distinct(F.array("host", compact))).alias("name"))
+    inside_host = join_containing(names, "name", bases, "base").select("host", "store")
+    short = hosts.select("host", compact.alias("name"))
+    around_host = join_containing(bases, "base", short, "name").select("host", "store")
     return (
         inside_host.unionByName(around_host)
         .groupBy("host")
@@ -149,16 +140,29 @@ def match_store(
     )
 
 
+def shop_of(matched: DataFrame) -> DataFrame:
+    """Matched hosts with what they are served: ``shop`` is a store's domain, or the label of a pool (``pooled``)."""
+    pooled = F.col("tier") == POOL
+    return matched.withColumns({"pooled": pooled, "shop": F.when(pooled, F.col("pool")).otherwise(F.col("domain"))})
+
+
+def shop_offers(matched: DataFrame, offers: DataFrame) -> DataFrame:
+    """Offers of every shop that a host leads to, each once: (pooled, shop) and the columns of the offer.
+
+    A pool holds the offers of all stores whose key contains its label.
+    """
+    shops = shop_of(matched).select("pooled", "shop").distinct()
+    own = shops.filter(~F.col("pooled")).select("shop", F.col("shop").alias("domain"))
+    labels = shops.filter("pooled").select("shop")
+    pooled = join_containing(offers.select("domain").distinct(), "domain", labels, "shop").select("shop", "domain")
+    members = own.withColumn("pooled", F.lit(False)).unionByName(pooled.withColumn("pooled", F.lit(True)))
+    return members.join(offers, "domain").select("pooled", "shop", *offers.columns)
+
+
 def offers_for_hosts(matched: DataFrame, offers: DataFrame) -> DataFrame:
-    """Offers shown on each host; a pool holds those of all stores whose key contains its label."""
-    own = matched.filter(F.col("tier") != POOL).select("host", "domain").join(offers, "domain")
-    labels = matched.filter(F.col("tier") == POOL).select("host", F.col("pool").alias("piece"))
-    keys = offers.select("domain").distinct()
-    pooled_keys = keys.select("domain", F.explode(substrings(F.col("domain"))).alias("piece")).join(
-        labels.select("piece").distinct(), "piece", "left_semi"
-    )
-    pooled = labels.join(pooled_keys, "piece").select("host", "domain").join(offers, "domain")
-    return own.unionByName(pooled)
+    """Offers shown on each host, one row for each host and offer; ``shop_offers`` has them once for each shop."""
+    hosts = shop_of(matched).select("host", "pooled", "shop")
+    return hosts.join(shop_offers(matched, offers), ["pooled", "shop"]).select("host", *offers.columns)
 
 
 def visible_offers(offers: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -181,35 +185,32 @@ def best_first(ties: Iterable[Column]) -> list[Column]:
     ]
 
 
-def rank_offers(
-    offers: DataFrame, ties: Sequence[str] = ("ord",), group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def rank_offers(offers: DataFrame, ties: Sequence[str] = ("ord",), by: Sequence[str] = ("domain",)) -> DataFrame:
     """Adds ``position`` and ``size`` of every offer within its store, best first."""
-    order = best_first([F.col(tie) for tie in ties])
-    return with_position(offers, ["domain"], order, group_rows=group_rows)
+    return with_position(offers, by, best_first([F.col(tie) for tie in ties]))
 
 
-def trial_order(
-    offers: DataFrame, ties: Sequence[str] = ("ord",), group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def trial_order(offers: DataFrame, ties: Sequence[str] = ("ord",)) -> DataFrame:
     """Order in which codes are tried, with the progress after each in percent."""
-    ranked = rank_offers(offers, ties, group_rows)
+    ranked = rank_offers(offers, ties)
     return ranked.withColumn("progress", F.col("position") / F.col("size") * 100)
 
 
-def best_offer(offers: DataFrame, ties: Sequence[str] = ("ord",)) -> DataFrame:
+def best_offer(offers: DataFrame, ties: Sequence[str] = ("ord",), by: Sequence[str] = ("domain",)) -> DataFrame:
     """Best offer of every store."""
-    return first_rows(offers, ["domain"], best_first([F.col(tie) for tie in ties]))
+    return first_rows(offers, by, best_first([F.col(tie) for tie in ties]))
 
 
-def last_verified(offers: DataFrame, asof: Column, ties: Sequence[str] = ("ord",)) -> DataFrame:
+def last_verified(
+    offers: DataFrame, asof: Column, ties: Sequence[str] = ("ord",), by: Sequence[str] = ("domain",)
+) -> DataFrame:
     """When the best offer of a store was last confirmed, in words."""
     seen = F.coalesce(F.col("last_seen"), F.col("last_tested"))
     label = F.coalesce(age_label(seen, asof.cast("timestamp")), F.lit("unknown"))
-    return best_offer(offers, ties).select("domain", label.alias("last_verified"))
+    return best_offer(offers, ties, by).select(*by, label.alias("last_verified"))
 
 
-def store_rollup(offers: DataFrame, hidden: DataFrame) -> DataFrame:
+def store_rollup(offers: DataFrame, hidden: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
     """Per store: offers shown and hidden, attempts, successes, overall rate and its class.
 
     All sums are partial in the map tasks, so a store with a third of the offers is no problem.
@@ -217,7 +218,7 @@ def store_rollup(offers: DataFrame, hidden: DataFrame) -> DataFrame:
     marks = hidden.select("domain", "code").distinct().withColumn("_hidden", F.lit(True))
     marked = offers.join(marks, ["domain", "code"], "left")
     shown = F.col("_hidden").isNull()
-    sums = marked.groupBy("domain").agg(
+    sums = marked.groupBy(*by).agg(
         F.count_if(shown).alias("visible"),
         F.count_if(~shown).alias("hidden"),
         F.coalesce(F.sum(F.when(shown, F.col("total"))), F.lit(0)).alias("total"),
@@ -226,8 +227,8 @@ def store_rollup(offers: DataFrame, hidden: DataFrame) -> DataFrame:
     return with_rate(sums)
 
 
-def offer_cards(offers: DataFrame) -> DataFrame:
-    """What is shown of an offer."""
+def offer_cards(offers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """What is shown of an offer, and the columns ``keep`` as they are."""
     sources = F.coalesce(F.col("sources"), F.array(F.coalesce(F.col("source"), F.lit("unknown"))))
     return with_rate(offers).select(
         "domain",
@@ -238,6 +239,7 @@ def offer_cards(offers: DataFrame) -> DataFrame:
         F.nullif(F.col("type"), F.lit("unknown")).alias("type"),
         "expiry",
         F.array_join(sources, " ").alias("sources"),
+        *keep,
     )
 
 

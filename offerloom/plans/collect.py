@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -18,8 +20,8 @@ from offerloom.operators.extract import (
 from offerloom.operators.lifecycle import (
     RETENTION_DAYS,
     drop_empty_stores,
+    mark_reported,
     prune_stale,
-    remove_reported,
     run_summary,
 )
 from offerloom.operators.merge import (
@@ -28,9 +30,9 @@ from offerloom.operators.merge import (
     store_upsert_firsts,
     upsert_firsts,
 )
-from offerloom.schemas import RAW_OFFER
-from offerloom.session import durable
-from offerloom.sources.registry import read_registry_table, snapshots, write_registry_table
+from offerloom.schemas import RAW_OFFER, RUN
+from offerloom.session import durable, work_path
+from offerloom.sources.registry import read_registry_table, write_registry_table
 
 ERRORS = "source string, error string"
 
@@ -40,18 +42,37 @@ def collect_markdown(pages: DataFrame) -> DataFrame:
     return dedupe_source(extract_markdown_offers(pages))
 
 
-def collect_sources(
-    spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]]
-) -> tuple[DataFrame, DataFrame]:
-    """Raw offers of all sources and an error row for each that cannot be read."""
-    parts = [spark.createDataFrame([], RAW_OFFER)]
-    failures = []
-    for name, read in sources.items():
+@dataclass
+class Collected:
+    """Raw offers of all sources that could be read, an error row for each that could not, and one run row each."""
+
+    offers: DataFrame
+    errors: DataFrame
+    runs: DataFrame
+
+
+def collect_sources(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]]) -> Collected:
+    """Raw offers of all sources, written source by source, so that one which fails while it is read stops no other.
+
+    The run rows hold what was found and how long it took; ``codesAdded`` and ``codesUpdated`` are 0 before the merge.
+    """
+    parts, failures, runs = [spark.createDataFrame([], RAW_OFFER)], [], []
+    base = work_path(spark, "collected")
+    for number, (name, read) in enumerate(sources.items()):
+        path, begun, found, error = f"{base}/source={number}", time.time(), 0, None
         try:
-            parts.append(as_raw_offers(read()))
-        except Exception as error:  # one broken source must not stop the others
-            failures.append((name, str(error).splitlines()[0]))
-    return union_sources(parts), spark.createDataFrame(failures, ERRORS)
+            as_raw_offers(read()).write.parquet(path)
+            part = spark.read.schema(RAW_OFFER).parquet(path)
+            found = part.count()
+            parts.append(part)
+        except Exception as failure:  # one broken source must not stop the others
+            error = (str(failure).splitlines() or [type(failure).__name__])[0]
+            failures.append((name, error))
+        moment = datetime.datetime.fromtimestamp(begun, datetime.timezone.utc)
+        runs.append((moment, name, found, 0, 0, int((time.time() - begun) * 1000), [error] if error else []))
+    return Collected(
+        union_sources(parts), spark.createDataFrame(failures, ERRORS), spark.createDataFrame(runs, RUN)
+    )
 
 
 def collect_all(
@@ -97,11 +118,9 @@ def run_collection(
     kept = prune_stale(merged.drop("is_new", "rows"), now, days)
     removed = None
     if reports is not None:
-        left = remove_reported(kept, reports)
-        removed = kept.select("domain", "norm_code", "dup_no").join(
-            left.select("domain", "norm_code", "dup_no"), ["domain", "norm_code", "dup_no"], "left_anti"
-        )
-        kept = left
+        marked = durable(mark_reported(kept, reports))
+        removed = marked.filter("reported")
+        kept = marked.filter("not reported").drop("reported")
     summary = run_summary(merged, now, removed, errors, days)
     summary = summary.filter(F.col("counter") != "total").unionByName(
         kept.agg(F.lit("total").alias("counter"), F.count(F.lit(1)).alias("n"))
@@ -116,6 +135,5 @@ def run_and_store(
     """A run on the newest snapshot below ``base`` that writes the next one."""
     registry, stores = read_registry_table(spark, base)
     result = run_collection(registry, stores, incoming, now, **options)
-    number = max(snapshots(spark, base), default=0) + 1
-    write_registry_table(result.offers, result.stores, base, number)
+    write_registry_table(result.offers, result.stores, base)
     return result

@@ -10,25 +10,28 @@ from offerloom.operators.serve import (
     match_store,
     offer_cards,
     rank_offers,
+    shop_of,
+    shop_offers,
     store_rollup,
     visible_offers,
 )
 from offerloom.session import durable
 
 
+SHOP = ("pooled", "shop")
+
+
 def lookup_hosts(
     hosts: DataFrame, stores: DataFrame, offers: DataFrame, hidden: DataFrame, asof: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matched hosts, ranked cards of the matched stores, and one header row per store."""
-    matched = durable(match_store(hosts, stores, offers))
-    wanted = matched.select("domain").distinct()
-    served = offers.join(wanted, "domain", "left_semi")
-    visible = visible_offers(served, hidden)
-    ranked = rank_offers(visible)
-    positions = ranked.select("domain", "code", "dup_no", "position", "size")
-    cards = offer_cards(ranked.select(*visible.columns)).join(
-        positions.select("domain", "code", "position", "size"), ["domain", "code"]
-    )
-    header = store_rollup(served, hidden).join(last_verified(visible, asof), "domain", "left")
+    """Matched hosts with their shop, ranked cards of the shops, and one header row per shop.
+
+    A shop is a store or a pool of stores (``pooled``); hosts are joined to cards and headers by it.
+    """
+    matched = durable(shop_of(match_store(hosts, stores, offers)))
+    served = shop_offers(matched, offers)
+    visible = durable(visible_offers(served, hidden))
+    cards = offer_cards(rank_offers(visible, by=SHOP), keep=(*SHOP, "position", "size"))
+    header = store_rollup(served, hidden, SHOP).join(last_verified(visible, asof, by=SHOP), list(SHOP), "left")
     header = header.withColumn("last_verified", F.coalesce("last_verified", F.lit("unknown")))
     return matched, cards, header

@@ -10,6 +10,7 @@ from offerloom.operators.extract import as_raw_offers
 from offerloom.operators.lifecycle import (
     count_stale,
     drop_empty_stores,
+    mark_reported,
     prune_stale,
     remove_reported,
     reports_with_effect,
@@ -354,8 +355,8 @@ def reported_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reported_removed_by_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same removal through the substring join that serves large sets of reports."""
-    return remove_reported(event_registry(spark, sf_dir), event_reports(spark, sf_dir), few=0)
+    """The same removal by the flag that a run counts its removals with."""
+    return mark_reported(event_registry(spark, sf_dir), event_reports(spark, sf_dir)).filter("not reported").drop("reported")
 
 
 REPORTED_REMOVED = f"WITH {EVENT_SETS} SELECT domain, norm_code FROM reg ANTI JOIN hit USING (domain, norm_code)"

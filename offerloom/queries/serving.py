@@ -141,23 +141,25 @@ SELECT domain, code, coalesce(rate, -1) AS rate,
 
 
 def ranked_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position of every line item of a supplier by price, by way of the ranges for large groups."""
+    """Position of every line item of a supplier by price; every seventh supplier is unknown, one large group."""
+    supplier = F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey"))
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents")
+        supplier.alias("supplier"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents")
     )
-    order = [F.col("cents").desc(), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")]
-    ranked = with_position(lines, ["l_suppkey"], order, group_rows=0)
-    return ranked.groupBy("l_suppkey", "size").agg(
+    order = [F.col("cents").desc(), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    ranked = with_position(lines, ["supplier"], order)
+    return ranked.groupBy("supplier", "size").agg(
         F.sum(F.col("position") * (F.col("cents") % 1000)).alias("mix"), F.max("position").alias("last"),
         F.countDistinct("position").alias("positions"),
     )
 
 
 RANKED_IN_RANGES = """
-WITH l AS (SELECT l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents, l_orderkey, l_partkey, l_linenumber FROM lineitem),
-     r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY cents DESC, l_orderkey, l_partkey, l_linenumber) AS position,
-                  count(*) OVER (PARTITION BY l_suppkey) AS size FROM l)
-SELECT l_suppkey, size, CAST(sum(position * (cents % 1000)) AS BIGINT) AS mix, max(position) AS last, count(DISTINCT position) AS positions FROM r GROUP BY 1, 2
+WITH l AS (SELECT CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS supplier, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents,
+                  l_orderkey, l_partkey, l_linenumber, l_suppkey FROM lineitem),
+     r AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY cents DESC, l_orderkey, l_partkey, l_linenumber, l_suppkey) AS position,
+                  count(*) OVER (PARTITION BY supplier) AS size FROM l)
+SELECT supplier, size, CAST(sum(position * (cents % 1000)) AS BIGINT) AS mix, max(position) AS last, count(DISTINCT position) AS positions FROM r GROUP BY 1, 2
 """
 
 
@@ -338,8 +340,8 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string"), F.lit(".example.com"))
     hosts = table(spark, sf_dir, "events").select(host.alias("host"))
     _, cards_, header = lookup_hosts(hosts, stores, offers, hidden_offers(spark, sf_dir), F.lit(ASOF))
-    first = cards_.filter(F.col("position") == 1).select("domain", F.col("code").alias("best"), "size")
-    return header.join(first, "domain").select("domain", "visible", "hidden", "last_verified", "best", "size")
+    first = cards_.filter(F.col("position") == 1).select("shop", F.col("code").alias("best"), "size")
+    return header.join(first, "shop").select(F.col("shop").alias("domain"), "visible", "hidden", "last_verified", "best", "size")
 
 
 LOOKUP = f"""

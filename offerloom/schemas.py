@@ -64,6 +64,16 @@ STORE = T.StructType(
     ]
 )
 
+#: A place in the collection order as published: the run as a time in UTC, then source, page and position.
+_PLACE = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("sourceRank", T.IntegerType()),
+        T.StructField("page", T.StringType()),
+        T.StructField("pos", T.LongType()),
+    ]
+)
+
 _DOCUMENT_CODE = T.StructType(
     [
         T.StructField("code", T.StringType()),
@@ -87,10 +97,12 @@ _DOCUMENT_CODE = T.StructType(
                 ]
             ),
         ),
+        T.StructField("ord", _PLACE),
     ]
 )
 
-#: The published nested document. A line of the chunked layout has the same shape.
+#: The published nested document. A line has the same shape: one part of one store. Places are the store's and the
+#: offer's own; a document without them is in the order of its arrays.
 DOCUMENT = T.StructType(
     [
         T.StructField(
@@ -112,6 +124,8 @@ DOCUMENT = T.StructType(
                     [
                         T.StructField("name", T.StringType()),
                         T.StructField("category", T.StringType()),
+                        T.StructField("ord", _PLACE),
+                        T.StructField("part", T.IntegerType()),
                         T.StructField("codes", T.ArrayType(_DOCUMENT_CODE)),
                     ]
                 ),

@@ -1,4 +1,4 @@
-"""Session set-up, the shared work folder and the size checks used before a broadcast."""
+"""Session set-up and the shared work folder."""
 
 from __future__ import annotations
 
@@ -7,17 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-#: A side is broadcast only when it holds at most this many (narrow) rows.
-BROADCAST_ROWS = 1_000
-
-#: A window group up to this many rows is sorted by one task; larger ones are ranked in ranges.
-GROUP_ROWS = 2_000_000
-
-
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
@@ -26,6 +18,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("OFFERLOOM_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():
@@ -58,13 +51,3 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` holds no more than ``rows`` rows; reads at most ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after checking the size; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if at_most(df, rows) else df

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from offerloom.functions.codes import norm_code
 from offerloom.functions.text import blank_to_null
 from offerloom.schemas import DOCUMENT, OFFER, STORE
-from offerloom.session import at_most
+from offerloom.operators.ranking import with_position
 
 VERSION = "1.0"
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-#: Offers one JSON array may hold; larger stores continue on further lines.
+#: Offers of one published line; a store with more goes on in further parts, on lines of their own.
 CHUNK_OFFERS = 10_000
 
 
@@ -59,25 +59,24 @@ def read_registry(
 
 
 def flatten_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Offers and stores of document rows."""
-    part = F.monotonically_increasing_id().alias("part")
-    stores = documents.select(part, F.posexplode("stores").alias("nth", "domain", "store"))
+    """Offers and stores of document rows, in the order they state, else in that of the arrays."""
+    stores = documents.select(F.posexplode("stores").alias("nth", "domain", "store"))
 
-    def place(pos: Column) -> Column:
+    def place(stated: str, pos: Column) -> Column:
         return F.struct(
-            F.timestamp_seconds(F.lit(0)).alias("run"),
-            F.lit(0).alias("source_rank"),
-            F.lpad(F.col("part").cast("string"), 20, "0").alias("page_key"),
-            pos.cast("long").alias("pos"),
+            F.coalesce(_moment(F.col(f"{stated}.run")), F.timestamp_seconds(F.lit(0))).alias("run"),
+            F.coalesce(F.col(f"{stated}.sourceRank"), F.lit(0)).alias("source_rank"),
+            F.coalesce(F.col(f"{stated}.page"), F.lit("")).alias("page_key"),
+            F.coalesce(F.col(f"{stated}.pos"), pos.cast("long")).alias("pos"),
         )
 
     store_rows = (
-        stores.select("domain", "store.name", "store.category", place(F.col("nth")).alias("ord"))
+        stores.select("domain", "store.name", "store.category", place("store.ord", F.col("nth")).alias("ord"))
         .groupBy("domain")
         .agg(F.min(F.struct("ord", "name", "category")).alias("s"))
         .select("domain", "s.name", "s.category", "s.ord")
     )
-    codes = stores.select("domain", "part", F.posexplode("store.codes").alias("pos", "c"))
+    codes = stores.select("domain", F.posexplode("store.codes").alias("pos", "c"))
     last_seen = _last_seen(F.col("c.lastSeen"))
     offers = codes.select(
         "domain",
@@ -96,7 +95,7 @@ def flatten_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("c.testResults.total", F.lit(0)).alias("total"),
         F.coalesce("c.testResults.worked", F.lit(0)).alias("worked"),
         _moment(F.col("c.testResults.lastTested")).alias("last_tested"),
-        place(F.col("pos")).alias("ord"),
+        place("c.ord", F.col("pos")).alias("ord"),
     )
     twins = Window.partitionBy("domain", "norm_code").orderBy("ord")
     offers = offers.withColumn("dup_no", F.row_number().over(twins) - 1)
@@ -122,21 +121,52 @@ def snapshots(spark: SparkSession, base: str) -> list[int]:
     return sorted(found)
 
 
-def write_registry_table(offers: DataFrame, stores: DataFrame, base: str, number: int) -> str:
-    """Write one snapshot; readers see it once its offers are complete.
+def _batch_number(spark: SparkSession, base: str, number: int) -> str | None:
+    """What wrote a snapshot: the identity of a stream's batch, or nothing."""
+    path = f"{base}/snapshot={number}/written_by"
+    if not path_exists(spark, path):
+        return None
+    row = spark.read.text(path).first()
+    return row[0] if row else None
+
+
+def written_by(spark: SparkSession, base: str, batch: str) -> int | None:
+    """The snapshot that this batch of a stream wrote before, if it is still there."""
+    return next((n for n in reversed(snapshots(spark, base)) if _batch_number(spark, base, n) == batch), None)
+
 
-    Offers lie in ranges of (domain, code): a lookup by domain skips most files by their statistics,
-    and the catch-all domain of unresolved stores spreads over as many files as it needs.
+def write_registry_table(
+    offers: DataFrame, stores: DataFrame, base: str, number: int | None = None, batch: str | None = None, keep: int | None = None
+) -> int:
+    """Write the next snapshot (one more than the newest); readers see it once its offers are complete.
+
+    Offers lie in hash buckets of (domain, code), so nothing is sampled and the catch-all domain of unresolved stores
+    spreads over all files. ``batch`` is kept beside the table, so that a replayed batch can find its own snapshot.
+    ``keep`` deletes all but the newest so many snapshots afterwards; by default every version stays.
     """
+    spark = offers.sparkSession
+    if number is None:
+        number = max(snapshots(spark, base), default=0) + 1
     target = f"{base}/snapshot={number}"
     stores.write.mode("overwrite").parquet(f"{target}/stores")
+    if batch is not None:
+        spark.createDataFrame([(batch,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/written_by")
     (
-        offers.repartitionByRange("domain", "norm_code")
+        offers.repartition("domain", "norm_code")
         .sortWithinPartitions("domain", "norm_code")
         .write.mode("overwrite")
         .parquet(f"{target}/offers")
     )
-    return target
+    if keep is not None:
+        drop_snapshots(spark, base, keep)
+    return number
+
+
+def drop_snapshots(spark: SparkSession, base: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` complete snapshots."""
+    system, _, jvm = _path(spark, base)
+    for number in snapshots(spark, base)[: -max(1, keep)]:
+        system.delete(jvm.org.apache.hadoop.fs.Path(f"{base}/snapshot={number}"), True)
 
 
 def read_registry_table(spark: SparkSession, base: str, below: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -156,6 +186,15 @@ def _iso(moment: str) -> Column:
     return F.date_format(moment, ISO)
 
 
+def _place(ord_: str) -> Column:
+    return F.struct(
+        F.date_format(F.col(f"{ord_}.run"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("run"),
+        F.col(f"{ord_}.source_rank").alias("sourceRank"),
+        F.col(f"{ord_}.page_key").alias("page"),
+        F.col(f"{ord_}.pos").alias("pos"),
+    )
+
+
 def _code_entry() -> Column:
     return F.struct(
         "code",
@@ -170,30 +209,27 @@ def _code_entry() -> Column:
         _iso("added_at").alias("addedAt"),
         _iso("last_seen").alias("lastSeen"),
         F.struct("total", "worked", _iso("last_tested").alias("lastTested")).alias("testResults"),
+        _place("ord").alias("ord"),
     )
 
 
-def store_chunks(offers: DataFrame, stores: DataFrame, chunk_offers: int = CHUNK_OFFERS) -> DataFrame:
-    """Rows (domain, name, category, chunk, codes) with a bounded array of offers each.
+def store_parts(offers: DataFrame, stores: DataFrame, part_offers: int = CHUNK_OFFERS) -> DataFrame:
+    """Rows (domain, name, category, ord, part, codes): the offers of a store in order, so many in each part.
 
-    Only domains that exceed one chunk get more; their offers are spread by a hash of the code, so a
-    hot domain is gathered by many tasks.
+    Positions come from ``with_position``, so a store of any size is cut by many tasks and no array grows beyond a
+    part.
     """
-    sizes = offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / chunk_offers).cast("int")
-    large = sizes.filter(F.col("n") > chunk_offers).select("domain", parts.alias("parts"))
-    placed = offers.join(large, "domain", "left").withColumn(
-        "chunk",
-        F.coalesce(F.pmod(F.xxhash64("norm_code", "dup_no"), F.col("parts")).cast("int"), F.lit(0)),
-    )
-    listed = placed.groupBy("domain", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("ord", _code_entry().alias("entry")))).alias("codes")
+    placed = with_position(offers, ["domain"], [F.col("ord"), F.col("norm_code"), F.col("dup_no")], "_at", "_size")
+    placed = placed.withColumn("part", F.floor((F.col("_at") - 1) / part_offers).cast("int"))
+    listed = placed.groupBy("domain", "part").agg(
+        F.array_sort(F.collect_list(F.struct("_at", _code_entry().alias("entry")))).alias("codes")
     )
-    return listed.join(stores.select("domain", "name", "category"), "domain", "left").select(
+    return listed.join(stores.select("domain", "name", "category", "ord"), "domain", "left").select(
         "domain",
-        "chunk",
         F.coalesce("name", F.col("domain")).alias("name"),
         F.coalesce("category", F.lit("general")).alias("category"),
+        "ord",
+        "part",
         F.transform("codes", lambda row: row["entry"]).alias("codes"),
     )
 
@@ -207,48 +243,81 @@ def _meta(asof: Column, total: Column) -> Column:
     )
 
 
+def _store_entry() -> Column:
+    return F.struct("name", "category", _place("ord").alias("ord"), "part", "codes")
+
+
+_JSON = {"ignoreNullFields": "false"}
+
 
 def document_lines(
-    offers: DataFrame, stores: DataFrame, asof: Column, chunk_offers: int = CHUNK_OFFERS
+    offers: DataFrame, stores: DataFrame, asof: Column, part_offers: int = CHUNK_OFFERS
 ) -> DataFrame:
-    """One JSON line per store chunk, each a small document of its own."""
-    chunks = store_chunks(offers, stores, chunk_offers)
-    entry = F.struct("domain", F.struct("name", "category", "codes").alias("store"))
-    return chunks.select(
+    """One JSON line per part of a store, each a small document of its own that states its places and its part."""
+    parts = store_parts(offers, stores, part_offers)
+    entry = F.struct("domain", _store_entry().alias("store"))
+    return parts.select(
         F.to_json(
             F.struct(
                 _meta(asof, F.size("codes").cast("long")).alias("meta"),
                 F.map_from_entries(F.array(entry)).alias("stores"),
             ),
-            {"ignoreNullFields": "false"},
+            _JSON,
         ).alias("value")
     )
 
 
-def single_document(offers: DataFrame, stores: DataFrame, asof: Column) -> DataFrame:
-    """The whole registry as one JSON value; for small registries, see ``export_registry_json``."""
-    chunks = store_chunks(offers, stores).join(stores.select("domain", "ord"), "domain", "left")
-    entry = F.struct("ord", "domain", F.struct("name", "category", "codes").alias("store"))
-    listed = chunks.agg(
-        F.array_sort(F.collect_list(entry)).alias("rows"),
-        F.coalesce(F.sum(F.size("codes")), F.lit(0)).cast("long").alias("n"),
+def single_document(offers: DataFrame, stores: DataFrame, asof: Column, part_offers: int = CHUNK_OFFERS) -> DataFrame:
+    """The whole registry as the lines of one JSON document, sorted: a head, the parts of each store, a foot.
+
+    Nothing is gathered: the parts of a store follow each other inside its one array.
+    """
+    parts = store_parts(offers, stores, part_offers)
+    of_store = Window.partitionBy("domain")
+    parts = parts.withColumn("last", F.max("part").over(of_store))
+    ends = parts.agg(
+        F.coalesce(F.sum(F.size("codes")), F.lit(0)).cast("long").alias("n"), F.min(F.struct("ord", "domain")).alias("first")
     )
-    rows = F.transform("rows", lambda row: F.struct(row["domain"], row["store"]))
-    return listed.select(
-        F.to_json(
-            F.struct(_meta(asof, F.col("n")).alias("meta"), F.map_from_entries(rows).alias("stores")),
-            {"ignoreNullFields": "false"},
-        ).alias("value")
+    body = F.to_json("codes", _JSON)
+    body = F.substring(body, 2, F.length(body) - 2)
+    head = F.to_json(F.struct("name", "category", _place("ord").alias("ord")), _JSON)
+    opening = F.concat(
+        F.when(F.struct("ord", "domain").eqNullSafe(F.col("first")), F.lit("")).otherwise(F.lit(",")),
+        _quoted("domain"), F.lit(":"), F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"codes":['),
+    )
+    text = F.concat(
+        F.when(F.col("part") == 0, opening).otherwise(F.lit(",")),
+        body,
+        F.when(F.col("part") == F.col("last"), F.lit("]}")).otherwise(F.lit("")),
     )
+    # ``ends`` is a single row.
+    lines = parts.crossJoin(F.broadcast(ends)).select(F.lit(1).alias("k"), "ord", "domain", "part", text.alias("value"))
+    meta = F.to_json(F.struct(_meta(asof, F.col("n")).alias("meta")), _JSON)
+    rim = ends.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("k"), F.concat(F.substring(meta, F.lit(1), F.length(meta) - 1), F.lit(',"stores":{')).alias("value")),
+                F.struct(F.lit(2).alias("k"), F.lit("}}").alias("value")),
+            )
+        )
+    )
+    return lines.unionByName(rim, allowMissingColumns=True).orderBy("k", "ord", "domain", "part").select("value")
+
+
+def _quoted(text: str) -> Column:
+    """A string as JSON writes it."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
 def export_registry_json(
     offers: DataFrame, stores: DataFrame, path: str, asof: Column, single: bool = False
 ) -> None:
-    """Publish the registry: JSON lines by store chunk, or one document when it is small enough."""
+    """Publish the registry: JSON lines by part of a store, or one document in one file.
+
+    The file of a document is written by one task, line by line as the sorted lines come in.
+    """
     if single:
-        if not at_most(offers, CHUNK_OFFERS):
-            raise ValueError(f"more than {CHUNK_OFFERS} offers do not go into one document; use lines")
         single_document(offers, stores, asof).coalesce(1).write.mode("overwrite").text(path)
     else:
         document_lines(offers, stores, asof).write.mode("overwrite").text(path)

@@ -11,7 +11,6 @@ from offerloom.operators.dedupe import first_rows
 from offerloom.schemas import RUN
 
 REPORT_TITLE = rf"Code failed: ({NOT_NEWLINE}+?) @ ({NOT_NEWLINE}+)"
-REPORTS_PER_RUN = 100
 RUNS_KEPT = 100
 
 
@@ -30,7 +29,8 @@ def parse_reports(titles: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def read_reports(spark: SparkSession, path: str, limit: int | None = REPORTS_PER_RUN) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """All stored reports; with ``limit``, the newest ones only."""
     return parse_reports(spark.read.parquet(path).select("report_id", "title"), limit)
 
 

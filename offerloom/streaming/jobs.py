@@ -1,12 +1,13 @@
 """Structured Streaming forms of the run: upsert, outcomes, repeats, reports, expiry.
 
-Every job is one streaming query.  Where a micro-batch rewrites the registry, the snapshot carries
-the batch number and is built from the snapshot before it, so a replayed batch writes the same
-table again.
+Every job is one streaming query.  Where a micro-batch rewrites the registry, it makes the next
+snapshot out of the newest one and writes its own identity beside it, so a replayed batch is skipped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +21,7 @@ from offerloom.operators.merge import (
     upsert_firsts,
 )
 from offerloom.session import durable
-from offerloom.sources.registry import read_registry_table, write_registry_table
+from offerloom.sources.registry import read_registry_table, written_by, write_registry_table
 
 
 def drain(query: StreamingQuery) -> None:
@@ -40,47 +41,54 @@ def to_table(stream: DataFrame, path: str, mode: str = "append") -> StreamingQue
     )
 
 
-def stream_upsert(
-    incoming: DataFrame, base: str, checkpoint: str, now: Column | None = None
-) -> StreamingQuery:
-    """Merge every micro-batch of raw offers into the registry below ``base``.
+def _each_batch(stream: DataFrame, base: str, checkpoint: str, name: str, change: Callable) -> StreamingQuery:
+    """Turn the newest snapshot below ``base`` into the next one with every micro-batch.
 
-    Batch ``n`` reads the newest snapshot up to ``n`` and writes snapshot ``n + 1``; snapshot 0, if
-    there is one, is the registry to start from.
+    ``change`` makes offers and stores out of registry, stores and batch. A snapshot states the query (by the
+    id in its checkpoint) and the batch that wrote it; a batch that comes again finds its own and is done. Several streams and
+    plain runs may share a base, one writer at a time.
     """
 
-    def merge_batch(batch: DataFrame, number: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        moment = F.current_timestamp() if now is None else now
-        registry, stores = read_registry_table(spark, base, below=number + 1)
-        firsts = durable(first_per_key(keyed_offers(batch, moment)))
-        merged = upsert_firsts(registry, firsts, moment).drop("is_new", "rows")
-        write_registry_table(merged, store_upsert_firsts(stores, firsts), base, number + 1)
+        query = spark.read.text(f"{checkpoint}/metadata").first()[0]  # its id, new for a new checkpoint
+        identity = f"{name} {number} {query}"
+        if written_by(spark, base, identity) is None:
+            offers, stores = change(*read_registry_table(spark, base), batch)
+            write_registry_table(offers, stores, base, batch=identity)
 
     return (
-        incoming.writeStream.foreachBatch(merge_batch)
+        stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def stream_upsert(
+    incoming: DataFrame, base: str, checkpoint: str, now: Column | None = None
+) -> StreamingQuery:
+    """Merge every micro-batch of raw offers into the newest registry below ``base``."""
+
+    def merge(registry: DataFrame, stores: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        moment = F.current_timestamp() if now is None else now
+        firsts = durable(first_per_key(keyed_offers(batch, moment)))
+        merged = upsert_firsts(registry, firsts, moment).drop("is_new", "rows")
+        return merged, store_upsert_firsts(stores, firsts)
+
+    return _each_batch(incoming, base, checkpoint, "upsert", merge)
+
+
 def stream_reports(reports: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
     """Remove reported offers as reports arrive, one snapshot per micro-batch.
 
     Earlier reports were applied to the snapshot a batch starts from, so only its own are needed.
     """
 
-    def apply_batch(batch: DataFrame, number: int) -> None:
-        registry, stores = read_registry_table(batch.sparkSession, base, below=number + 1)
-        write_registry_table(remove_reported(registry, batch), stores, base, number + 1)
+    def remove(registry: DataFrame, stores: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return remove_reported(registry, batch), stores
 
-    return (
-        reports.writeStream.foreachBatch(apply_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(reports, base, checkpoint, "reports", remove)
 
 
 def stream_outcomes(

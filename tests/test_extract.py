@@ -210,8 +210,18 @@ def test_sources(spark, tmp_path):
     def broken():
         raise ValueError("no network\nmore")
 
-    offers, errors = collect_sources(spark, {"coupert": lambda: extract_page_offers(read_captures(spark, path, "coupert"))[0], "savoo": broken})
-    assert [r.code for r in offers.collect()] == ["AB12"]
-    assert [tuple(r) for r in errors.collect()] == [("savoo", "no network")]
+    def broken_row():
+        """Fails only when its rows are read."""
+        page = extract_page_offers(read_captures(spark, path, "coupert"))[0]
+        return page.withColumn("code", F.raise_error(F.lit("bad row")).cast("string"))
+
+    got = collect_sources(
+        spark, {"savoo": broken, "voucherbox": broken_row, "coupert": lambda: extract_page_offers(read_captures(spark, path, "coupert"))[0]}
+    )
+    assert [r.code for r in got.offers.collect()] == ["AB12"]
+    errors = {r.source: r.error for r in got.errors.collect()}
+    assert errors["savoo"] == "no network" and set(errors) == {"savoo", "voucherbox"}
+    assert {r.source: (r.codesFound, len(r.errors)) for r in got.runs.collect()} == {"savoo": (0, 1), "voucherbox": (0, 1), "coupert": (1, 0)}
+    assert all(r.duration >= 0 for r in got.runs.collect())
     both, challenge = collect_all(captures=read_captures(spark, path))
     assert {r.source for r in both.collect()} == {"savoo", "coupert"} and challenge.count() == 0

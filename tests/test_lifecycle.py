@@ -1,5 +1,6 @@
 """Expiry, reports, publication, snapshots, run log, whole runs."""
 
+import glob
 import json
 from datetime import datetime, timedelta
 
@@ -17,7 +18,7 @@ from offerloom.operators.lifecycle import (
 )
 from offerloom.plans.collect import run_and_store
 from offerloom.schemas import OFFER, RAW_OFFER, STORE
-from offerloom.session import at_most, broadcast_if_small, shared_dir
+from offerloom.session import shared_dir
 from offerloom.sources.dimensions import load_dimensions
 from offerloom.sources.registry import (
     empty_registry,
@@ -25,7 +26,9 @@ from offerloom.sources.registry import (
     read_registry,
     read_registry_table,
     snapshots,
-    store_chunks,
+    document_lines,
+    single_document,
+    store_parts,
     write_registry_table,
 )
 from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports, read_reports
@@ -54,8 +57,7 @@ def test_prune(spark):
     assert (meta.total_codes, meta.version, meta.last_updated) == (2, "1.0", NOW)
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_reports(spark, few):
+def test_reports(spark):
     offers = registry(
         spark,
         [("shop.com", "AB1", 0), ("my-shop.net", "AB1", 0), ("other.com", "AB1", 0), ("shop.com", "CD2", 0), ("a.b", "X", 0)],
@@ -68,9 +70,9 @@ def test_reports(spark, few):
     )
     reports = parse_reports(titles)
     assert [tuple(r) for r in reports.orderBy("report_id").collect()][:2] == [(1, "ab-1", "shop.co.uk"), (2, "AB1", "my-shop.net")]
-    left = remove_reported(offers, reports, few).collect()
+    left = remove_reported(offers, reports).collect()
     assert sorted((r.domain, r.norm_code) for r in left) == [("other.com", "AB1"), ("shop.com", "CD2")]
-    effect = reports_with_effect(offers, reports, few).orderBy("report_id").collect()
+    effect = reports_with_effect(offers, reports).orderBy("report_id").collect()
     assert [(r.report_id, r.removed) for r in effect] == [(1, 2), (2, 0), (3, 0), (5, 1)]
     assert parse_reports(titles, limit=2).count() == 1
 
@@ -78,7 +80,7 @@ def test_reports(spark, few):
 def test_read_reports(spark, tmp_path):
     path = str(tmp_path / "reports")
     spark.range(150).select(F.col("id").alias("report_id"), F.lit("Code failed: a @ b").alias("title")).write.parquet(path)
-    assert read_reports(spark, path).count() == 100 and read_reports(spark, path, None).count() == 150
+    assert read_reports(spark, path).count() == 150 and read_reports(spark, path, 100).count() == 100
 
 
 DOCUMENT = {
@@ -111,12 +113,13 @@ def test_document(spark, tmp_path):
     for single in (False, True):
         target = str(tmp_path / f"out-{single}")
         export_registry_json(offers, stores, target, F.lit(NOW), single)
-        again, named = read_registry(spark, target)
-        keep = [f.name for f in OFFER if f.name != "ord"]
+        again, named = read_registry(spark, target, pretty=single)
+        keep = [f.name for f in OFFER]  # places too
         assert sorted(map(str, again.select(keep).collect())) == sorted(map(str, offers.select(keep).collect()))
         assert {r.name for r in named.collect()} == {"Zed", "Ay"}
-    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out-True")).collect()]
-    assert len(lines) == 1 and list(lines[0]["stores"]) == ["z.com", "a.com"] and lines[0]["meta"]["totalCodes"] == 4
+    text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "out-True" / "part-*")))
+    lines = [json.loads(text)]
+    assert list(lines[0]["stores"]) == ["z.com", "a.com"] and lines[0]["meta"]["totalCodes"] == 4
     assert lines[0]["stores"]["z.com"]["codes"][0]["lastSeen"] == "2024-02-01T10:00:00.000Z"
 
 
@@ -125,14 +128,23 @@ def test_missing_document(spark, tmp_path):
     assert offers.count() == 0 and stores.count() == 0
 
 
-def test_large_store_is_cut_into_chunks(spark):
+def test_large_store_is_cut_into_parts_in_order(spark, tmp_path):
     rows = [("hot.com", f"C{i}", 0, f"C{i}") for i in range(500)] + [("cold.com", "X", 0, "X")]
     offers = registry(spark, rows, "domain string, norm_code string, dup_no int, code string")
+    place = F.struct(F.timestamp_seconds(F.lit(5)).alias("run"), F.lit(1).alias("source_rank"), F.lit("p").alias("page_key"), F.substring("code", 2, 9).try_cast("long").alias("pos"))
+    offers = offers.withColumn("ord", place)
     stores = spark.createDataFrame([], STORE)
-    chunks = store_chunks(offers, stores, chunk_offers=50).collect()
-    hot = [c for c in chunks if c.domain == "hot.com"]
-    assert len(hot) == 10 and max(len(c.codes) for c in hot) < 100
-    assert sorted(code.code for c in hot for code in c.codes) == sorted(r[1] for r in rows[:-1])
+    parts = store_parts(offers, stores, 50).orderBy("part").collect()
+    hot = [c for c in parts if c.domain == "hot.com"]
+    assert [c.part for c in hot] == list(range(10)) and {len(c.codes) for c in hot} == {50}
+    assert [code.code for c in hot for code in c.codes] == [r[1] for r in rows[:-1]]
+    for frame, pretty in ((document_lines(offers, stores, F.lit(NOW), 50), False), (single_document(offers, stores, F.lit(NOW), 50), True)):
+        target = str(tmp_path / str(pretty))
+        frame.coalesce(1).write.text(target)
+        again, _ = read_registry(spark, target, pretty)
+        assert [r.code for r in again.filter("domain = 'hot.com'").orderBy("ord").collect()] == [r[1] for r in rows[:-1]]
+    empty = single_document(spark.createDataFrame([], OFFER), stores, F.lit(NOW)).collect()
+    assert json.loads("".join(r.value for r in empty))["stores"] == {}
 
 
 def test_snapshots(spark, tmp_path):
@@ -187,8 +199,5 @@ def test_dimensions(spark):
     assert sizes["store_map"] == 470 and sizes["fallback_slugs"] == 275 and sizes["priority_domains"] == 37
 
 
-def test_size_check(spark):
-    assert at_most(spark.range(5), 5) and not at_most(spark.range(6), 5)
-    hinted = broadcast_if_small(spark.range(5), 5)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in hinted.lower()
+def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

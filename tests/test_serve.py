@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from offerloom.fixed import PRIORITY_DOMAINS
@@ -99,9 +100,12 @@ def test_positions_of_a_hot_group(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"),
         (F.xxhash64("id") % 7).alias("v"), "id",
     )
+    rows = rows.withColumn("g", F.when(F.col("g") != "g7", F.col("g")))  # a null key is a group like any other
     order = [F.col("v").desc(), F.col("id")]
-    plain = with_position(rows, ["g"], order)
-    ranges = with_position(rows, ["g"], order, group_rows=10)
+    group = Window.partitionBy("g")
+    plain = rows.withColumns({"position": F.row_number().over(group.orderBy(*order)).cast("long"), "size": F.count(F.lit(1)).over(group)})
+    ranges = with_position(rows, ["g"], order)
+    assert ranges.filter("g is null").count() > 0
     assert plain.count() == ranges.count() == 6000
     assert plain.exceptAll(ranges).count() == 0
     assert ranges.agg(F.max("size")).first()[0] == 2000
@@ -122,13 +126,12 @@ def offers_frame(spark):
     return offers.unionByName(frame, allowMissingColumns=True)
 
 
-@pytest.mark.parametrize("group_rows", [1, 1000])
-def test_rank(spark, group_rows):
-    ranked = rank_offers(offers_frame(spark), group_rows=group_rows).orderBy("domain", "position").collect()
+def test_rank(spark):
+    ranked = rank_offers(offers_frame(spark)).orderBy("domain", "position").collect()
     assert [(r.domain, r.position, r.code, r.size) for r in ranked] == [
         ("s", 1, "C", 4), ("s", 2, "A", 4), ("s", 3, "B", 4), ("s", 4, "D", 4), ("t", 1, "E", 1),
     ]
-    progress = trial_order(offers_frame(spark), group_rows=group_rows).orderBy("domain", "position").collect()
+    progress = trial_order(offers_frame(spark)).orderBy("domain", "position").collect()
     assert [r.progress for r in progress] == [25.0, 50.0, 75.0, 100.0, 100.0]
 
 
@@ -169,4 +172,24 @@ def test_lookup(spark):
     assert [r.host for r in matched.collect()] == ["s"]
     assert [(r.position, r.code) for r in cards.orderBy("position").collect()] == [(1, "C"), (2, "B"), (3, "D")]
     row = header.first()
-    assert (row.domain, row.visible, row.hidden, row.last_verified) == ("s", 3, 1, "1 day ago")
+    assert (row.pooled, row.shop, row.visible, row.hidden, row.last_verified) == (False, "s", 3, 1, "1 day ago")
+
+
+def test_lookup_of_a_pool(spark):
+    """A host that leads to a pool of stores gets their offers, twin codes once each."""
+    twin = offers_frame(spark).filter("code = 'A'").withColumn("domain", F.lit("cheap-driffle.net"))
+    offers = twin.unionByName(twin.withColumn("dup_no", F.lit(1))).unionByName(
+        offers_frame(spark).withColumn("domain", F.lit("driffle-two.net"))
+    )
+    stores = stores_frame(spark, ["cheap-driffle.net", "driffle-two.net"])
+    hosts = spark.createDataFrame([("shop.driffle.com",), ("x.driffle.com",)], "host string")
+    hidden = spark.createDataFrame([("driffle-two.net", "E")], "domain string, code string")
+    matched, cards, header = lookup_hosts(hosts, stores, offers, hidden, F.lit("2024-01-05 00:00:00"))
+    assert {(r.host, r.tier, r.pooled, r.shop, r.name) for r in matched.collect()} == {
+        (h, 6, True, "driffle", "Gaming Store") for h in ("shop.driffle.com", "x.driffle.com")
+    }
+    shown = cards.collect()
+    assert sorted(r.position for r in shown) == list(range(1, 7)) and {r["size"] for r in shown} == {6}
+    assert sorted(r.code for r in shown) == ["A", "A", "A", "B", "C", "D"]
+    row = header.first()
+    assert header.count() == 1 and (row.shop, row.visible, row.hidden) == ("driffle", 6, 1)

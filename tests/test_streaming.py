@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators.merge import merge_offers
+from offerloom.plans.collect import run_and_store
 from offerloom.schemas import OFFER, RAW_OFFER
 from offerloom.sources.registry import empty_registry, read_registry_table, snapshots, write_registry_table
 from offerloom.streaming.jobs import (
@@ -62,18 +63,36 @@ def test_upsert(spark, tmp_path):
     assert rows_of(read_registry_table(spark, base)[0].select(keep)) == rows_of(whole.select(keep))
 
 
-def test_replayed_batch_writes_the_same_snapshot(spark, tmp_path):
-    """A batch repeated after its snapshot was written starts from the snapshot before it."""
-    row = tuple({"source_rank": 0, "page_key": "", "pos": 0, "code": "A1", "store_domain": "d", "source": "s", "success_rate": 0.5}.get(f.name) for f in RAW_OFFER)
-    base = str(tmp_path / "registry")
-    stream = in_batches(spark, [row], RAW_OFFER, str(tmp_path / "in"), 1)
-    drain(stream_upsert(stream, base, str(tmp_path / "cp1"), F.lit(START)))
+def raw(code, pos=0, **more):
+    given = {"source_rank": 0, "page_key": "", "pos": pos, "code": code, "store_domain": "d", "source": "s", "success_rate": 0.5} | more
+    return tuple(given.get(f.name) for f in RAW_OFFER)
+
+
+def test_replayed_batch_is_skipped(spark, tmp_path):
+    base, checkpoint = str(tmp_path / "registry"), tmp_path / "cp1"
+    stream = in_batches(spark, [raw("A1")], RAW_OFFER, str(tmp_path / "in"), 1)
+    drain(stream_upsert(stream, base, str(checkpoint), F.lit(START)))
     before = rows_of(read_registry_table(spark, base)[0])
-    again = spark.readStream.schema(RAW_OFFER).parquet(str(tmp_path / "in"))
-    drain(stream_upsert(again, base, str(tmp_path / "cp2"), F.lit(START)))
+    for name in ("0", ".0.crc"):
+        (checkpoint / "commits" / name).unlink()  # as if the driver went before it noted the batch
+    drain(stream_upsert(spark.readStream.schema(RAW_OFFER).parquet(str(tmp_path / "in")), base, str(checkpoint), F.lit(START)))
     assert snapshots(spark, base) == [1] and rows_of(read_registry_table(spark, base)[0]) == before
 
 
+def test_streams_go_on_from_the_newest_snapshot(spark, tmp_path):
+    """Two streams on a base that has versions already: nothing is lost and no version changes."""
+    base = str(tmp_path / "registry")
+    for code in ("AA11", "BB22", "CC33"):
+        run_and_store(spark, base, spark.createDataFrame([raw(code)], RAW_OFFER), F.lit(START))
+    stream = in_batches(spark, [raw("ST99"), raw("ST98", 1)], RAW_OFFER, str(tmp_path / "in"), 2)
+    drain(stream_upsert(stream, base, str(tmp_path / "cp1"), F.lit(START)))
+    titles = in_batches(spark, [(1, "AA11", "d"), (2, "ST98", "d.x")], "report_id long, code string, store_domain string", str(tmp_path / "reports"), 2)
+    drain(stream_reports(titles, base, str(tmp_path / "cp2")))
+    assert snapshots(spark, base) == [1, 2, 3, 4, 5, 6, 7]
+    codes = [sorted(r.code for r in read_registry_table(spark, base, below=n + 1)[0].collect()) for n in (1, 3, 5, 7)]
+    assert codes == [["AA11"], ["AA11", "BB22", "CC33"], ["AA11", "BB22", "CC33", "ST98", "ST99"], ["BB22", "CC33", "ST99"]]
+
+
 def test_outcomes(spark, tmp_path):
     rows = events(2)
     out = str(tmp_path / "out")
