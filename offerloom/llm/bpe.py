@@ -29,6 +29,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 END_ID = 0
 
+#: Marks that often end a word; each is a pre-token after letters.
+MARKS = frozenset(".,;:!?")
+
 
 def byte_letters() -> list[str]:
     """A visible character for each byte, as byte-level vocabularies write them: printable Latin-1 as it is, the rest from U+0100."""
@@ -95,6 +98,8 @@ class PieceEncoder:
             return known if known < 0 else self.new.store(old.pool[old.starts[known] : old.starts[known + 1]].tobytes())
         if piece.isalpha():
             return self.new.store(self.new.words[" " + piece])
+        if piece[-1:] in MARKS and piece[:-1].isalpha():  # a word and a mark: what the pattern makes of them
+            return self.new.store(self.new.words[" " + piece[:-1]] + self.new.words[piece[-1]])
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return -1
         return self.new.store(self.whole(" " + piece))

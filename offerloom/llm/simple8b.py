@@ -23,7 +23,7 @@ ESCAPE = 0
 _COUNTS = np.array([count for count, _ in LAYOUTS], np.int64)
 
 #: Ids in a block; the words of each block can be read alone.
-BLOCK_IDS = 4096
+BLOCK_IDS = 1 << 16
 
 #: Documents are laid out over about as many files as there are multiples of this many bytes of text.
 FILE_TEXT_BYTES = 16 << 20
@@ -33,17 +33,15 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     """The words of one block, as many ids in each as fit."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
-    widest = int(ids.max()).bit_length() if n else 0
     choice = np.zeros(n, np.int64)  # of the word that would begin here
-    for selector in range(len(LAYOUTS) - 1, 0, -1):
+    largest, size = ids, 1  # the largest of each ``size`` ids in a row
+    for selector in range(len(LAYOUTS) - 1, 0, -1):  # from one id in a word to sixty
         count, bits = LAYOUTS[selector]
-        if bits >= widest:
-            fits = np.arange(n) + count <= n
-        else:
-            too_wide = np.flatnonzero(ids >> np.uint64(bits))
-            following = np.append(too_wide, n)[np.searchsorted(too_wide, np.arange(n))]
-            fits = np.arange(n) + count <= following
-        choice[fits] = selector
+        if count > n:
+            break
+        if count > size:
+            largest, size = np.maximum(largest[: n - count + 1], largest[count - size :]), count
+        choice[: n - count + 1][largest < np.uint64(1 << bits)] = selector
     steps = _COUNTS[choice].tolist()
     begins, at = [], 0
     while at < n:
