@@ -127,8 +127,15 @@ def _per_source(sources: list[str], rule) -> Column:
     return chosen.otherwise(F.lit(None))
 
 
-def page_title(elements: DataFrame) -> Column:
-    return F.trim(collapse_space(elements["title"]))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def page_title(html: Column) -> Column:
+    """Title of a stored page, read without parsing the page; white space counts as one space."""
+    text = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)
+    for entity, letter in _ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(letter))
+    return F.trim(collapse_space(text))
 
 
 def is_blocked(title: Column, markers: tuple[str, ...]) -> Column:
@@ -138,31 +145,23 @@ def is_blocked(title: Column, markers: tuple[str, ...]) -> Column:
 
 
 def split_blocked_pages(
-    elements: DataFrame, profiles: dict[str, PageProfile] = PAGES
+    captures: DataFrame, profiles: dict[str, PageProfile] = PAGES
 ) -> tuple[DataFrame, DataFrame]:
-    """Elements of readable pages, and one error row (source, error) per challenge page."""
+    """Readable captures (source, url, slug, html), and one error row (source, error) per challenge page.
+
+    Only titles are looked at, so challenge pages are never parsed.
+    """
     guarded = {source: p for source, p in profiles.items() if p.blocked}
-    title = page_title(elements)
+    title = page_title(F.col("html"))
     blocked = F.coalesce(
         _per_source(list(guarded), lambda source: is_blocked(title, guarded[source].blocked)),
         F.lit(False),
     )
-    marked = elements.withColumn("_blocked", blocked)
     reason = _per_source(list(guarded), lambda source: F.lit(guarded[source].blocked_reason))
-    errors = marked.filter(F.col("_blocked") & (F.col("kind") == "page")).select(
+    errors = captures.filter(F.col("source").isin(*guarded)).filter(blocked).select(
         "source", F.concat_ws(": ", "slug", reason).alias("error")
     )
-    return marked.filter(~F.col("_blocked")).drop("_blocked"), errors
-
-
-def challenge_pages(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> DataFrame:
-    """Error rows of challenge pages alone: reads the guarded sources and looks at titles only."""
-    guarded = {
-        source: PageProfile(blocked=p.blocked, blocked_reason=p.blocked_reason)
-        for source, p in profiles.items()
-        if p.blocked
-    }
-    return split_blocked_pages(page_elements(select_sources(captures, list(guarded)), guarded), guarded)[1]
+    return captures.filter(~blocked), errors
 
 
 def page_heading(sources: list[str]) -> Column:
@@ -210,7 +209,8 @@ def extract_page_offers(
 ) -> tuple[DataFrame, DataFrame]:
     """Offers and error rows of stored pages (source, url, slug, html)."""
     sources = list(profiles)
-    elements, _ = split_blocked_pages(page_elements(captures, profiles), profiles)
+    readable, errors = split_blocked_pages(captures, profiles)
+    elements = page_elements(readable, profiles)
 
     def usable(code: Column) -> Column:
         return F.when((F.col("kind") == "sibling") | is_valid_code(code), code)
@@ -233,4 +233,4 @@ def extract_page_offers(
         )
     )
     offers = dedupe_page(found).withColumn("type", offer_type(F.col("description")))
-    return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers))), challenge_pages(captures, profiles)
+    return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers))), errors

@@ -28,30 +28,12 @@ def _listed(url: Column, markers: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(url, F.lit(m)) for m in markers), F.lit(False))
 
 
-def _discovered(locs: DataFrame, source: str, rule: Discovery) -> DataFrame:
-    """Slugs (source, slug) of one source from its sitemap entries."""
-    own = locs.filter(F.col("source") == source)
-    slug = slug_in(F.col("loc"), rule.slug).alias("slug")
-    indexes = own.filter("is_index").select(
-        "sitemap_ord", F.col("pos").alias("sub_ord"), F.col("loc").alias("sitemap_url")
-    )
-    listed = indexes.filter(_listed(F.col("sitemap_url"), rule.listed))
-    pages = own.filter(~F.col("is_index"))
-    if rule.policy == "union":
-        found = pages.join(listed.select("sitemap_url").distinct(), "sitemap_url", "left_semi").select(slug)
-    elif rule.policy == "flat":
-        found = pages.filter(F.col("sitemap_ord").isNotNull()).select(slug)
-    else:
-        turn = F.struct("sitemap_ord", "sub_ord").alias("turn")
-        through = listed.join(pages.drop("sitemap_ord"), "sitemap_url").select(turn, slug)
-        direct = (
-            pages.filter(F.col("sitemap_ord").isNotNull())
-            .withColumn("sub_ord", F.lit(-1).cast("long"))
-            .select(turn, slug)
-        )
-        tried = through.unionByName(direct).withColumn("all", F.lit(0))
-        found = first_nonempty(tried, ["all"], "turn", "slug").select("slug")
-    return found.filter(F.col("slug").isNotNull()).distinct().select(F.lit(source).alias("source"), "slug")
+def _by_source(rules: dict[str, Discovery], value) -> Column:
+    """``value(rule)`` of the row's source; null for a source without a rule."""
+    chosen = F
+    for source, rule in rules.items():
+        chosen = chosen.when(F.col("source") == source, value(rule))
+    return chosen.otherwise(F.lit(None))
 
 
 def discover_slugs(locs: DataFrame, rules: dict[str, Discovery] = DISCOVERY) -> DataFrame:
@@ -59,11 +41,36 @@ def discover_slugs(locs: DataFrame, rules: dict[str, Discovery] = DISCOVERY) ->
 
     ``locs``: source, sitemap_url, sitemap_ord (place of a top-level sitemap, null for others),
     is_index, pos, loc.
+
+    All sources at once: pages meet the indexes that list them, each way a page is found by is a turn, and the
+    ``first`` policy keeps the slugs of the lowest turn of its source. The lowest turns are one row per rule.
     """
-    found = reduce(DataFrame.unionByName, (_discovered(locs, s, rule) for s, rule in rules.items()))
-    fallback = fallback_slugs(locs.sparkSession, list(rules))
-    missing = fallback.join(found.select("source").distinct(), "source", "left_anti")
-    return found.unionByName(missing)
+    own = locs.filter(F.col("source").isin(*rules))
+    policy = _by_source(rules, lambda rule: F.lit(rule.policy))
+    listing = (
+        own.filter(F.col("is_index") & _by_source(rules, lambda rule: _listed(F.col("loc"), rule.listed)))
+        .groupBy("source", F.col("loc").alias("sitemap_url"))
+        .agg(F.min(F.struct("sitemap_ord", F.col("pos").alias("sub_ord"))).alias("listed"))
+    )
+    pages = own.filter(~F.col("is_index")).select(
+        "source", "sitemap_url", "sitemap_ord", policy.alias("policy"), _by_source(rules, lambda rule: slug_in(F.col("loc"), rule.slug)).alias("slug")
+    )
+    through = F.when(F.col("policy") != "flat", F.col("listed"))
+    top = F.col("sitemap_ord").isNotNull() & (F.col("policy") != "union")
+    direct = F.when(top, F.struct(F.col("sitemap_ord"), F.lit(-1).cast("long").alias("sub_ord")))
+    turn = F.coalesce(F.least(through, direct), through, direct)
+    found = (
+        pages.filter(F.col("slug").isNotNull())
+        .join(listing, ["source", "sitemap_url"], "left")
+        .withColumn("turn", turn)
+        .filter(F.col("turn").isNotNull())
+        .groupBy("source", "policy", "slug")
+        .agg(F.min("turn").alias("turn"))
+    )
+    lowest = found.groupBy("source").agg(F.min("turn").alias("lowest"))
+    kept = found.join(F.broadcast(lowest), "source").filter((F.col("policy") != "first") | (F.col("turn") == F.col("lowest")))
+    missing = fallback_slugs(locs.sparkSession, list(rules)).join(lowest, "source", "left_anti")
+    return kept.select("source", "slug").unionByName(missing)
 
 
 def fallback_slugs(spark: SparkSession, sources: Sequence[str]) -> DataFrame:

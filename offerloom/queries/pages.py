@@ -80,9 +80,8 @@ SELECT CAST(page_id AS VARCHAR) AS url, {sql_trim(_bare("regexp_extract(html, '(
 
 
 def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = page_elements(web_captures(spark, sf_dir), WEB)
-    readable, errors = split_blocked_pages(elements, WEB)
-    ok = readable.filter(F.col("kind") == "page").select(F.lit("ok").alias("state"), F.col("slug").alias("page"))
+    readable, errors = split_blocked_pages(web_captures(spark, sf_dir), WEB)
+    ok = readable.select(F.lit("ok").alias("state"), F.col("slug").alias("page"))
     return ok.unionByName(errors.select(F.lit("blocked").alias("state"), F.col("error").alias("page")))
 
 

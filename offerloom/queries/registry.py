@@ -19,7 +19,7 @@ from offerloom.operators.lifecycle import (
 )
 from offerloom.operators.merge import merge_offers, merge_stats, store_upsert, upsert
 from offerloom.operators.serve import source_contribution
-from offerloom.plans.collect import run_collection
+from offerloom.plans.collect import collect_sources, run_collection
 from offerloom.queries.common import (
     OFFER_TEXT_SQL,
     offer_text,
@@ -42,7 +42,7 @@ from offerloom.sources.registry import (
     read_registry_table,
     write_registry_table,
 )
-from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports
+from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports, trim_run_log
 
 EARLY, LATE = "1998-06-01 00:00:00", "2001-12-01 00:00:00"
 
@@ -392,7 +392,7 @@ SELECT event_id AS report_id, 'C ' || k AS code, 'shop' || user_id || '.co.uk' A
 def _flat(offers: DataFrame, stores: DataFrame) -> DataFrame:
     return offers.join(stores.select("domain", "name"), "domain").select(
         "domain", "code", "description", "type", F.array_join("sources", "|").alias("sources"),
-        stamp(F.col("added_at")).alias("added_at"), "total", "name",
+        stamp(F.col("added_at")).alias("added_at"), "total", "name", F.col("ord.pos").alias("pos"),
     )
 
 
@@ -420,7 +420,7 @@ def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY_FLAT = f"""
 WITH {ITEMS_SQL}
 SELECT domain, code, text AS description, type, array_to_string(sources, '|') AS sources,
-       {sql_stamp(f"TIMESTAMP '{EARLY}'")} AS added_at, CAST(0 AS BIGINT) AS total, store_name AS name
+       {sql_stamp(f"TIMESTAMP '{EARLY}'")} AS added_at, CAST(0 AS BIGINT) AS total, store_name AS name, pos
 FROM facts WHERE early
 """
 
@@ -471,17 +471,29 @@ SELECT unnest(['found', 'added', 'updated', 'pruned', 'total']) AS counter, unne
 
 
 def collection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run: merge, expire, remove reported, drop empty stores; offers left per store."""
+    """A whole run: collect (one source fails while it is read), merge, expire, remove reported, drop empty stores, log.
+
+    Offers left per store, the counters, and what the log says of each source.
+    """
     offers, stores = _early(spark, sf_dir)
     reports = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("report_id"),
         F.concat(F.lit("P"), (F.col("s_suppkey") * 3).cast("string")).alias("code"),
         F.concat(F.lit("s"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".example.com")).alias("store_domain"),
     )
-    result = run_collection(offers, stores, item_offers(spark, sf_dir, "late"), F.lit(LATE), reports)
+    late = item_offers(spark, sf_dir, "late")
+    broken = late.withColumn("code", F.when(F.col("pos") >= 0, F.raise_error(F.lit("unreadable")).cast("string")))
+    collected = collect_sources(spark, {"items": lambda: late, "broken": lambda: broken})
+    result = run_collection(offers, stores, collected.offers, F.lit(LATE), reports, collected.errors)
+    log = work_path(spark, "runs")
+    for _ in range(2):
+        append_run_log(collected.runs, log)
+    trim_run_log(spark, log, 2)
+    logged = spark.read.parquet(log).groupBy("source").agg(F.max(F.col("codesFound") + F.size("errors")).alias("n"))
     per_store = result.offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     left = result.stores.join(per_store, "domain").select(F.lit("store").alias("part"), F.col("domain").alias("label"), "n")
-    return left.unionByName(result.summary.select(F.lit("counter").alias("part"), F.col("counter").alias("label"), "n"))
+    counters = result.summary.select(F.lit("counter").alias("part"), F.col("counter").alias("label"), "n")
+    return left.unionByName(counters).unionByName(logged.select(F.lit("log").alias("part"), F.col("source").alias("label"), "n"))
 
 
 COLLECTION_RUN = f"""
@@ -497,6 +509,9 @@ UNION ALL SELECT 'counter', 'updated', CAST(sum(rows) AS BIGINT) - count(*) FILT
 UNION ALL SELECT 'counter', 'pruned', count(*) FILTER (WHERE last_seen < TIMESTAMP '{LATE}') FROM merged
 UNION ALL SELECT 'counter', 'removed', count(*) FROM gone
 UNION ALL SELECT 'counter', 'total', count(*) FROM left_
+UNION ALL SELECT 'counter', 'errors', 1
+UNION ALL SELECT 'log', 'items', CAST(sum(rows) AS BIGINT) FROM merged
+UNION ALL SELECT 'log', 'broken', 1
 """
 
 QUERIES = {

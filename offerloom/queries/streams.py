@@ -33,10 +33,18 @@ NOW = "2024-02-01 00:00:00"
 GAP_DAYS = 2
 
 
+#: The events are replayed in slices of so many days, one micro-batch each.
+SLICE_DAYS = 6
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream, with the number inside the properties."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream of several micro-batches in the order of time, with the number inside the properties."""
+    path = work_path(spark, "event-slices")
+    events = table(spark, sf_dir, "events")
+    sliced = events.withColumn("slice", F.floor(F.datediff("ts", F.lit("2024-01-01")) / SLICE_DAYS).cast("int"))
+    sliced.repartition("slice").sortWithinPartitions("slice", "ts", "event_id").write.partitionBy("slice").parquet(path)
+    in_order(spark, path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     return stream.select(
         "event_id", "user_id", "event_type", "value",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -45,6 +53,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_order(spark: SparkSession, path: str) -> None:
+    """Give the files below ``path`` times in the order of their slices: a file stream reads the oldest first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    slices = [s.getPath() for s in system.listStatus(root) if s.isDirectory()]
+    slices.sort(key=lambda p: int(p.getName().rpartition("=")[2]))
+    for nth, folder in enumerate(slices):  # a handful of files
+        for status in system.listStatus(folder):
+            system.setTimes(status.getPath(), (1_700_000_000 + nth) * 1000, -1)
+
+
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = as_raw_offers(
         event_stream(spark, sf_dir).select(
@@ -99,10 +119,22 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = event_stream(spark, sf_dir).select("ts", "domain", F.concat(F.lit("k-"), "k").alias("code"))
     path = work_path(spark, "stream-dedupe")
     drain(to_table(stream_dedupe(offers), path))
-    return spark.read.parquet(f"{path}/data").select("domain", "norm_code")
-
-
-DEDUPED = f"SELECT DISTINCT 's' || (user_id % 10) || '.example.com' AS domain, 'K' || k AS norm_code FROM {EVENTS_K}"
+    return spark.read.parquet(f"{path}/data").select("domain", "norm_code", stamp(F.col("ts")).alias("ts"))
+
+
+# A key is let through when the stream holds no state for it. Its state ends in the first batch whose watermark - the
+# latest time of the batches before, less a day - lies over a day behind the row that was let through.
+DEDUPED = f"""
+WITH RECURSIVE e AS (SELECT 's' || (user_id % 10) || '.example.com' AS domain, 'K' || k AS norm_code, ts,
+                            CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / {SLICE_DAYS}) AS INTEGER) AS slice FROM {EVENTS_K}),
+     f AS (SELECT domain, norm_code, slice, min(ts) AS ts FROM e GROUP BY ALL),
+     b AS (SELECT slice, max(max(ts)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS watermark FROM e GROUP BY slice),
+     g AS (SELECT f.*, coalesce((SELECT min(b.slice) FROM b WHERE b.slice > f.slice AND b.watermark > f.ts + INTERVAL 1 DAY), 1000000) AS ends FROM f),
+     n AS (SELECT g.*, (SELECT min(h.slice) FROM f h WHERE h.domain = g.domain AND h.norm_code = g.norm_code AND h.slice > g.ends) AS next FROM g),
+     out AS (SELECT n.* FROM n WHERE slice = (SELECT min(slice) FROM f h WHERE h.domain = n.domain AND h.norm_code = n.norm_code)
+             UNION ALL SELECT n.* FROM out JOIN n ON n.domain = out.domain AND n.norm_code = out.norm_code AND n.slice = out.next)
+SELECT domain, norm_code, {sql_stamp('ts')} AS ts FROM out
+"""
 
 
 def reports_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +142,8 @@ def reports_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, stores = empty_registry(spark)
     offers = event_registry(spark, sf_dir).withColumn("dup_no", F.lit(0))
     nothing = spark.createDataFrame([], OFFER)
-    write_registry_table(nothing.unionByName(offers, allowMissingColumns=True), stores, f"{base}/registry", 0)
+    for part in (offers.filter("length(norm_code) < 2"), offers):  # a base with versions, written before the stream
+        write_registry_table(nothing.unionByName(part, allowMissingColumns=True), stores, f"{base}/registry")
     errors = event_stream(spark, sf_dir).filter(F.col("event_type") == "error")
     titles = errors.select(
         F.col("event_id").alias("report_id"),

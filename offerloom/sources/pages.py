@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import trim_all
@@ -29,8 +29,22 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     items = spark.read.format("xml").option("rowTag", "item").schema(FEED_ITEM).load(path)
     return items.select(
         *(F.coalesce(trim_all(F.col(name)), F.lit("")).alias(name) for name in ("title", "link", "description")),
-        F.monotonically_increasing_id().alias("item_no"),
-    )
+        F.monotonically_increasing_id().alias("_read"),
+        F.col("_metadata.file_path").alias("_file"),
+    ).transform(_numbered)
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """``item_no``: files in the order of their names, items in theirs, however the files are cut into tasks.
+
+    The pieces of a file are read in order, so the order of reading is right inside a file.
+    """
+    files = items.select("_file").distinct()
+    # One row per feed file, so one task can number them.
+    numbered = files.withColumn("_nth", F.row_number().over(Window.orderBy("_file")))
+    placed = items.join(numbered.select("_file", "_nth"), "_file")
+    place = Window.partitionBy("_file").orderBy("_read")
+    return placed.select("title", "link", "description", (F.col("_nth") * F.lit(1 << 32) + F.row_number().over(place)).alias("item_no"))
 
 
 def read_captures(spark: SparkSession, path: str, sources: Sequence[str] | None = None) -> DataFrame:
@@ -59,15 +73,12 @@ def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
     ).withColumn("pos", F.col("pos").cast("long"))
 
 
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """Entries (sitemap_url, is_index, loc) of stored sitemap files, read as XML rows."""
-
-    def rows(tag: str, is_index: bool) -> DataFrame:
-        read = spark.read.format("xml").option("rowTag", tag).schema("loc string").load(path)
-        return read.select(
-            F.col("_metadata.file_path").alias("sitemap_url"),
-            F.lit(is_index).alias("is_index"),
-            trim_all(F.col("loc")).alias("loc"),
-        ).filter(F.col("loc").isNotNull())
+def read_sitemaps(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """Entries of stored sitemap files, as ``discover_slugs`` takes them.
 
-    return rows("sitemap", True).unionByName(rows("url", False))
+    ``manifest`` says what each file is: file (its name), source, sitemap_url, sitemap_ord (place of a top-level
+    sitemap, null for others). Files without an entry are left out.
+    """
+    files = spark.read.text(path, wholetext=True)
+    files = files.select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.col("value").alias("body"))
+    return sitemap_locs(files.join(manifest, "file")).withColumn("loc", trim_all(F.col("loc")))

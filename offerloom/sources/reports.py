@@ -40,6 +40,17 @@ def append_run_log(runs: DataFrame, path: str) -> None:
     runs.select(*columns).write.mode("append").parquet(path)
 
 
+def trim_run_log(spark: SparkSession, path: str, keep: int = RUNS_KEPT) -> None:
+    """Leave the newest ``keep`` runs in the stored log; the new log is complete before it takes the old one's place."""
+    kept, new = last_runs(spark.read.schema(RUN).parquet(path), keep), f"{path.rstrip('/')}-trimmed"
+    kept.write.mode("overwrite").parquet(new)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old = hadoop.Path(path)
+    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    system.rename(hadoop.Path(new), old)
+
+
 def last_runs(runs: DataFrame, keep: int = RUNS_KEPT, ties: tuple[str, ...] = ()) -> DataFrame:
     """The newest ``keep`` runs."""
     order = [F.col("timestamp").desc(), *(F.col(tie).desc() for tie in ties)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from offerloom.operators.extract import dedupe_page, extract_feed_offers, extract_markdown_offers, extract_page_offers, line_blocks
 from offerloom.operators.slugs import crawl_frontier, discover_slugs, paged_frontier
 from offerloom.plans.collect import collect_all, collect_markdown, collect_sources
+from offerloom.sources.profiles import DISCOVERY
 from offerloom.sources.pages import markdown_lines, read_captures, read_feed, read_markdown_pages, read_sitemaps, select_sources, sitemap_locs
 
 MARKDOWN = """# Deals
@@ -194,11 +195,26 @@ def test_discovery(spark):
     assert [r.u for r in pages] == ["b", "b?page=2", "b?page=3"]
 
 
-def test_sitemap_files(spark, tmp_path):
-    (tmp_path / "a.xml").write_text(index("one", "two"))
-    (tmp_path / "b.xml").write_text(urlset(" three "))
-    got = sorted((r.is_index, r.loc) for r in read_sitemaps(spark, str(tmp_path)).collect())
-    assert got == [(False, "three"), (True, "one"), (True, "two")]
+def test_sitemap_files_lead_to_slugs(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(index("https://m/merchant1", "https://m/other"))
+    (tmp_path / "b.xml").write_text(urlset(" https://www.savoo.co.uk/brands/three "))
+    (tmp_path / "c.xml").write_text(urlset("https://www.savoo.co.uk/brands/four"))
+    (tmp_path / "unknown.xml").write_text(urlset("https://www.savoo.co.uk/brands/five"))
+    manifest = spark.createDataFrame(
+        [("a.xml", "savoo", "https://m/index", 0), ("b.xml", "savoo", "https://m/merchant1", None), ("c.xml", "savoo", "https://m/other", None)],
+        "file string, source string, sitemap_url string, sitemap_ord long",
+    )
+    locs = read_sitemaps(spark, str(tmp_path), manifest)
+    assert sorted((r.is_index, r.pos, r.loc) for r in locs.collect())[-2:] == [(True, 0, "https://m/merchant1"), (True, 1, "https://m/other")]
+    assert [r.slug for r in discover_slugs(locs, {"savoo": DISCOVERY["savoo"]}).collect()] == ["three"]
+
+
+def test_feed_items_are_numbered_by_file(spark, tmp_path):
+    for n, name in enumerate(("b.xml", "a.xml")):
+        items = "".join(f"<item><title>{name}{k}</title><link>l</link></item>" for k in range(30))
+        (tmp_path / name).write_text(f"<rss><channel>{items}</channel></rss>")
+    rows = read_feed(spark, str(tmp_path)).orderBy("item_no").collect()
+    assert [r.title for r in rows] == [f"{name}{k}" for name in ("a.xml", "b.xml") for k in range(30)]
 
 
 def test_sources(spark, tmp_path):
