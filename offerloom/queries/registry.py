@@ -488,7 +488,7 @@ def collection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = work_path(spark, "runs")
     for _ in range(2):
         append_run_log(collected.runs, log)
-    trim_run_log(spark, log, 2)
+    trim_run_log(spark, log, 3)
     logged = spark.read.parquet(log).groupBy("source").agg(F.max(F.col("codesFound") + F.size("errors")).alias("n"))
     per_store = result.offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     left = result.stores.join(per_store, "domain").select(F.lit("store").alias("part"), F.col("domain").alias("label"), "n")
