@@ -194,5 +194,61 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    lists = " ".join(f"WHEN '{lang}' THEN {list(words)}" for lang, words in COMMON_WORDS.items())
+    width = max(map(len, COMMON_WORDS.values()))
+    part = "CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+
+    def js(p: str, q: str, n: int) -> str:
+        both = f"{part.format(x=f'{p}[k]', y=f'{q}[k]')} + {part.format(x=f'{q}[k]', y=f'{p}[k]')}"
+        return f"sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda k: {both})) / 2))"
+
+    def means(shares: str, n: int) -> str:
+        return "[" + ", ".join(f"avg({shares}[{k}])" for k in range(1, n + 1)) + "]"
+
+    return rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN {tuple(COMMON_WORDS)} THEN lang ELSE '' END AS lang FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t
+), b AS (
+  SELECT *, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, ' ' || lower(array_to_string(ws, '  ')) || ' ' AS padded,
+         len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[0-9]')) AS digits,
+         len(regexp_extract_all(text, '[!-/:-@\[-`{{-~]')) AS marks, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines
+  FROM w
+), h AS (
+  SELECT *, [word_chars - upper - digits - marks, upper, digits, marks, length(text) - word_chars, strlen(text) - length(text)] AS cs,
+         coalesce(list_transform(CASE lang {lists} END, lambda x: (strlen(padded) - strlen(replace(padded, ' ' || x || ' ', ''))) // strlen(' ' || x || ' ')),
+                  list_transform(range({width}), lambda x: 0)) AS hits
+  FROM b
+), s AS (
+  SELECT *, list_transform(cs, lambda c: CASE WHEN list_sum(cs) > 0 THEN c / list_sum(cs) ELSE 0 END) AS chars,
+         list_transform(list_append(hits, n_words - list_sum(hits)), lambda c: CASE WHEN n_words > 0 THEN c / n_words ELSE 0 END) AS common
+  FROM h
+), r AS (
+  SELECT lang, {means("chars", 6)} AS r_chars, {means("common", width + 1)} AS r_common
+  FROM s WHERE n_words >= {GUARD_WORDS} GROUP BY lang HAVING count(*) >= {GUARD_DOCUMENTS}
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), twice AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows
+), repeated AS (
+  SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM twice WHERE n > 1) GROUP BY doc_id
+), judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lang,
+         n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED} * n_words AS base_failed,
+         CASE WHEN r_chars IS NOT NULL AND n_words >= {GUARD_WORDS} THEN {js("chars", "r_chars", 6)} ELSE 0 END AS class_distance,
+         CASE WHEN r_chars IS NOT NULL AND n_words >= {GUARD_WORDS} AND lang <> '' THEN {js("common", "r_common", width + 1)} ELSE 0 END AS word_distance
+  FROM s LEFT JOIN r USING (lang) LEFT JOIN repeated USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND class_distance <= {MAX_CLASS_DISTANCE} AND word_distance <= {MAX_WORD_DISTANCE} AS kept
+FROM judged
+"""
+
+
 QUERIES = {"op2_divergence": op2_divergence}
-SQL: dict[str, str] = {}
+SQL = {"op2_divergence": _sql()}
