@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +23,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _table(values: list[int]) -> Column:
+    """A constant array, folded to one literal (an array of literals would be one expression for each)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _words(line: str) -> Column:
     return F.array_distinct(F.array_remove(F.split(line, SEPARATORS), ""))
 
@@ -47,7 +50,7 @@ def word_ranks(lines: DataFrame) -> list[int]:
 
 def _tokens(ranks: list[int]) -> Column:
     """The line's words as numbers in one order for all lines, rarest first: rank of the group, then the rest of the hash."""
-    table = F.lit(ranks)
+    table = _table(ranks)
     low = F.lit((1 << LOW_BITS) - 1)
 
     def number(word: Column) -> Column:
@@ -63,15 +66,22 @@ def needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * SIMILARITY / F.lit(100 + SIMILARITY) - 1e-9)
 
 
+def _prefix(n: Column) -> Column:
+    """Length of the prefix that a set of n words shares a word of with every set it matches."""
+    return (n - F.ceil(n * SIMILARITY / 100.0 - 1e-9) + 1).cast("int")
+
+
 def candidates(tokens: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line hashes that share a word of both prefixes and pass the length and positional filters.
+    """Pairs (a, b) of line hashes that may match: prefix, length and positional filters.
 
-    ``tokens``: (h1, tokens). Two sets that match share one of the first n - ceil(0.8 n) + 1 words of each in the
-    common order. Copies of a line send their prefix words once more each, and are one before they are joined.
+    ``tokens``: (h1, tokens), shorter sets with null tokens. Sets that match share one of the first
+    n - ceil(0.8 n) + 1 words in the common order, and their sizes are alike. Shared words c of both prefixes also
+    bound the whole: behind its prefix the set whose prefix ends first has n - prefix words, so no more than c plus
+    that many are common; nor more than c plus what follows the last shared place in either set. Copies of a line
+    are one before they are joined.
     """
     n = F.size("tokens")
-    prefix = (n - F.ceil(n * SIMILARITY / 100.0 - 1e-9) + 1).cast("int")
-    rows = tokens.select("h1", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("k", "t"))
+    rows = tokens.select("h1", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), _prefix(n))).alias("k", "t"))
     rows = rows.select("t", "h1", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k")).alias("nk"))
     partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(partitions, "t").groupBy("t", "h1", "nk").agg(F.lit(1).alias("one")).drop("one")
@@ -84,10 +94,30 @@ def candidates(tokens: DataFrame) -> DataFrame:
             F.col("nk").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"k_{name}"),
         )
 
-    n_a, n_b, k_a, k_b = (F.col(c) for c in ("n_a", "n_b", "k_a", "k_b"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
     long_enough = (100 * n_a >= SIMILARITY * n_b) & (100 * n_b >= SIMILARITY * n_a)
-    reach = 1 + F.least(n_a - k_a, n_b - k_b) - 1
-    return side("a").join(side("b"), "t").filter((F.col("a") < F.col("b")) & long_enough & (reach >= needed(n_a, n_b))).select("a", "b").distinct()
+    met = side("a").join(side("b"), "t").filter((F.col("a") < F.col("b")) & long_enough)
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("k_a").alias("k_a"), F.max("k_b").alias("k_b"))
+    behind = F.least(
+        F.greatest(n_a - _prefix(n_a), n_b - _prefix(n_b)), n_a - F.col("k_a") - 1, n_b - F.col("k_b") - 1
+    )
+    return pairs.filter(F.col("c") + behind >= needed(n_a, n_b)).select("a", "b").distinct()
+
+
+#: Bits of the table that says which line hashes to look at again; a full table lets every line through.
+MARK_BITS = 22
+
+
+def _marks(ids: DataFrame) -> Column:
+    """A test of ``h1`` against a bit table of fixed size: true for every id of ``ids``, and for some others."""
+    place = F.shiftrightunsigned("h1", 64 - MARK_BITS).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+    rows = ids.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    table = [0] * (1 << (MARK_BITS - 6))
+    for row in rows:  # at most 65,536
+        table[row["w"]] = row["bits"]
+    word = F.get(_table(table), F.floor(place / 64).cast("int"))
+    return F.call_function("shiftrightunsigned", word, place % 64).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,20 +130,25 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     lines = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     ranks = word_ranks(lines)
-    hashed = lines.select(
-        "doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), _words("line").alias("words")
-    ).filter(F.size("words") >= MIN_WORDS)
-    places = hashed.select("h1", "h2", "doc_id", "line_no")
+    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), "line")
+    places = (
+        hashed.filter(F.size(_words("line")) >= MIN_WORDS)
+        .select("h1", F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "line_no")
+    )
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
     first = stored(first, "first-lines")
 
-    pairs = stored(candidates(hashed.select("h1", _tokens(ranks).alias("tokens"))), "candidates")
-    ids = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    spots = first.join(ids, "h1", "left_semi")
-    texts = lines.join(spots.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), ["doc_id", "line_no"])
-    sets = stored(texts.select("h1", "h2", "doc_id", "line_no", _tokens_of_words().alias("s")), "sets")
-    matches = _verified(pairs, sets)
-    return _later(places, first, matches)
+    # No filter here: it would be pushed down and split the lines a second time. A short line has no prefix.
+    worded = hashed.select("h1", _words("line").alias("words"))
+    tokens = F.when(F.size("words") >= MIN_WORDS, _tokens(ranks))
+    pairs = stored(candidates(worded.select("h1", tokens.alias("tokens"))), "candidates")
+    ids = stored(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "candidate-lines")
+    spots = first.join(ids, "h1", "left_semi").select(
+        "h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")
+    )
+    again = hashed.filter(_marks(ids)).select("doc_id", "line_no", "line")
+    sets = stored(again.join(spots, ["doc_id", "line_no"]).select("h1", "h2", "doc_id", "line_no", _tokens_of_words().alias("s")), "sets")
+    return _later(places, first, _verified(pairs, sets))
 
 
 def _tokens_of_words() -> Column:
