@@ -74,15 +74,17 @@ class _Generation:
 
 
 class PieceEncoder:
-    """Ids of texts; ``encode_word`` gives those of one pre-token.
+    """Ids of texts; ``encode_word`` gives those of one pre-token, ``encode_text`` those of a text that holds one of ``added``.
 
     Two generations are kept: what the older one knows moves to the newer when met again, and when the newer is full
     the older goes.
     """
 
-    def __init__(self, encode_word, remembered: int = REMEMBERED):
+    def __init__(self, encode_word, remembered: int = REMEMBERED, added: tuple[str, ...] = (), encode_text=None):
         self.split = regex.compile(PATTERN).findall
         self.encode_word = encode_word
+        self.added = added
+        self.encode_text = encode_text
         self.remembered = remembered
         self.new = self.old = _Generation(self)
 
@@ -117,8 +119,9 @@ class PieceEncoder:
         units: list[str] = []
         firsts, sizes = [], []
         for text in texts:
-            parts = text.split(" ")
-            firsts.append(parts[0])
+            special = any(token in text for token in self.added)
+            parts = [""] if special else text.split(" ")
+            firsts.append(None if special else parts[0])
             parts[0] = "a"  # any known piece; replaced below
             sizes.append(len(parts))
             units += parts
@@ -127,6 +130,9 @@ class PieceEncoder:
         odd = np.minimum.reduceat(codes, begins) < 0
         known, used = len(new.starts), len(new.pool)
         for k, (text, first) in enumerate(zip(texts, firsts, strict=True)):
+            if first is None:
+                codes[begins[k]] = new.store(array("I", self.encode_text(text)).tobytes())
+                continue
             if not first or first[-1].isspace():
                 odd[k] = True
             codes[begins[k]] = new.store(self.whole(text if odd[k] else first))
@@ -143,10 +149,15 @@ class PieceEncoder:
 
 @functools.cache
 def library_encoder(path: str) -> PieceEncoder:
-    """By the tokenizers library: pre-tokens go to its BPE model."""
-    model = Tokenizer.from_file(path).model
+    """By the tokenizers library: pre-tokens go to its BPE model, texts that hold an added token to the whole of it."""
+    tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
     table = dict(enumerate(byte_letters()))
-    return PieceEncoder(lambda word: [token.id for token in model.tokenize(letters_of(word, table))])
+    return PieceEncoder(
+        lambda word: [token.id for token in model.tokenize(letters_of(word, table))],
+        added=tuple(token.content for token in tokenizer.get_added_tokens_decoder().values()),
+        encode_text=lambda text: tokenizer.encode(text, add_special_tokens=False).ids,
+    )
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -36,6 +36,24 @@ def test_pieces_encode_as_whole_texts(texts):
     assert ids.tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+def test_added_tokens_in_texts(spark, docs, library, tmp_path):
+    assert library("one <|endoftext|> two") == [505, 220, 50256, 734]
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", "one two", end, f"{end}{end} a", f"a{end}\n b", f"é \n {end}", "<|endoftext| >", f" x  {end[:-1]}", ""]
+    ids, counts = bpe.library_encoder(JSON).encode(texts)
+    assert counts.tolist() == [len(library(t)) for t in texts]
+    assert ids.tolist() == [i for t in texts for i in library(t)]
+    table = docs(list(enumerate(texts)))
+    simple8b.write_ids(table, str(tmp_path / "ids"), JSON)
+    start, want = 0, []
+    for k, text in enumerate(texts):
+        own = np.array([*library(text), 0], "<u4")
+        want.append((k, start, len(own), zlib.crc32(own.tobytes())))
+        start += len(own)
+    assert [tuple(r) for r in simple8b.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()] == want
+    check_packed(packing.pack(table.coalesce(1), JSON).collect(), {k: [t] for k, t in enumerate(texts)}, library, 1024)
+
+
 def test_a_full_memory_starts_anew(library):
     encoder = bpe.library_encoder(JSON)
     small = bpe.PieceEncoder(encoder.encode_word, remembered=3)
