@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.llm.arrow import documents, id_and_text, pieces, stored, text_buffers, within
@@ -256,16 +255,6 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 4, id_col: str = "d
     )
 
 
-def one_of_each(docs: DataFrame, words_in_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of rows that share an id, one. Null ids stay."""
-    found = near_duplicates(docs, words_in_shingle, id_col, text_col)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("s_id")).distinct()
-    order = W.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    single = docs.filter(F.col(id_col).isNotNull()).withColumn("s_n", F.row_number().over(order)).filter("s_n = 1").drop("s_n")
-    single = single.join(kept, single[id_col].cast("long") == kept["s_id"], "left_semi")
-    return single.unionByName(docs.filter(F.col(id_col).isNull()))
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
