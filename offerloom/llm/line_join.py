@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.arrow import documents, stored
 
-#: Lines match if the sets of their words have at least this Jaccard similarity (in hundredths); shorter lines stay.
+#: Lines match if the sets of their words have at least this Jaccard similarity (in hundredths). Shorter lines match by
+#: equal sets only (what the similarity comes to below five words), and stay where they are not asked for.
 SIMILARITY, MIN_WORDS = 80, 5
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -120,21 +121,29 @@ def _marks(ids: DataFrame) -> Column:
     return F.call_function("shiftrightunsigned", word, place % 64).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _places(hashed: DataFrame, short_lines: bool) -> DataFrame:
+    """The places of lines under two hashes: of the line, or of the sorted set of its words where that is short."""
+    words = _words("line")
+    first, second = F.col("h1"), F.xxhash64(F.lit(7), "line")
+    if short_lines:
+        few, own = F.size(words) < MIN_WORDS, F.sort_array(words)
+        first, second = F.when(few, F.xxhash64(own)).otherwise(first), F.when(few, F.xxhash64(F.lit(7), own)).otherwise(second)
+    taking_part = F.size(words) >= (1 if short_lines else MIN_WORDS)
+    return hashed.filter(taking_part).select(first.alias("h1"), second.alias("h2"), "doc_id", "line_no")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """(doc_id, line_no) of every line that matches an earlier one: by doc_id, then by place in the text.
 
-    Lines (parted by newlines) of fewer than five different words stay, as do lines of rows with a null id; every
-    other line goes if an earlier line of any document, this one included, has a set of words with a Jaccard
+    Lines (parted by newlines) of fewer than five different words stay unless ``short_lines``, lines without words and
+    of rows with a null id stay always; every other line goes if an earlier line of any document, this one included, has a set of words with a Jaccard
     similarity of 0.8 or more - judged on the input, not on what is left. Null texts have no lines; rows that share
     an id are one text twice; an empty table gives no rows.
     """
     lines = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     ranks = word_ranks(lines)
     hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), "line")
-    places = (
-        hashed.filter(F.size(_words("line")) >= MIN_WORDS)
-        .select("h1", F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "line_no")
-    )
+    places = _places(hashed, short_lines)
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
     first = stored(first, "first-lines")
 
@@ -178,12 +187,12 @@ def _later(places: DataFrame, first: DataFrame, matches: DataFrame) -> DataFrame
     return places.join(bounds, ["h1", "h2"]).filter(F.col("bound") < F.struct("doc_id", "line_no")).select("doc_id", "line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """The rows of ``docs`` with the lines of ``removed_lines`` taken out of the text; all rows and columns stay.
 
     A text of which every line goes is empty; a null text stays null.
     """
-    gone = removed_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("l_gone"))
+    gone = removed_lines(docs, id_col, text_col, short_lines).groupBy("doc_id").agg(F.collect_set("line_no").alias("l_gone"))
     gone = gone.withColumnRenamed("doc_id", "l_doc")
     # A map of places, so that a text with many lines is not searched line by line.
     places = F.map_from_entries(F.transform("l_gone", lambda k: F.struct(k, F.lit(True))))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from offerloom.llm import line_join
 from tests.llm.conftest import ODD
 
@@ -64,3 +65,23 @@ def test_texts_without_the_lines(docs):
 def test_no_python_in_the_plan(docs):
     plan = line_join.removed_lines(docs(ODD))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_short_lines_by_equal_sets(spark, docs):
+    rows = [*table_rows(5), (1, "read more\nx\n\n \nby a b"), (2, "more  read\nX\nx"), (3, "a by b by\na b c d a b\n\nlong words are in this line")]
+    rows += [(4, "d c\tb a\nd c b\nlong words are in this line"), (None, "x\nread more"), (2, "more  read\nX\nx")]
+    lines = []
+    for i, text, *_ in rows:
+        if i is not None and text is not None:
+            lines += [((i, k), frozenset(WORD.findall(line))) for k, line in enumerate(text.split("\n"))]
+    short = [x for x in lines if 1 <= len(x[1]) <= 4]
+    first = {}
+    for place, own in short:
+        first[own] = min(place, first.get(own, place))
+    want = brute(rows) | {place for place, own in short if first[own] < place}
+    assert (2, 0) in want and (4, 0) in want and (1, 2) not in want
+    got = line_join.removed_lines(docs(rows).repartition(3), short_lines=True).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == want
+    table = docs([(1, "read more\nx"), (2, "x\ny\nmore read")])
+    stage = corpus_pipeline.lines(spark, table, "").collect()
+    assert sorted((r.doc_id, r.text) for r in stage) == [(1, "read more\nx"), (2, "y")]
