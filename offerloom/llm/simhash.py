@@ -144,14 +144,15 @@ STEP_PAIRS = 1 << 20
 def anchor_links(points: np.ndarray, values: np.ndarray, homes: np.ndarray, threshold: int = THRESHOLD):
     """(value, value) links found at each anchor; rows come sorted by anchor, whole groups only.
 
-    Every fingerprint at home is compared with all that were sent there. A group with many more hits than members
-    is linked as a forest.
+    Every fingerprint at home is compared with all that were sent there. A group is linked as a forest as soon as it has
+    many more hits than members, so no more than those are kept.
     """
     begins = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1]]))
     sizes = np.diff(np.append(begins, len(points)))
     group = np.repeat(np.arange(len(begins)), sizes)
     at_home = np.flatnonzero(homes)
     hits = np.zeros(len(begins), np.int64)
+    dense = np.zeros(len(begins), bool)
     left, right = [], []
     work = np.cumsum(sizes[group[at_home]])
     begin = 0
@@ -159,18 +160,20 @@ def anchor_links(points: np.ndarray, values: np.ndarray, homes: np.ndarray, thre
         base = work[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(work, base + STEP_PAIRS)))
         mine = at_home[begin:end]
+        mine = mine[~dense[group[mine]]]
         counts = sizes[group[mine]]
         a = np.repeat(mine, counts)
         b = np.repeat(begins[group[mine]], counts) + within(counts)
         near = (np.bitwise_count(values[a] ^ values[b]) <= threshold) & (a != b)
         a, b = a[near], b[near]
-        np.add.at(hits, group[a], 1)
-        left.append(a)
-        right.append(b)
+        hits += np.bincount(group[a], minlength=len(hits))
+        dense = hits > 4 * sizes
+        plain = ~dense[group[a]]
+        left.append(a[plain])
+        right.append(b[plain])
         begin = end
     a = np.concatenate(left) if left else at_home[:0]
     b = np.concatenate(right) if right else at_home[:0]
-    dense = hits > 4 * sizes
     plain = ~dense[group[a]]
     a, b = a[plain], b[plain]
     for g in np.flatnonzero(dense).tolist():

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -84,6 +85,18 @@ def test_links_of_a_dense_group_stay_few():
     assert len(simhash.anchor_links(points, values, homes)) == len(values) - 1
 
 
+def test_links_of_a_dense_group_are_not_kept(monkeypatch):
+    monkeypatch.setattr(simhash, "STEP_PAIRS", 1 << 16)
+    values = np.array([(1 << i) | (1 << j) for i in range(64) for j in range(i + 1)], np.uint64)  # all within 4 bits
+    points, homes = np.zeros(len(values), np.uint64), np.ones(len(values), bool)
+    tracemalloc.start()
+    links = simhash.anchor_links(points, values, homes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == len(values) - 1
+    assert peak < 20 << 20
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
