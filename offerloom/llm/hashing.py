@@ -46,11 +46,11 @@ def powers(factor: int, n: int) -> np.ndarray:
     return _powers(factor, 1 << max(12, int(n).bit_length()))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the word at which each text begins (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -63,7 +63,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, separator: np.ndarray = SEPARATOR) -> np.ndarray:
     """A 64-bit hash of each word."""
     if not len(begins):
         return np.zeros(0, U)
@@ -71,7 +71,7 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     spans = np.diff(np.append(begins, len(data)))
     place = np.arange(len(data) - first) - np.repeat(begins - first, spans)
     values = BYTE_VALUES[data[first:]]
-    values[SEPARATOR[data[first:]]] = 0
+    values[separator[data[first:]]] = 0
     values *= powers(BYTE_FACTOR, int(spans.max()))[place]
     return mix(np.add.reduceat(values, begins - first) + (ends - begins).astype(U))
 

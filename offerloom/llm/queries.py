@@ -1,8 +1,34 @@
 """The registered queries of this subpackage."""
 
-from offerloom.llm import divergence, graph_search, line_join, ngram_filter, packing, rank_codec, simhash, simple8b, substrings, suffixes
+from offerloom.llm import (
+    divergence,
+    graph_search,
+    line_join,
+    ngram_filter,
+    packing,
+    phrases,
+    rank_codec,
+    simhash,
+    simple8b,
+    substrings,
+    suffixes,
+    turn_repair,
+)
 
-MODULES = (graph_search, divergence, simhash, substrings, ngram_filter, simple8b, rank_codec, line_join, suffixes, packing)
+MODULES = (
+    graph_search,
+    divergence,
+    simhash,
+    substrings,
+    ngram_filter,
+    simple8b,
+    rank_codec,
+    line_join,
+    suffixes,
+    packing,
+    phrases,
+    turn_repair,
+)
 
 
 def all_queries():
