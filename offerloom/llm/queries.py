@@ -3,6 +3,7 @@
 from offerloom.llm import (
     divergence,
     graph_search,
+    language,
     line_join,
     ngram_filter,
     packing,
