@@ -142,8 +142,20 @@ def _page_rows(html: str, profile: PageProfile) -> Iterator[tuple]:
         yield row("sibling", node, {}, text, max(page.parent[parent], 0))
 
 
+def _page_or_fault(html: str, profile: PageProfile) -> list[tuple]:
+    """All rows of a page, or its error row: a page counts whole or not at all."""
+    try:
+        return list(_page_rows(html, profile))
+    except Exception as fault:  # whatever a parser raises is this page's own
+        return [(None, None, "error", 0, {}, str(fault) or type(fault).__name__, None)]
+
+
 def page_elements(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> DataFrame:
-    """Rows of ``kind`` page, attribute, card, button or sibling for captures (source, url, slug, html)."""
+    """Rows of ``kind`` page, attribute, card, button or sibling for captures (source, url, slug, html).
+
+    A page that cannot be parsed gives one row of kind ``error`` whose text says why, and no other; the pages beside it
+    are not touched.
+    """
 
     names = [column.split(" ")[0] for column in ROWS.split(", ")]
 
@@ -152,7 +164,7 @@ def page_elements(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES)
         for batch in batches:
             for source, url, slug, html in batch.itertuples(index=False, name=None):
                 if html is not None and source in profiles:
-                    found = _page_rows(html, profiles[source])
+                    found = _page_or_fault(html, profiles[source])
                     rows.extend((source, url, slug, *element) for element in found)
                 if len(rows) >= FLUSH_ROWS:
                     yield pd.DataFrame(rows, columns=names)

@@ -159,7 +159,7 @@ def split_blocked_pages(
     )
     reason = _per_source(list(guarded), lambda source: F.lit(guarded[source].blocked_reason))
     errors = captures.filter(F.col("source").isin(*guarded)).filter(blocked).select(
-        "source", F.concat_ws(": ", "slug", reason).alias("error")
+        "source", _page_error(reason)
     )
     return captures.filter(~blocked), errors
 
@@ -204,20 +204,63 @@ def dedupe_page(offers: DataFrame) -> DataFrame:
     return first_rows(offers.withColumn("_repeat", repeat), ["source", "url", "code", "_repeat"], [F.col("pos")])
 
 
+def split_failed_pages(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Delivered captures, and one error row (source, error) for each with an HTTP status that is none of 200 to 299.
+
+    Captures without a ``status`` column, and a null status, count as delivered.
+    """
+    if "status" not in captures.columns:
+        return captures, captures.limit(0).select("source", F.lit("").alias("error"))
+    status = F.col("status").cast("int")
+    failed = F.coalesce(~status.between(200, 299), F.lit(False))
+    errors = captures.filter(failed).select("source", _page_error(F.concat(F.lit("HTTP "), status.cast("string"))))
+    return captures.filter(~failed), errors
+
+
+def _page_error(reason: Column) -> Column:
+    return F.concat_ws(": ", "slug", reason).alias("error")
+
+
+def dead_letters(elements: DataFrame) -> DataFrame:
+    """Pages that could not be parsed, to be looked at again: source, url, slug, reason."""
+    return elements.filter(F.col("kind") == "error").select("source", "url", "slug", F.col("text").alias("reason"))
+
+
+def page_faults(elements: DataFrame) -> DataFrame:
+    """One error row (source, error) for each page that could not be parsed."""
+    return dead_letters(elements).select("source", _page_error(F.col("reason")))
+
+
 def extract_page_offers(
     captures: DataFrame, profiles: dict[str, PageProfile] = PAGES
 ) -> tuple[DataFrame, DataFrame]:
-    """Offers and error rows of stored pages (source, url, slug, html)."""
-    sources = list(profiles)
-    readable, errors = split_blocked_pages(captures, profiles)
+    """Offers and error rows of stored pages (source, url, slug, html; status if there is one).
+
+    Error rows tell of pages that were not delivered, that are challenges, or that could not be parsed. Offers and
+    errors each parse the pages when they are run; ``plans.collect.collect_pages`` parses once for both.
+    """
+    readable, errors = readable_pages(captures, profiles)
     elements = page_elements(readable, profiles)
+    return element_offers(elements, profiles), errors.unionByName(page_faults(elements))
+
+
+def readable_pages(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> tuple[DataFrame, DataFrame]:
+    """Pages worth parsing, and error rows of the others; nothing is parsed for it."""
+    delivered, failed = split_failed_pages(captures)
+    readable, blocked = split_blocked_pages(delivered, profiles)
+    return readable, failed.unionByName(blocked)
+
+
+def element_offers(elements: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> DataFrame:
+    """Raw offers of ``page_elements``."""
+    sources = list(profiles)
 
     def usable(code: Column) -> Column:
         return F.when((F.col("kind") == "sibling") | is_valid_code(code), code)
 
     second_pass = F.when(F.col("kind") == "attribute", F.lit(0)).otherwise(F.lit(1))
     found = (
-        elements.filter(F.col("kind") != "page")
+        elements.filter(~F.col("kind").isin("page", "error"))
         .withColumn("code", present(let(element_code(sources, profiles), usable)))
         .select(
             _per_source(sources, lambda source: F.lit(SOURCE_RANK.get(source, len(SOURCE_RANK)))).alias("source_rank"),
@@ -233,4 +276,4 @@ def extract_page_offers(
         )
     )
     offers = dedupe_page(found).withColumn("type", offer_type(F.col("description")))
-    return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers))), errors
+    return as_raw_offers(resolve_domain_text(resolve_domain_slug(offers)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -11,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.operators.dedupe import dedupe_source, union_sources
+from offerloom.operators.containers import page_elements
 from offerloom.operators.extract import (
     as_raw_offers,
+    element_offers,
     extract_feed_offers,
     extract_markdown_offers,
-    extract_page_offers,
+    page_faults,
+    readable_pages,
 )
 from offerloom.operators.lifecycle import (
     RETENTION_DAYS,
@@ -32,9 +36,12 @@ from offerloom.operators.merge import (
 )
 from offerloom.schemas import RAW_OFFER, RUN
 from offerloom.session import durable, work_path
+from offerloom.sources.profiles import PAGES, PageProfile
 from offerloom.sources.registry import read_registry_table, write_registry_table
 
 ERRORS = "source string, error string"
+#: Page errors that a run row lists itself; all of them are error rows.
+LOGGED_ERRORS = 100
 
 
 def collect_markdown(pages: DataFrame) -> DataFrame:
@@ -42,6 +49,28 @@ def collect_markdown(pages: DataFrame) -> DataFrame:
     return dedupe_source(extract_markdown_offers(pages))
 
 
+@dataclass
+class Pages:
+    """What stored pages gave: raw offers, an error row for each page that gave none, and the parsed elements."""
+
+    offers: DataFrame
+    errors: DataFrame
+    elements: DataFrame
+
+
+def collect_pages(captures: DataFrame, profiles: dict[str, PageProfile] = PAGES) -> Pages:
+    """Offers and error rows of stored pages, which are parsed once: their elements are written in between.
+
+    ``extract.dead_letters`` of the elements are the pages that could not be parsed.
+    """
+    spark = captures.sparkSession
+    readable, errors = readable_pages(captures, profiles)
+    elements, path = page_elements(readable, profiles), work_path(spark, "elements")
+    elements.write.parquet(path)
+    elements = spark.read.schema(elements.schema).parquet(path)
+    return Pages(element_offers(elements, profiles), errors.unionByName(page_faults(elements)), elements)
+
+
 @dataclass
 class Collected:
     """Raw offers of all sources that could be read, an error row for each that could not, and one run row each."""
@@ -51,44 +80,61 @@ class Collected:
     runs: DataFrame
 
 
-def collect_sources(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]]) -> Collected:
+def collect_sources(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame | Pages]]) -> Collected:
     """Raw offers of all sources, written source by source, so that one which fails while it is read stops no other.
 
-    The run rows hold what was found and how long it took; ``codesAdded`` and ``codesUpdated`` are 0 before the merge.
+    A source gives raw offers, or ``Pages``, whose page errors become error rows of their own while its other pages
+    count. The run rows hold what was found, how long it took, and the first 100 errors (one more entry says how many
+    follow); ``codesAdded`` and ``codesUpdated`` are 0 before the merge.
     """
-    parts, failures, runs = [spark.createDataFrame([], RAW_OFFER)], [], []
+    parts, failures, runs = [spark.createDataFrame([], RAW_OFFER)], [spark.createDataFrame([], ERRORS)], []
     base = work_path(spark, "collected")
     for number, (name, read) in enumerate(sources.items()):
-        path, begun, found, error = f"{base}/source={number}", time.time(), 0, None
+        path, begun, found, told = f"{base}/source={number}", time.time(), 0, []
         try:
-            as_raw_offers(read()).write.parquet(path)
+            given = read()
+            pages = given if isinstance(given, Pages) else None
+            as_raw_offers(pages.offers if pages else given).write.parquet(path)
             part = spark.read.schema(RAW_OFFER).parquet(path)
             found = part.count()
             parts.append(part)
+            if pages:
+                told = _written_errors(pages.errors, f"{base}/errors={number}", failures)
         except Exception as failure:  # one broken source must not stop the others
-            error = (str(failure).splitlines() or [type(failure).__name__])[0]
-            failures.append((name, error))
+            told = [(str(failure).splitlines() or [type(failure).__name__])[0]]
+            failures.append(spark.createDataFrame([(name, told[0])], ERRORS))
         moment = datetime.datetime.fromtimestamp(begun, datetime.timezone.utc)
-        runs.append((moment, name, found, 0, 0, int((time.time() - begun) * 1000), [error] if error else []))
+        runs.append((moment, name, found, 0, 0, int((time.time() - begun) * 1000), told))
     return Collected(
-        union_sources(parts), spark.createDataFrame(failures, ERRORS), spark.createDataFrame(runs, RUN)
+        union_sources(parts), functools.reduce(DataFrame.unionByName, failures), spark.createDataFrame(runs, RUN)
     )
 
 
+def _written_errors(errors: DataFrame, path: str, failures: list[DataFrame]) -> list[str]:
+    """Writes the error rows of a source's pages, and names the first of them for the log."""
+    errors.select("source", "error").write.parquet(path)
+    rows = errors.sparkSession.read.schema(ERRORS).parquet(path)
+    failures.append(rows)
+    told = [row["error"] for row in rows.orderBy("error").limit(LOGGED_ERRORS).collect()]
+    more = rows.count() - len(told)
+    return [*told, f"and {more} more"] if more else told
+
+
 def collect_all(
     feed: DataFrame | None = None,
     captures: DataFrame | None = None,
     markdown: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Raw offers of whatever inputs are there, and the error rows of challenge pages."""
+    """Raw offers of whatever inputs are there, and the error rows of pages that gave none."""
     parts, errors = [], None
     if feed is not None:
         parts.append(extract_feed_offers(feed))
     if markdown is not None:
         parts.append(collect_markdown(markdown))
     if captures is not None:
-        offers, errors = extract_page_offers(captures)
-        parts.append(offers)
+        pages = collect_pages(captures)
+        parts.append(pages.offers)
+        errors = pages.errors
     return union_sources(parts), errors
 
 

@@ -19,13 +19,14 @@ from offerloom.operators.lifecycle import (
 )
 from offerloom.operators.merge import merge_offers, merge_stats, store_upsert, upsert
 from offerloom.operators.serve import source_contribution
-from offerloom.plans.collect import collect_sources, run_collection
+from offerloom.plans.collect import collect_pages, collect_sources, run_collection
 from offerloom.queries.common import (
     OFFER_TEXT_SQL,
     offer_text,
     pence,
     sql_clean,
     sql_min_spend,
+    sql_norm,
     sql_pence,
     sql_plain,
     sql_stamp,
@@ -34,6 +35,7 @@ from offerloom.queries.common import (
     stamp,
     table,
 )
+from offerloom.queries.pages import BUTTON_OFFERS, faulty_captures
 from offerloom.session import work_path
 from offerloom.sources.registry import (
     empty_registry,
@@ -471,9 +473,10 @@ SELECT unnest(['found', 'added', 'updated', 'pruned', 'total']) AS counter, unne
 
 
 def collection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run: collect (one source fails while it is read), merge, expire, remove reported, drop empty stores, log.
+    """A whole run: collect (one source fails while it is read, some pages of another cannot be read), merge, expire,
+    remove reported, drop empty stores, log.
 
-    Offers left per store, the counters, and what the log says of each source.
+    Offers left per store, the counters, the error rows of pages, and what the log says of each source.
     """
     offers, stores = _early(spark, sf_dir)
     reports = table(spark, sf_dir, "supplier").select(
@@ -483,35 +486,46 @@ def collection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     late = item_offers(spark, sf_dir, "late")
     broken = late.withColumn("code", F.when(F.col("pos") >= 0, F.raise_error(F.lit("unreadable")).cast("string")))
-    collected = collect_sources(spark, {"items": lambda: late, "broken": lambda: broken})
+    captures = faulty_captures(spark, sf_dir, "coupert")
+    collected = collect_sources(spark, {"items": lambda: late, "broken": lambda: broken, "pages": lambda: collect_pages(captures)})
     result = run_collection(offers, stores, collected.offers, F.lit(LATE), reports, collected.errors)
     log = work_path(spark, "runs")
     for _ in range(2):
         append_run_log(collected.runs, log)
-    trim_run_log(spark, log, 3)
+    trim_run_log(spark, log, 5)
     logged = spark.read.parquet(log).groupBy("source").agg(F.max(F.col("codesFound") + F.size("errors")).alias("n"))
     per_store = result.offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     left = result.stores.join(per_store, "domain").select(F.lit("store").alias("part"), F.col("domain").alias("label"), "n")
     counters = result.summary.select(F.lit("counter").alias("part"), F.col("counter").alias("label"), "n")
-    return left.unionByName(counters).unionByName(logged.select(F.lit("log").alias("part"), F.col("source").alias("label"), "n"))
+    faults = collected.errors.filter("source = 'coupert'").groupBy(F.lit("error").alias("part"), F.col("error").alias("label")).agg(F.count("*").alias("n"))
+    logged = logged.select(F.lit("log").alias("part"), F.col("source").alias("label"), "n")
+    return left.unionByName(counters).unionByName(faults).unionByName(logged)
 
 
 COLLECTION_RUN = f"""
 WITH {ITEMS_SQL},
-kept AS (SELECT * FROM merged WHERE last_seen = TIMESTAMP '{LATE}'),
+page_rows AS (SELECT lower(store_domain) AS domain, {sql_norm('code')} AS code FROM ({BUTTON_OFFERS})
+              WHERE CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) % 50 > 1),
+faults AS (SELECT replace(p_name, ' ', '-') || CASE p_partkey % 50 WHEN 0 THEN ': unknown status keyword ''part'' in marked section'
+                                                                   ELSE ': HTTP 503' END AS label
+           FROM part WHERE p_partkey % 50 < 2),
+kept AS (SELECT domain, code FROM merged WHERE last_seen = TIMESTAMP '{LATE}' UNION ALL SELECT DISTINCT domain, code FROM page_rows),
 rep AS (SELECT 'P' || (s_suppkey * 3) AS code, 's' || (s_suppkey % 7) AS label FROM supplier),
 gone AS (SELECT DISTINCT domain, kept.code FROM kept JOIN rep ON kept.code = rep.code AND contains(kept.domain, rep.label)),
-left_ AS (SELECT * FROM kept ANTI JOIN gone USING (domain, code))
+left_ AS (SELECT * FROM kept ANTI JOIN gone USING (domain, code)),
+p AS (SELECT count(*) AS n, count(DISTINCT (domain, code)) AS new FROM page_rows)
 SELECT 'store' AS part, domain AS label, count(*) AS n FROM left_ GROUP BY 2
-UNION ALL SELECT 'counter', 'found', CAST(sum(rows) AS BIGINT) FROM merged
-UNION ALL SELECT 'counter', 'added', count(*) FILTER (WHERE is_new) FROM merged
-UNION ALL SELECT 'counter', 'updated', CAST(sum(rows) AS BIGINT) - count(*) FILTER (WHERE is_new) FROM merged
+UNION ALL SELECT 'counter', 'found', CAST(sum(rows) AS BIGINT) + (SELECT n FROM p) FROM merged
+UNION ALL SELECT 'counter', 'added', count(*) FILTER (WHERE is_new) + (SELECT new FROM p) FROM merged
+UNION ALL SELECT 'counter', 'updated', CAST(sum(rows) AS BIGINT) - count(*) FILTER (WHERE is_new) + (SELECT n - new FROM p) FROM merged
 UNION ALL SELECT 'counter', 'pruned', count(*) FILTER (WHERE last_seen < TIMESTAMP '{LATE}') FROM merged
 UNION ALL SELECT 'counter', 'removed', count(*) FROM gone
 UNION ALL SELECT 'counter', 'total', count(*) FROM left_
-UNION ALL SELECT 'counter', 'errors', 1
+UNION ALL SELECT 'counter', 'errors', 1 + (SELECT count(*) FROM faults)
+UNION ALL SELECT 'error', label, count(*) FROM faults GROUP BY 2
 UNION ALL SELECT 'log', 'items', CAST(sum(rows) AS BIGINT) FROM merged
 UNION ALL SELECT 'log', 'broken', 1
+UNION ALL SELECT 'log', 'pages', (SELECT n FROM p) + least(count(*), 100) + CAST(count(*) > 100 AS INT) FROM faults
 """
 
 QUERIES = {

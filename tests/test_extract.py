@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators.extract import dedupe_page, extract_feed_offers, extract_markdown_offers, extract_page_offers, line_blocks
+from offerloom.operators.extract import dead_letters, dedupe_page, extract_feed_offers, extract_markdown_offers, extract_page_offers, line_blocks
 from offerloom.operators.slugs import crawl_frontier, discover_slugs, paged_frontier
-from offerloom.plans.collect import collect_all, collect_markdown, collect_sources
+from offerloom.plans.collect import collect_all, collect_markdown, collect_pages, collect_sources
 from offerloom.sources.profiles import DISCOVERY
 from offerloom.sources.pages import markdown_lines, read_captures, read_feed, read_markdown_pages, read_sitemaps, select_sources, sitemap_locs
 
@@ -241,3 +241,41 @@ def test_sources(spark, tmp_path):
     assert all(r.duration >= 0 for r in got.runs.collect())
     both, challenge = collect_all(captures=read_captures(spark, path))
     assert {r.source for r in both.collect()} == {"savoo", "coupert"} and challenge.count() == 0
+
+
+BAD_MARKUP = "<h1>Shop</h1><article><p>note</p>SAVE99NOW</article><![part[x]]>"
+OFFER_PAGE = "<h1>Shop</h1><article class='deal'><p>5% off</p> <b>WINTER9</b> </article>"
+
+
+def test_a_page_that_cannot_be_parsed_stops_no_other(spark):
+    page = captures(spark, ("savoo", "u1", "bad", BAD_MARKUP), ("savoo", "u2", "good", OFFER_PAGE), ("savoo", "u3", None, BAD_MARKUP))
+    pages = collect_pages(page)
+    reason = "unknown status keyword 'part' in marked section"
+    assert sorted(r.error for r in pages.errors.collect()) == [f"bad: {reason}", reason]
+    assert [(r.url, r.code) for r in pages.offers.collect()] == [("u2", "WINTER9")]
+    letters = dead_letters(pages.elements).collect()
+    assert sorted((r.url, r.slug, r.reason) for r in letters) == [("u1", "bad", reason), ("u3", None, reason)]
+    offers, errors = extract_page_offers(page)
+    assert (offers.count(), errors.count()) == (1, 2)
+    offers, errors = collect_all(captures=page)
+    assert (offers.count(), errors.count()) == (1, 2)
+
+
+def test_pages_that_were_not_delivered(spark):
+    rows = [("savoo", f"u{k}", f"s{k}", OFFER_PAGE, status) for k, status in enumerate([200, 204, None, 199, 300, 404, 503])]
+    page = spark.createDataFrame(rows, "source string, url string, slug string, html string, status int")
+    pages = collect_pages(page)
+    assert sorted(r.error for r in pages.errors.collect()) == ["s3: HTTP 199", "s4: HTTP 300", "s5: HTTP 404", "s6: HTTP 503"]
+    assert sorted(r.url for r in pages.offers.collect()) == ["u0", "u1", "u2"]
+
+
+def test_run_rows_name_the_first_page_errors(spark):
+    rows = [("savoo", f"u{k}", f"s{k:03d}", BAD_MARKUP) for k in range(130)] + [("savoo", "ok", "ok", OFFER_PAGE)]
+    page = captures(spark, *rows)
+    got = collect_sources(spark, {"savoo": lambda: collect_pages(page), "none": lambda: 1 / 0})
+    runs = {r.source: r for r in got.runs.collect()}
+    assert runs["savoo"].codesFound == 1 and len(runs["savoo"].errors) == 101
+    assert runs["savoo"].errors[0].startswith("s000: ") and runs["savoo"].errors[-1] == "and 30 more"
+    assert runs["none"].errors == ["division by zero"]
+    assert got.errors.groupBy("source").count().orderBy("source").collect() == [("none", 1), ("savoo", 130)]
+    assert got.offers.count() == 1
