@@ -28,6 +28,7 @@ MODULES = (
     suffixes,
     packing,
     phrases,
+    language,
     turn_repair,
 )
 
