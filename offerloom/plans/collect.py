@@ -24,7 +24,9 @@ from offerloom.operators.extract import (
 from offerloom.operators.lifecycle import (
     RETENTION_DAYS,
     drop_empty_stores,
+    is_fresh,
     mark_reported,
+    match_reports,
     prune_stale,
     run_summary,
 )
@@ -37,7 +39,17 @@ from offerloom.operators.merge import (
 from offerloom.schemas import RAW_OFFER, RUN
 from offerloom.session import durable, work_path
 from offerloom.sources.profiles import PAGES, PageProfile
-from offerloom.sources.registry import read_registry_table, write_registry_table
+from offerloom.sources.versions import (
+    BUCKETS,
+    KEEP,
+    Manifest,
+    bucket_of,
+    newest,
+    read_buckets,
+    read_registry_table,
+    touched,
+    write_changes,
+)
 
 ERRORS = "source string, error string"
 #: Page errors that a run row lists itself; all of them are error rows.
@@ -160,6 +172,14 @@ def run_collection(
     checkpointed for offers and stores, the merged registry for the result and the counters.
     """
     firsts = durable(first_per_key(keyed_offers(incoming, now)))
+    kept, summary = _after_run(registry, firsts, now, reports, errors, days)
+    return RunResult(kept, drop_empty_stores(store_upsert_firsts(stores, firsts), kept), summary)
+
+
+def _after_run(
+    registry: DataFrame, firsts: DataFrame, now: Column, reports: DataFrame | None, errors: DataFrame | None, days: int
+) -> tuple[DataFrame, DataFrame]:
+    """Offers that are left of ``registry`` with ``firsts`` merged in, and the counters."""
     merged = durable(upsert_firsts(registry, firsts, now))
     kept = prune_stale(merged.drop("is_new", "rows"), now, days)
     removed = None
@@ -171,15 +191,58 @@ def run_collection(
     summary = summary.filter(F.col("counter") != "total").unionByName(
         kept.agg(F.lit("total").alias("counter"), F.count(F.lit(1)).alias("n"))
     )
-    all_stores = store_upsert_firsts(stores, firsts)
-    return RunResult(kept, drop_empty_stores(all_stores, kept), summary)
+    return kept, summary
+
+
+def upsert_into(
+    spark: SparkSession,
+    base: str,
+    version: Manifest | None,
+    incoming: DataFrame,
+    now: Column,
+    stream: tuple[str, int] | None = None,
+    keep: int | None = KEEP,
+) -> Manifest:
+    """Merge raw offers into ``version`` and write the next one; only buckets with one of their keys are read and written."""
+    firsts = durable(first_per_key(keyed_offers(incoming, now)))
+    size = version.buckets if version else BUCKETS
+    hit, shops = touched(firsts, "offers", size), touched(firsts, "stores", size)
+    merged = upsert_firsts(read_buckets(spark, base, version, "offers", hit), firsts, now).drop("is_new", "rows")
+    stores = store_upsert_firsts(read_buckets(spark, base, version, "stores", shops), firsts)
+    return write_changes(spark, base, version, (merged, hit), (stores, shops), stream, keep)
 
 
 def run_and_store(
-    spark: SparkSession, base: str, incoming: DataFrame, now: Column, **options
+    spark: SparkSession,
+    base: str,
+    incoming: DataFrame,
+    now: Column,
+    reports: DataFrame | None = None,
+    errors: DataFrame | None = None,
+    days: int = RETENTION_DAYS,
+    keep: int | None = KEEP,
 ) -> RunResult:
-    """A run on the newest snapshot below ``base`` that writes the next one."""
-    registry, stores = read_registry_table(spark, base)
-    result = run_collection(registry, stores, incoming, now, **options)
-    write_registry_table(result.offers, result.stores, base)
-    return result
+    """A run on the newest version below ``base`` that writes the next one.
+
+    Merged, expired and written are only the buckets that hold a key of the run, an offer that expires, or a reported
+    one; of the others, expiry reads the two times, reports read the keys, and empty stores read the domains.
+    """
+    version = newest(spark, base)
+    size = version.buckets if version else BUCKETS
+    registry, stores = (read_buckets(spark, base, version, kind) for kind in ("offers", "stores"))
+    firsts = durable(first_per_key(keyed_offers(incoming, now)))
+    hit = touched(firsts, "offers", size) | touched(registry.filter(~is_fresh(now, days)), "offers", size)
+    if reports is not None:
+        hit |= touched(match_reports(registry, reports), "offers", size)
+    kept, summary = _after_run(read_buckets(spark, base, version, "offers", hit), firsts, now, reports, errors, days)
+    others = sum(rows for bucket, (_, rows) in (version.offers if version else {}).items() if bucket not in hit)
+    summary = summary.withColumn("n", F.when(F.col("counter") == "total", F.col("n") + others).otherwise(F.col("n")))
+
+    untouched = read_buckets(spark, base, version, "offers", set(range(size)) - hit)
+    known = store_upsert_firsts(stores, firsts)
+    left = durable(drop_empty_stores(known, kept.select("domain").unionByName(untouched.select("domain"))))
+    changed = stores.join(left, "domain", "left_anti").select("domain").unionByName(left.join(stores, "domain", "left_anti").select("domain"))
+    shops = touched(changed, "stores", size)
+    of_shops = left.filter(bucket_of("stores", size).isin(*shops)) if shops else left.limit(0)
+    write_changes(spark, base, version, (kept, hit), (of_shops, shops), keep=keep)
+    return RunResult(*read_registry_table(spark, base), summary)

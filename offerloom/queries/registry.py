@@ -19,7 +19,7 @@ from offerloom.operators.lifecycle import (
 )
 from offerloom.operators.merge import merge_offers, merge_stats, store_upsert, upsert
 from offerloom.operators.serve import source_contribution
-from offerloom.plans.collect import collect_pages, collect_sources, run_collection
+from offerloom.plans.collect import collect_pages, collect_sources, run_collection, upsert_into
 from offerloom.queries.common import (
     OFFER_TEXT_SQL,
     offer_text,
@@ -37,14 +37,9 @@ from offerloom.queries.common import (
 )
 from offerloom.queries.pages import BUTTON_OFFERS, faulty_captures
 from offerloom.session import work_path
-from offerloom.sources.registry import (
-    empty_registry,
-    export_registry_json,
-    read_registry,
-    read_registry_table,
-    write_registry_table,
-)
+from offerloom.sources.registry import export_registry_json, read_registry
 from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports, trim_run_log
+from offerloom.sources.versions import empty_registry, newest, read_registry_table, write_registry_table
 
 EARLY, LATE = "1998-06-01 00:00:00", "2001-12-01 00:00:00"
 
@@ -404,25 +399,38 @@ def _early(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published as JSON lines and read back."""
-    offers, stores = _early(spark, sf_dir)
+    """The registry of all line items, published as JSON lines and read back."""
+    offers = late_merge(spark, sf_dir).drop("is_new", "rows")
+    _, none = empty_registry(spark)
+    stores = store_upsert(none, item_offers(spark, sf_dir), F.lit(EARLY))
     path = work_path(spark, "published")
     export_registry_json(offers, stores, path, F.lit(LATE))
     return _flat(*read_registry(spark, path))
 
 
 def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as a snapshot and read back."""
-    offers, stores = _early(spark, sf_dir)
+    """Two versions, the second made of the first by the buckets it touches; both are read back."""
     base = work_path(spark, "registry")
-    write_registry_table(offers, stores, base, 1)
-    return _flat(*read_registry_table(spark, base))
+    write_registry_table(*_early(spark, sf_dir), base)
+    upsert_into(spark, base, newest(spark, base), item_offers(spark, sf_dir, "late"), F.lit(LATE))
+    first, second = (_flat(*read_registry_table(spark, base, below)) for below in (2, None))
+    return first.withColumn("version", F.lit(1)).unionByName(second.withColumn("version", F.lit(2)))
 
 
+_FLAT_MERGED = f"""
+SELECT domain, code, description, type, array_to_string(sources, '|') AS sources, {sql_stamp('added_at')} AS added_at,
+       CAST(0 AS BIGINT) AS total, replace(replace(domain, '.example.com', ''), 's', 'Supplier ') AS name, pos
+"""
 REGISTRY_FLAT = f"""
 WITH {ITEMS_SQL}
+{_FLAT_MERGED} FROM merged
+"""
+REGISTRY_VERSIONS = f"""
+WITH {ITEMS_SQL}
+{_FLAT_MERGED}, 2 AS version FROM merged
+UNION ALL
 SELECT domain, code, text AS description, type, array_to_string(sources, '|') AS sources,
-       {sql_stamp(f"TIMESTAMP '{EARLY}'")} AS added_at, CAST(0 AS BIGINT) AS total, store_name AS name, pos
+       {sql_stamp(f"TIMESTAMP '{EARLY}'")} AS added_at, CAST(0 AS BIGINT) AS total, store_name AS name, pos, 1 AS version
 FROM facts WHERE early
 """
 
@@ -563,7 +571,7 @@ SQL = {
     "q_report_effect": REPORT_EFFECT,
     "q_reports_parse": REPORTS_PARSED,
     "q_registry_json": REGISTRY_FLAT,
-    "q_registry_snapshot": REGISTRY_FLAT,
+    "q_registry_snapshot": REGISTRY_VERSIONS,
     "q_last_runs": LAST_RUNS,
     "q_last_runs_per_source": RUNS_BY_SOURCE,
     "q_run_summary": RUN_SUMMARY,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.operators.extract import as_raw_offers
+from offerloom.plans.collect import upsert_into
 from offerloom.queries.common import sql_stamp, stamp, table
 from offerloom.queries.registry import (
     EVENTS_K,
@@ -14,8 +15,15 @@ from offerloom.queries.registry import (
 )
 from offerloom.schemas import OFFER
 from offerloom.session import work_path
-from offerloom.sources.registry import empty_registry, read_registry_table, write_registry_table
 from offerloom.sources.reports import parse_reports
+from offerloom.sources.versions import (
+    empty_registry,
+    file_system,
+    names_in,
+    newest,
+    read_registry_table,
+    write_registry_table,
+)
 from offerloom.streaming.jobs import (
     drain,
     latest_tests,
@@ -65,17 +73,38 @@ def in_order(spark: SparkSession, path: str) -> None:
             system.setTimes(status.getPath(), (1_700_000_000 + nth) * 1000, -1)
 
 
-def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    incoming = as_raw_offers(
-        event_stream(spark, sf_dir).select(
-            F.lit(0).alias("source_rank"), F.lit("").alias("page_key"), F.col("event_id").alias("pos"), F.col("k").alias("code"),
-            F.col("domain").alias("store_name"), F.col("domain").alias("store_domain"), F.lit("5% off all of it").alias("description"),
-            F.lit("unknown").alias("type"), F.col("event_type").alias("source"),
+def forget_last_batch(spark: SparkSession, checkpoint: str) -> None:
+    """Leave a checkpoint as if the driver had gone before it noted that the last batch was done."""
+    system, folder, jvm = file_system(spark, f"{checkpoint}/commits")
+    last = max(int(name) for name in names_in(spark, f"{checkpoint}/commits") if name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        system.delete(jvm.org.apache.hadoop.fs.Path(folder, name), False)
+
+
+def _raw(rows: DataFrame, pos: str, code: Column, domain: Column, source: Column) -> DataFrame:
+    return as_raw_offers(
+        rows.select(
+            F.lit(0).alias("source_rank"), F.lit("").alias("page_key"), F.col(pos).cast("long").alias("pos"), code.alias("code"),
+            domain.alias("store_name"), domain.alias("store_domain"), F.lit("5% off all of it").alias("description"),
+            F.lit("unknown").alias("type"), source.alias("source"),
         )
     )
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events merged batch by batch into a base that has two versions already; the last batch comes twice."""
     base = work_path(spark, "stream-registry")
-    drain(stream_upsert(incoming, f"{base}/registry", f"{base}/checkpoint", F.lit(NOW)))
-    offers, _ = read_registry_table(spark, f"{base}/registry")
+    registry, checkpoint = f"{base}/registry", f"{base}/checkpoint"
+    supplier = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    for code in ("BASE1", "BASE2"):
+        offers = _raw(supplier, "s_suppkey", F.lit(code), F.concat(F.lit("b"), key, F.lit(".example.com")), F.lit("base"))
+        upsert_into(spark, registry, newest(spark, registry), offers, F.lit(NOW))
+    incoming = _raw(event_stream(spark, sf_dir), "event_id", F.col("k"), F.col("domain"), F.col("event_type"))
+    drain(stream_upsert(incoming, registry, checkpoint, F.lit(NOW)))
+    forget_last_batch(spark, checkpoint)
+    drain(stream_upsert(incoming, registry, checkpoint, F.lit(NOW)))
+    offers, _ = read_registry_table(spark, registry)
     return offers.select("domain", "code", "type", "source", F.array_join("sources", "|").alias("sources"), F.col("ord.pos").alias("pos"))
 
 
@@ -84,6 +113,8 @@ WITH e AS (SELECT 's' || (user_id % 10) || '.example.com' AS domain, CAST(k AS V
      t AS (SELECT domain, code, event_type, min(event_id) AS first FROM e GROUP BY 1, 2, 3)
 SELECT domain, code, 'percentage' AS type, arg_min(event_type, first) AS source,
        array_to_string(list(event_type ORDER BY first), '|') AS sources, min(first) AS pos FROM t GROUP BY 1, 2
+UNION ALL
+SELECT 'b' || s_suppkey || '.example.com', code, 'percentage', 'base', 'base', s_suppkey FROM supplier, (VALUES ('BASE1'), ('BASE2')) AS v(code)
 """
 
 

@@ -1,16 +1,15 @@
-"""The registry: Parquet snapshots, and the nested JSON document it is published as."""
+"""The registry as a published document: nested JSON, read and written. Its stored versions are in ``versions``."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions.codes import norm_code
 from offerloom.functions.text import blank_to_null
-from offerloom.schemas import DOCUMENT, OFFER, STORE
 from offerloom.operators.ranking import with_position
+from offerloom.schemas import DOCUMENT, OFFER, STORE
+from offerloom.sources.versions import empty_registry, path_exists
 
 VERSION = "1.0"
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -18,10 +17,6 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 CHUNK_OFFERS = 10_000
 
 
-def empty_registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame([], OFFER), spark.createDataFrame([], STORE)
-
-
 def _moment(text: Column) -> Column:
     return F.try_to_timestamp(blank_to_null(text))
 
@@ -33,17 +28,6 @@ def _last_seen(text: Column) -> Column:
     )
 
 
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop, jvm
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    system, hadoop, _ = _path(spark, path)
-    return system.exists(hadoop)
-
-
 def read_registry(
     spark: SparkSession, path: str, pretty: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -102,83 +86,6 @@ def flatten_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return offers.select(*(F.col(f.name).cast(f.dataType) for f in OFFER)), store_rows.select(*STORE.names)
 
 
-# -- snapshots ----------------------------------------------------------------------------------
-
-_SNAPSHOT = re.compile(r"snapshot=(\d+)$")
-
-
-def snapshots(spark: SparkSession, base: str) -> list[int]:
-    """Numbers of the complete snapshots below ``base``, oldest first."""
-    if not path_exists(spark, base):
-        return []
-    system, hadoop, jvm = _path(spark, base)
-    found = []
-    for status in system.listStatus(hadoop):
-        match = _SNAPSHOT.search(status.getPath().getName())
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "offers/_SUCCESS")
-        if match and system.exists(done):
-            found.append(int(match.group(1)))
-    return sorted(found)
-
-
-def _batch_number(spark: SparkSession, base: str, number: int) -> str | None:
-    """What wrote a snapshot: the identity of a stream's batch, or nothing."""
-    path = f"{base}/snapshot={number}/written_by"
-    if not path_exists(spark, path):
-        return None
-    row = spark.read.text(path).first()
-    return row[0] if row else None
-
-
-def written_by(spark: SparkSession, base: str, batch: str) -> int | None:
-    """The snapshot that this batch of a stream wrote before, if it is still there."""
-    return next((n for n in reversed(snapshots(spark, base)) if _batch_number(spark, base, n) == batch), None)
-
-
-def write_registry_table(
-    offers: DataFrame, stores: DataFrame, base: str, number: int | None = None, batch: str | None = None, keep: int | None = None
-) -> int:
-    """Write the next snapshot (one more than the newest); readers see it once its offers are complete.
-
-    Offers lie in hash buckets of (domain, code), so nothing is sampled and the catch-all domain of unresolved stores
-    spreads over all files. ``batch`` is kept beside the table, so that a replayed batch can find its own snapshot.
-    ``keep`` deletes all but the newest so many snapshots afterwards; by default every version stays.
-    """
-    spark = offers.sparkSession
-    if number is None:
-        number = max(snapshots(spark, base), default=0) + 1
-    target = f"{base}/snapshot={number}"
-    stores.write.mode("overwrite").parquet(f"{target}/stores")
-    if batch is not None:
-        spark.createDataFrame([(batch,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/written_by")
-    (
-        offers.repartition("domain", "norm_code")
-        .sortWithinPartitions("domain", "norm_code")
-        .write.mode("overwrite")
-        .parquet(f"{target}/offers")
-    )
-    if keep is not None:
-        drop_snapshots(spark, base, keep)
-    return number
-
-
-def drop_snapshots(spark: SparkSession, base: str, keep: int) -> None:
-    """Delete all but the newest ``keep`` complete snapshots."""
-    system, _, jvm = _path(spark, base)
-    for number in snapshots(spark, base)[: -max(1, keep)]:
-        system.delete(jvm.org.apache.hadoop.fs.Path(f"{base}/snapshot={number}"), True)
-
-
-def read_registry_table(spark: SparkSession, base: str, below: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Newest complete snapshot, or the newest one numbered under ``below``."""
-    numbers = [n for n in snapshots(spark, base) if below is None or n < below]
-    if not numbers:
-        return empty_registry(spark)
-    target = f"{base}/snapshot={numbers[-1]}"
-    offers = spark.read.schema(OFFER).parquet(f"{target}/offers")
-    return offers, spark.read.schema(STORE).parquet(f"{target}/stores")
-
-
 # -- publication --------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the run: upsert, outcomes, repeats, reports, expiry.
 
-Every job is one streaming query.  Where a micro-batch rewrites the registry, it makes the next
-snapshot out of the newest one and writes its own identity beside it, so a replayed batch is skipped.
+Every job is one streaming query.  Where a micro-batch changes the registry, it writes the buckets it
+touches as the next version, whose manifest names the stream's last batch, so a replayed batch is skipped.
 """
 
 from __future__ import annotations
@@ -13,15 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offerloom.functions.codes import norm_code
-from offerloom.operators.lifecycle import RETENTION_DAYS, remove_reported
-from offerloom.operators.merge import (
-    first_per_key,
-    keyed_offers,
-    store_upsert_firsts,
-    upsert_firsts,
-)
+from offerloom.operators.lifecycle import RETENTION_DAYS, match_reports
+from offerloom.plans.collect import upsert_into
 from offerloom.session import durable
-from offerloom.sources.registry import read_registry_table, written_by, write_registry_table
+from offerloom.sources.versions import BUCKETS, KEEP, Manifest, newest, read_buckets, read_small, touched, write_changes
 
 
 def drain(query: StreamingQuery) -> None:
@@ -41,21 +36,24 @@ def to_table(stream: DataFrame, path: str, mode: str = "append") -> StreamingQue
     )
 
 
-def _each_batch(stream: DataFrame, base: str, checkpoint: str, name: str, change: Callable) -> StreamingQuery:
-    """Turn the newest snapshot below ``base`` into the next one with every micro-batch.
+#: What a stream's batch does: (newest version, batch, (stream, number of the batch)) to the next version.
+Change = Callable[[Manifest | None, DataFrame, tuple[str, int]], object]
 
-    ``change`` makes offers and stores out of registry, stores and batch. A snapshot states the query (by the
-    id in its checkpoint) and the batch that wrote it; a batch that comes again finds its own and is done. Several streams and
-    plain runs may share a base, one writer at a time.
+
+def _each_batch(stream: DataFrame, base: str, checkpoint: str, name: str, change: Change) -> StreamingQuery:
+    """Turn the newest version below ``base`` into the next one with every micro-batch.
+
+    The manifest holds the last batch of each stream (named by the query's id in its checkpoint), so a batch that comes
+    again is told by the newest manifest alone, however many versions there are. Several streams and plain runs may
+    share a base, one writer at a time.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        query = spark.read.text(f"{checkpoint}/metadata").first()[0]  # its id, new for a new checkpoint
-        identity = f"{name} {number} {query}"
-        if written_by(spark, base, identity) is None:
-            offers, stores = change(*read_registry_table(spark, base), batch)
-            write_registry_table(offers, stores, base, batch=identity)
+        writer = f"{name} {read_small(spark, f'{checkpoint}/metadata').strip()}"  # new for a new checkpoint
+        version = newest(spark, base)
+        if version is None or version.streams.get(writer, -1) < number:
+            change(version, batch, (writer, number))
 
     return (
         stream.writeStream.foreachBatch(apply)
@@ -66,27 +64,33 @@ def _each_batch(stream: DataFrame, base: str, checkpoint: str, name: str, change
 
 
 def stream_upsert(
-    incoming: DataFrame, base: str, checkpoint: str, now: Column | None = None
+    incoming: DataFrame, base: str, checkpoint: str, now: Column | None = None, keep: int | None = KEEP
 ) -> StreamingQuery:
-    """Merge every micro-batch of raw offers into the newest registry below ``base``."""
+    """Merge every micro-batch of raw offers into the newest registry below ``base``.
 
-    def merge(registry: DataFrame, stores: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    Only buckets with a key of the batch are read and written; all but the newest ``keep`` versions go.
+    """
+
+    def merge(version: Manifest | None, batch: DataFrame, stream: tuple[str, int]) -> None:
         moment = F.current_timestamp() if now is None else now
-        firsts = durable(first_per_key(keyed_offers(batch, moment)))
-        merged = upsert_firsts(registry, firsts, moment).drop("is_new", "rows")
-        return merged, store_upsert_firsts(stores, firsts)
+        upsert_into(batch.sparkSession, base, version, batch, moment, stream, keep)
 
     return _each_batch(incoming, base, checkpoint, "upsert", merge)
 
 
-def stream_reports(reports: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
-    """Remove reported offers as reports arrive, one snapshot per micro-batch.
+def stream_reports(reports: DataFrame, base: str, checkpoint: str, keep: int | None = KEEP) -> StreamingQuery:
+    """Remove reported offers as reports arrive, one version per micro-batch.
 
-    Earlier reports were applied to the snapshot a batch starts from, so only its own are needed.
+    Earlier reports were applied to the version a batch starts from, so only its own are needed. The keys of all offers
+    are matched; only buckets with a hit are written.
     """
 
-    def remove(registry: DataFrame, stores: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return remove_reported(registry, batch), stores
+    def remove(version: Manifest | None, batch: DataFrame, stream: tuple[str, int]) -> None:
+        spark = batch.sparkSession
+        hits = durable(match_reports(read_buckets(spark, base, version, "offers"), batch))
+        hit = touched(hits, "offers", version.buckets if version else BUCKETS)
+        left = read_buckets(spark, base, version, "offers", hit).join(hits, ["domain", "norm_code"], "left_anti")
+        write_changes(spark, base, version, (left, hit), None, stream, keep)
 
     return _each_batch(reports, base, checkpoint, "reports", remove)
 

@@ -20,18 +20,9 @@ from offerloom.plans.collect import run_and_store
 from offerloom.schemas import OFFER, RAW_OFFER, STORE
 from offerloom.session import shared_dir
 from offerloom.sources.dimensions import load_dimensions
-from offerloom.sources.registry import (
-    empty_registry,
-    export_registry_json,
-    read_registry,
-    read_registry_table,
-    snapshots,
-    document_lines,
-    single_document,
-    store_parts,
-    write_registry_table,
-)
+from offerloom.sources.registry import document_lines, export_registry_json, read_registry, single_document, store_parts
 from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports, read_reports
+from offerloom.sources.versions import empty_registry, manifest, read_registry_table, snapshots, write_registry_table
 
 NOW = datetime(2024, 6, 1)
 
@@ -154,9 +145,61 @@ def test_snapshots(spark, tmp_path):
     assert snapshots(spark, base) == [] and read_registry_table(spark, base)[0].count() == 0
     write_registry_table(offers, stores, base, 1)
     write_registry_table(offers.union(offers.withColumn("dup_no", F.lit(1))), stores, base, 2)
-    (tmp_path / "registry" / "snapshot=3").mkdir()  # unfinished
+    (tmp_path / "registry" / "offers" / "v=3-unfinished").mkdir()
+    (tmp_path / "registry" / "versions" / ".00000003.json-x").write_text("{")
     assert snapshots(spark, base) == [1, 2]
     assert read_registry_table(spark, base)[0].count() == 2 and read_registry_table(spark, base, below=2)[0].count() == 1
+    with pytest.raises(FileExistsError):
+        write_registry_table(offers, stores, base, 2)
+    assert snapshots(spark, base) == [1, 2] and read_registry_table(spark, base)[0].count() == 2
+
+
+def files(base):
+    return {path[len(base) :] for path in glob.glob(f"{base}/*/v=*/bucket=*/*.parquet")}
+
+
+def test_a_run_writes_the_buckets_it_touches(spark, tmp_path):
+    """A run that changes k keys leaves the files of all other buckets alone; every version can still be read."""
+    base, day = str(tmp_path / "registry"), timedelta(days=1)
+    names = [f.name for f in RAW_OFFER]
+
+    def raw(codes, domain="shop.com"):
+        rows = [{"pos": i, "code": c, "store_domain": domain, "source": "x"} for i, c in enumerate(codes)]
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], RAW_OFFER)
+
+    run_and_store(spark, base, raw([f"CODE{k}" for k in range(400)]), F.lit(NOW))
+    run_and_store(spark, base, raw(["ALONE1"], "alone.com"), F.lit(NOW - 80 * day))
+    first, before = manifest(spark, base, 2), files(base)
+    assert len(first.offers) == first.buckets and sum(rows for _, rows in first.offers.values()) == 401
+
+    summary = run_and_store(spark, base, raw(["CODE7", "NEW1"]), F.lit(NOW + day)).summary
+    assert {r.counter: r.n for r in summary.collect()} == {"found": 2, "added": 1, "updated": 1, "pruned": 0, "total": 402}
+    second, added = manifest(spark, base, 3), files(base) - before
+    changed = {b for b in second.offers if second.offers[b] != first.offers.get(b)}
+    assert 1 <= len(changed) <= 2 and second.stores == first.stores
+    assert len(added) == len(changed) and before <= files(base)
+
+    # An offer expires and a store becomes empty, a report takes another; their buckets alone are written.
+    reports = spark.createDataFrame([(1, "code9", "shop.com")], "report_id long, code string, store_domain string")
+    result = run_and_store(spark, base, raw([]), F.lit(NOW + 11 * day), reports)
+    assert {r.counter: r.n for r in result.summary.collect()} == {"found": 0, "added": 0, "updated": 0, "pruned": 1, "removed": 1, "total": 400}
+    third = manifest(spark, base, 4)
+    assert len({b for b in second.offers if second.offers[b] != third.offers.get(b)}) <= 2
+    assert [r.domain for r in result.stores.collect()] == ["shop.com"]
+    counts = [read_registry_table(spark, base, below=n + 1)[0].count() for n in (1, 2, 3, 4)]
+    assert counts == [400, 401, 402, 400]
+
+
+def test_old_versions_go_and_shared_buckets_stay(spark, tmp_path):
+    base = str(tmp_path / "registry")
+    names = [f.name for f in RAW_OFFER]
+    for k in range(5):
+        rows = [tuple({"pos": i, "code": c, "store_domain": "d", "source": "x"}.get(n) for n in names) for i, c in enumerate([f"A{k}1", f"B{k}2"])]
+        run_and_store(spark, base, spark.createDataFrame(rows, RAW_OFFER), F.lit(NOW), keep=2)
+    assert snapshots(spark, base) == [4, 5]
+    assert read_registry_table(spark, base)[0].count() == 10 and read_registry_table(spark, base, below=5)[0].count() == 8
+    used = manifest(spark, base, 4).folders() | manifest(spark, base, 5).folders()
+    assert {path.rpartition("/")[0].strip("/") for path in files(base)} == used
 
 
 def test_run_log(spark, tmp_path):

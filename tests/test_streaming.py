@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from offerloom.operators.merge import merge_offers
 from offerloom.plans.collect import run_and_store
 from offerloom.schemas import OFFER, RAW_OFFER
-from offerloom.sources.registry import empty_registry, read_registry_table, snapshots, write_registry_table
+from offerloom.sources.versions import empty_registry, read_registry_table, snapshots, write_registry_table
 from offerloom.streaming.jobs import (
     drain,
     expired_by,
@@ -93,6 +93,31 @@ def test_streams_go_on_from_the_newest_snapshot(spark, tmp_path):
     assert codes == [["AA11"], ["AA11", "BB22", "CC33"], ["AA11", "BB22", "CC33", "ST98", "ST99"], ["BB22", "CC33", "ST99"]]
 
 
+def test_jobs_of_a_batch_do_not_grow_with_versions(spark, tmp_path):
+    """A replayed batch runs no job on a base with many versions, and a batch as many as on one with few."""
+    base, tracker = str(tmp_path / "registry"), spark.sparkContext.statusTracker()
+
+    def jobs(run, group):
+        """Jobs of a stream, counted under its own group (its run id)."""
+        query = run()
+        drain(query)
+        return len(tracker.getJobIdsForGroup(str(query.runId)))
+
+    counts = []
+    for k in range(4):
+        stream = in_batches(spark, [raw(f"ST{k}9")], RAW_OFFER, str(tmp_path / f"in{k}"), 1)
+        counts.append(jobs(lambda stream=stream, k=k: stream_upsert(stream, base, str(tmp_path / f"cp{k}"), F.lit(START)), k))
+        for n in range(2):
+            run_and_store(spark, base, spark.createDataFrame([raw(f"R{k}{n}7")], RAW_OFFER), F.lit(START))
+    assert len(set(counts[1:])) == 1, counts
+    for name in ("0", ".0.crc"):
+        (tmp_path / "cp0" / "commits" / name).unlink()
+    before = snapshots(spark, base)
+    again = spark.readStream.schema(RAW_OFFER).parquet(str(tmp_path / "in0"))
+    assert jobs(lambda: stream_upsert(again, base, str(tmp_path / "cp0"), F.lit(START)), "again") == 0
+    assert snapshots(spark, base) == before
+
+
 def test_outcomes(spark, tmp_path):
     rows = events(2)
     out = str(tmp_path / "out")
