@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.llm.arrow import documents, stored
 
-#: Lines match if the sets of their words have at least this Jaccard similarity (in hundredths). Shorter lines match by
-#: equal sets only (what the similarity comes to below five words), and stay where they are not asked for.
-SIMILARITY, MIN_WORDS = 80, 5
+#: Lines match if the sets of their words have at least this Jaccard similarity (in hundredths).
+SIMILARITY = 80
 
-SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Bytes that part words; all but the space are first made spaces, so that one plain character parts them.
+OTHER_SEPARATORS = "\t\x0b\x0c\r"
 
 #: Words are counted in so many groups of hashes; the counts order the words of a line, and 65,536 numbers go to each task.
 RARITY_BITS = 16
-LOW_BITS = 63 - RARITY_BITS
+
+#: Bits of the table that says which lines to look at again; a full table lets every line through.
+MARK_BITS = 22
+
+PLACE = ("doc_id", "line_no")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,8 +34,15 @@ def _table(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def _split(line: str) -> Column:
+    """Words with repeats; some may be empty."""
+    odd = F.col(line).rlike(r"[\x09\x0B-\x0D]")
+    spaced = F.when(odd, F.translate(line, OTHER_SEPARATORS, " " * len(OTHER_SEPARATORS))).otherwise(F.col(line))
+    return F.split(spaced, " ")
+
+
 def _words(line: str) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, SEPARATORS), ""))
+    return F.array_distinct(F.array_remove(_split(line), ""))
 
 
 def _group(hash_: Column) -> Column:
@@ -39,7 +51,7 @@ def _group(hash_: Column) -> Column:
 
 def word_ranks(lines: DataFrame) -> list[int]:
     """The rank of each group of word hashes by how often its words occur, rarest first; one number for each of the 65,536 groups."""
-    words = lines.select(F.explode(F.split("line", SEPARATORS)).alias("w"))
+    words = lines.select(F.explode(_split("line")).alias("w"))
     counts = words.groupBy(_group(F.xxhash64("w")).alias("g")).agg(F.count("*").alias("n")).collect()
     by_group = {row["g"]: row["n"] for row in counts}
     order = sorted(range(1 << RARITY_BITS), key=lambda g: (by_group.get(g, 0), g))
@@ -49,157 +61,192 @@ def word_ranks(lines: DataFrame) -> list[int]:
     return ranks
 
 
-def _tokens(ranks: list[int]) -> Column:
-    """The line's words as numbers in one order for all lines, rarest first: rank of the group, then the rest of the hash."""
+def _codes(ranks: list[int]) -> Column:
+    """The words' codes in one order for all lines, rarest first: rank of the group, then 16 more bits of the hash.
+
+    Words may share a code. They then stand at the same place in the order, so sets that share a word still share its
+    code where they would share the word; a pair too many is told by its words later.
+    """
     table = _table(ranks)
-    low = F.lit((1 << LOW_BITS) - 1)
 
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.get(table, _group(h)).cast("long")
-        return F.shiftleft(rank, LOW_BITS).bitwiseOR(h.bitwiseAND(low))
+    def code(h: Column) -> Column:
+        rank = F.get(table, _group(h)).cast("long") - (1 << 15)
+        return (F.shiftleft(rank, 16) + F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(0xFFFF))).cast("int")
+
+    return F.sort_array(F.transform("hashes", code))
 
-    return F.sort_array(F.transform("words", number))
+
+def _parities() -> Column:
+    """64 bits of which each word turns one: sets whose bits differ in k places differ in k words at least."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(
+        "hashes", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
+    )
 
 
 def needed(a: Column, b: Column) -> Column:
     """Fewest common words of sets of a and b words that match: t / (1 + t) of the sum, rounded up."""
-    return F.ceil((a + b) * SIMILARITY / F.lit(100 + SIMILARITY) - 1e-9)
+    return F.floor((SIMILARITY * (a + b) + (100 + SIMILARITY - 1)) / F.lit(100 + SIMILARITY)).cast("int")
 
 
 def _prefix(n: Column) -> Column:
     """Length of the prefix that a set of n words shares a word of with every set it matches."""
-    return (n - F.ceil(n * SIMILARITY / 100.0 - 1e-9) + 1).cast("int")
+    return (n - F.floor((SIMILARITY * n + 99) / F.lit(100)) + 1).cast("int")
 
 
-def candidates(tokens: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line hashes that may match: prefix, length and positional filters.
+def line_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
+    """One row for each different line with a word: h1, h2, its first place, copies, n words, bits, and the prefix of its codes.
 
-    ``tokens``: (h1, tokens), shorter sets with null tokens. Sets that match share one of the first
-    n - ceil(0.8 n) + 1 words in the common order, and their sizes are alike. Shared words c of both prefixes also
-    bound the whole: behind its prefix the set whose prefix ends first has n - prefix words, so no more than c plus
-    that many are common; nor more than c plus what follows the last shared place in either set. Copies of a line
-    are one before they are joined.
+    Copies are joined in the map tasks before anything is shuffled.
     """
-    n = F.size("tokens")
-    rows = tokens.select("h1", n.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), _prefix(n))).alias("k", "t"))
-    rows = rows.select("t", "h1", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("k")).alias("nk"))
-    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(partitions, "t").groupBy("t", "h1", "nk").agg(F.lit(1).alias("one")).drop("one")
-
-    def side(name: str) -> DataFrame:
-        return rows.select(
-            "t",
-            F.col("h1").alias(name),
-            F.shiftright("nk", 32).cast("int").alias(f"n_{name}"),
-            F.col("nk").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"k_{name}"),
-        )
-
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    long_enough = (100 * n_a >= SIMILARITY * n_b) & (100 * n_b >= SIMILARITY * n_a)
-    met = side("a").join(side("b"), "t").filter((F.col("a") < F.col("b")) & long_enough)
-    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("k_a").alias("k_a"), F.max("k_b").alias("k_b"))
-    behind = F.least(
-        F.greatest(n_a - _prefix(n_a), n_b - _prefix(n_b)), n_a - F.col("k_a") - 1, n_b - F.col("k_b") - 1
+    rows = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), _words("line").alias("words"))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    n = F.size("hashes")
+    rows = rows.select(
+        "h1", "h2", F.struct(*PLACE).alias("place"), n.alias("n"), _parities().alias("bits"), F.slice(_codes(ranks), F.lit(1), _prefix(n)).alias("prefix")
+    )
+    one = rows.groupBy("h1", "h2").agg(
+        F.min("place").alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
-    return pairs.filter(F.col("c") + behind >= needed(n_a, n_b)).select("a", "b").distinct()
+    return one.select("h1", "h2", "place.*", "copies", "n", "bits", "prefix")
 
 
-#: Bits of the table that says which line hashes to look at again; a full table lets every line through.
-MARK_BITS = 22
+def postings(sets: DataFrame, part: Column | None = None) -> DataFrame:
+    """(t, doc_id, line_no, n, k, bits): each code of the prefix with its position k, or of the first ``part`` of it."""
+    prefix = F.col("prefix") if part is None else F.slice("prefix", F.lit(1), part)
+    return sets.select(F.posexplode(prefix).alias("k", "t"), *PLACE, "n", "bits")
 
 
-def _marks(ids: DataFrame) -> Column:
-    """A test of ``h1`` against a bit table of fixed size: true for every id of ``ids``, and for some others."""
-    place = F.shiftrightunsigned("h1", 64 - MARK_BITS).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
-    rows = ids.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
-    table = [0] * (1 << (MARK_BITS - 6))
-    for row in rows:  # at most 65,536
-        table[row["w"]] = row["bits"]
-    word = F.get(_table(table), F.floor(place / 64).cast("int"))
-    return F.call_function("shiftrightunsigned", word, place % 64).bitwiseAND(F.lit(1).cast("long")) == 1
+def _may_match(a: str, b: str) -> Column:
+    """Length, positional and bit filter of two postings (structs or sides) that share a code."""
 
+    def of(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
 
-def _places(hashed: DataFrame, short_lines: bool) -> DataFrame:
-    """The places of lines under two hashes: of the line, or of the sorted set of its words where that is short."""
-    words = _words("line")
-    first, second = F.col("h1"), F.xxhash64(F.lit(7), "line")
-    if short_lines:
-        few, own = F.size(words) < MIN_WORDS, F.sort_array(words)
-        first, second = F.when(few, F.xxhash64(own)).otherwise(first), F.when(few, F.xxhash64(F.lit(7), own)).otherwise(second)
-    taking_part = F.size(words) >= (1 if short_lines else MIN_WORDS)
-    return hashed.filter(taking_part).select(first.alias("h1"), second.alias("h2"), "doc_id", "line_no")
+    n_a, n_b, k_a, k_b = of(a, "n"), of(b, "n"), of(a, "k"), of(b, "k")
+    least = needed(n_a, n_b)
+    long_enough = (100 * n_a >= SIMILARITY * n_b) & (100 * n_b >= SIMILARITY * n_a)
+    # As many as stand before in both, this one, and as many as follow in both.
+    common = F.least(k_a, k_b) + 1 + F.least(n_a - k_a, n_b - k_b) - 1
+    apart = F.bit_count(of(a, "bits").bitwiseXOR(of(b, "bits")))
+    return long_enough & (common >= least) & (apart <= n_a + n_b - 2 * least)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
-    """(doc_id, line_no) of every line that matches an earlier one: by doc_id, then by place in the text.
+def leader_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (later, earlier) of places that may match: of each posting with the first two and the last two before it.
 
-    Lines (parted by newlines) of fewer than five different words stay unless ``short_lines``, lines without words and
-    of rows with a null id stay always; every other line goes if an earlier line of any document, this one included, has a set of words with a Jaccard
-    similarity of 0.8 or more - judged on the input, not on what is left. Null texts have no lines; rows that share
-    an id are one text twice; an empty table gives no rows.
+    No pair of a dense group is listed but these, at most four for each code. Half a prefix will do: what is missed here
+    is found by ``asked_pairs``.
     """
-    lines = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    ranks = word_ranks(lines)
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), "line")
-    places = _places(hashed, short_lines)
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"))
-    first = stored(first, "first-lines")
-
-    # No filter here: it would be pushed down and split the lines a second time. A short line has no prefix.
-    worded = hashed.select("h1", _words("line").alias("words"))
-    tokens = F.when(F.size("words") >= MIN_WORDS, _tokens(ranks))
-    pairs = stored(candidates(worded.select("h1", tokens.alias("tokens"))), "candidates")
-    ids = stored(pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct(), "candidate-lines")
-    spots = first.join(ids, "h1", "left_semi").select(
-        "h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")
+    half = (F.col("n") - F.floor((2 * SIMILARITY * F.col("n") + 179) / F.lit(180)) + 1).cast("int")
+    own = F.struct(*PLACE, "n", "k", "bits")
+    order = W.partitionBy("t").orderBy(*PLACE)
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = postings(sets, half).select(
+        "t",
+        own.alias("own"),
+        F.first(own).over(so_far).alias("p1"),
+        F.nth_value(own, 2).over(so_far).alias("p2"),
+        F.lag(own, 1).over(order).alias("p3"),
+        F.lag(own, 2).over(order).alias("p4"),
     )
-    again = hashed.filter(_marks(ids)).select("doc_id", "line_no", "line")
-    sets = stored(again.join(spots, ["doc_id", "line_no"]).select("h1", "h2", "doc_id", "line_no", _tokens_of_words().alias("s")), "sets")
-    return _later(places, first, _verified(pairs, sets))
 
+    def place(side: str) -> Column:
+        return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in PLACE))
 
-def _tokens_of_words() -> Column:
-    return F.sort_array(F.transform(_words("line"), lambda w: F.xxhash64(w)))
+    partners = F.array(*(F.when((place(p) < place("own")) & _may_match("own", p), place(p)) for p in ("p1", "p2", "p3", "p4")))
+    found = rows.select(place("own").alias("later"), F.array_compact(partners).alias("partners")).filter(F.size("partners") > 0)
+    return found.select("later", F.explode(F.array_distinct("partners")).alias("earlier")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(h1, h2, first): for each line of a matching pair, the earliest place of its partners."""
-    def side(name: str) -> DataFrame:
-        return sets.select(*(F.col(c).alias(f"{c}_{name}") for c in sets.columns)).withColumnRenamed(f"h1_{name}", name)
+def asked_pairs(asking: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (later, earlier) of places that may match, for the ``asking`` lines: prefix, length and positional filters.
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    both = both.filter(common >= needed(F.size("s_a"), F.size("s_b")))
+    Sets that match share one of the first n - ceil(0.8 n) + 1 words in the common order; where they share one, its
+    positions bound what they can have in common; and their bits tell at once most sets that are too far apart.
+    """
+    a, b = postings(asking).alias("a"), postings(sets).alias("b")
+    before = F.struct(*(F.col(f"b.{c}") for c in PLACE)) < F.struct(*(F.col(f"a.{c}") for c in PLACE))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & before & _may_match("a", "b"))
+
+    def place(side: str) -> Column:
+        return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in PLACE))
+
+    return met.select(place("a").alias("later"), place("b").alias("earlier")).distinct()
+
+
+def _marks(places: DataFrame) -> Column:
+    """A test of (doc_id, line_no) against a bit table of fixed size: true for every place of ``places``, and for some others."""
+    place = F.shiftrightunsigned(F.xxhash64(*PLACE), 64 - MARK_BITS).cast("int")
+    return _marked(places, place)
+
+
+def _marked(rows: DataFrame, place: Column) -> Column:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+    words = rows.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    table = [0] * (1 << (MARK_BITS - 6))
+    for row in words:  # at most 65,536
+        table[row["w"]] = row["bits"]
+    word = F.get(_table(table), F.floor(place / 64).cast("int"))
+    return F.call_function("shiftrightunsigned", word, place % 64).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    def toward(me: str, other: str) -> DataFrame:
-        place = F.struct(F.col(f"doc_id_{other}").alias("doc_id"), F.col(f"line_no_{other}").alias("line_no"))
-        return both.select(F.col(me).alias("h1"), F.col(f"h2_{me}").alias("h2"), place.alias("partner"))
 
-    return toward("a", "b").union(toward("b", "a")).groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
+def matched(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Places (doc_id, line_no) that match the earlier one of a pair, by all their words."""
+    pairs = stored(pairs, "line-pairs")
+    places = stored(pairs.select("later.*").union(pairs.select("earlier.*")).distinct(), "line-places")
+    words = F.array_sort(F.transform(_words("line"), lambda w: F.xxhash64(w)))
+    # The words are worked out behind the join, for wanted lines alone.
+    wanted = lines.filter(_marks(places)).join(places, [*PLACE], "left_semi").dropDuplicates([*PLACE])
+    sets = stored(wanted.select(F.struct(*PLACE).alias("place"), words.alias("s")), "line-words")
+    both = pairs.join(sets.select(F.col("place").alias("later"), F.col("s").alias("s_a")), "later")
+    both = both.join(sets.select(F.col("place").alias("earlier"), F.col("s").alias("s_b")), "earlier")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.filter(common >= needed(F.size("s_a"), F.size("s_b"))).select("later.*").distinct()
 
 
-def _later(places: DataFrame, first: DataFrame, matches: DataFrame) -> DataFrame:
-    """The places that come after the first of their own line or of a matching one."""
-    bounds = first.join(matches, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "partner").alias("bound"), "copies", "partner")
-    bounds = bounds.filter((F.col("copies") > 1) | F.col("partner").isNotNull()).select("h1", "h2", "bound")
-    return places.join(bounds, ["h1", "h2"]).filter(F.col("bound") < F.struct("doc_id", "line_no")).select("doc_id", "line_no").distinct()
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no) of every line that matches an earlier one: by doc_id, then by place in the text.
 
+    Lines (parted by newlines) without words and of rows with a null id stay; every other line, however short, goes if
+    an earlier line of any document, this one included, has a set of words with a Jaccard similarity of 0.8 or more -
+    judged on the input, not on what is left. Null texts have no lines; rows that share an id are one text twice; an
+    empty table gives no rows.
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+    Only whether a line has an earlier match is asked, so a dense group is not listed pair by pair: first each line meets
+    a few earlier ones of its words, then the lines without a match so far meet all that are left by the filters.
+    """
+    lines = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    sets = stored(line_sets(lines, word_ranks(lines)), "line-sets").filter("n > 0")
+    first = stored(matched(leader_pairs(sets), lines), "lines-matched")
+    asking = sets.join(first, [*PLACE], "left_anti")
+    gone = first.union(matched(asked_pairs(asking, sets), lines)).withColumn("all_go", F.lit(True))
+    bounds = sets.join(gone, [*PLACE], "left").filter((F.col("copies") > 1) | F.col("all_go"))
+    bounds = bounds.select("h1", "h2", F.struct(*PLACE).alias("first"), F.coalesce("all_go", F.lit(False)).alias("all_go"))
+    places = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    going = F.col("all_go") | (F.col("first") < F.struct(*PLACE))
+    return places.join(bounds, ["h1", "h2"]).filter(going).select(*PLACE).distinct()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the lines of ``removed_lines`` taken out of the text; all rows and columns stay.
 
-    A text of which every line goes is empty; a null text stays null.
+    A text of which every line goes is empty; a null text stays null. The row travels inside a struct, so its columns
+    may have any name. Rows of which nothing goes (told by a bit table of fixed size) are not shuffled.
     """
-    gone = removed_lines(docs, id_col, text_col, short_lines).groupBy("doc_id").agg(F.collect_set("line_no").alias("l_gone"))
-    gone = gone.withColumnRenamed("doc_id", "l_doc")
+    gone = removed_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = stored(gone.withColumnRenamed("doc_id", "gone_id"), "lines-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("lines"))
+    spot = F.shiftrightunsigned(F.xxhash64("id"), 64 - MARK_BITS).cast("int")
+    touched = F.coalesce(_marked(gone.select(F.col("gone_id").alias("id")), spot) & F.col("id").isNotNull(), F.lit(False))
+    joined = rows.filter(touched).join(gone, F.col("id") == F.col("gone_id"), "left")
     # A map of places, so that a text with many lines is not searched line by line.
-    places = F.map_from_entries(F.transform("l_gone", lambda k: F.struct(k, F.lit(True))))
-    kept = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line, k: F.col("l_places")[k].isNull())
-    text = F.when(F.col("l_places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["l_doc"], "left").withColumn("l_places", places)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    joined = joined.withColumn("places", F.map_from_entries(F.transform("gone", lambda k: F.struct(k, F.lit(True)))))
+    kept = F.filter(F.split("lines", "\n"), lambda line, k: F.col("places")[k].isNull())
+    joined = joined.withColumn("left", F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.array_join(kept, "\n")))
+    kind = docs.schema[text_col].dataType
+    changed = joined.select(F.col("row").withField(f"`{text_col}`", F.col("left").cast(kind)).alias("row"))
+    return changed.union(rows.filter(~touched).select("row")).select("row.*")
 
 
 def op8_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,25 +269,25 @@ WITH texts AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
 ), lines AS (
   SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM texts
-), sets AS (
+), by_line AS (
   SELECT line, min((doc_id, line_no)) AS first,
          list_sort(list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS s
   FROM lines GROUP BY line
-), long_enough AS (
-  SELECT line, first, s, len(s) AS n FROM sets WHERE len(s) >= 5
+), sets AS (
+  SELECT line, first, s, len(s) AS n FROM by_line WHERE len(s) >= 1
 ), words AS (
-  SELECT line, unnest(s) AS w FROM long_enough
+  SELECT line, unnest(s) AS w FROM sets
 ), counts AS (
   SELECT w, count(*) AS c FROM words GROUP BY w
 ), ordered AS (
   SELECT line, w, row_number() OVER (PARTITION BY line ORDER BY c, w) AS k FROM words JOIN counts USING (w)
 ), prefix AS (
-  SELECT line, w FROM ordered JOIN long_enough USING (line) WHERE 10 * (k - 1) <= 2 * n
+  SELECT line, w FROM ordered JOIN sets USING (line) WHERE 10 * (k - 1) <= 2 * n
 ), pairs AS (
   SELECT DISTINCT a.line AS a, b.line AS b FROM prefix a JOIN prefix b USING (w)
 ), matches AS (
   SELECT x.line, min(y.first) AS bound
-  FROM pairs JOIN long_enough x ON x.line = pairs.a JOIN long_enough y ON y.line = pairs.b
+  FROM pairs JOIN sets x ON x.line = pairs.a JOIN sets y ON y.line = pairs.b
   WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)
   GROUP BY x.line
 ), gone AS (

@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import types as T
+
 from offerloom.llm import line_join
 from tests.llm.conftest import ODD
 
@@ -9,11 +11,12 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
 def brute(rows):
+    """Every line with a word, against every earlier one."""
     lines = []
     for i, text, *_ in rows:
         if i is not None and text is not None:
             lines += [((i, k), frozenset(WORD.findall(line))) for k, line in enumerate(text.split("\n"))]
-    lines = [x for x in lines if len(x[1]) >= 5]
+    lines = [x for x in lines if x[1]]
     gone = set()
     for place, own in lines:
         if any(p < place and 100 * len(own & s) >= 80 * len(own | s) for p, s in lines):
@@ -36,18 +39,22 @@ def table_rows(seed):
                 rng.shuffle(words)
             own.append(rng.choice([" ", "  ", "\t"]).join(words))
         rows.append((rng.randrange(10**6) + 100, "\n".join(own)))
-    return rows + [(10**7 + k, "the same line again and again\n" * 3) for k in range(40)]
+    rows += [(10**7 + k, "the same line again and again\n" * 3) for k in range(40)]
+    # Short lines: equal sets, and four words inside five.
+    rows += [(50, "read more\nx\n\n \nby a b"), (51, "more  read\nX\nx"), (52, "a by b by\na b c d a b"), (53, "d c\tb a\nd c b\na b c d e")]
+    return rows
 
 
 def test_removed_lines(docs):
-    for seed in (1,):
-        rows = table_rows(seed)
-        got = line_join.removed_lines(docs(rows).repartition(3)).collect()
-        assert {(r.doc_id, r.line_no) for r in got} == brute(rows)
-        assert len(got) == len(set(got))
+    rows = table_rows(1)
+    want = brute(rows)
+    assert {(51, 0), (52, 0), (53, 0), (53, 2)} <= want and not {(50, 2), (51, 1), (53, 1)} & want
+    got = line_join.removed_lines(docs(rows).repartition(3)).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == want
+    assert len(got) == len(set(got))
 
 
-def test_texts_without_the_lines(docs):
+def test_texts_without_the_lines(spark, docs):
     rows = table_rows(3)
     gone = brute(rows)
     table = docs(rows)
@@ -60,28 +67,46 @@ def test_texts_without_the_lines(docs):
         want.append((i, text))
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted(want, key=str)
     assert line_join.dedup_lines(docs([])).count() == 0
+    stage = corpus_pipeline.lines(spark, docs([(1, "read more\nx"), (2, "x\ny\nmore read")]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in stage) == [(1, "read more\nx"), (2, "y")]
+
+
+def test_columns_of_any_name(spark):
+    names = ["l_gone", "l_doc", "l_places", "row", "id", "lines", "gone", "gone_id", "places", "left", "h1", "line"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.StringType()) for n in names)])
+    rows = [(1, "one two three\nkeep", *names), (2, "three two one\nmore of it", *names)]
+    got = line_join.dedup_lines(spark.createDataFrame(rows, schema))
+    assert got.schema.names == schema.names
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], (2, "more of it", *names)]
 
 
 def test_no_python_in_the_plan(docs):
-    plan = line_join.removed_lines(docs(ODD))._jdf.queryExecution().toString()
+    plan = line_join.dedup_lines(docs(ODD))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_short_lines_by_equal_sets(spark, docs):
-    rows = [*table_rows(5), (1, "read more\nx\n\n \nby a b"), (2, "more  read\nX\nx"), (3, "a by b by\na b c d a b\n\nlong words are in this line")]
-    rows += [(4, "d c\tb a\nd c b\nlong words are in this line"), (None, "x\nread more"), (2, "more  read\nX\nx")]
-    lines = []
-    for i, text, *_ in rows:
-        if i is not None and text is not None:
-            lines += [((i, k), frozenset(WORD.findall(line))) for k, line in enumerate(text.split("\n"))]
-    short = [x for x in lines if 1 <= len(x[1]) <= 4]
-    first = {}
-    for place, own in short:
-        first[own] = min(place, first.get(own, place))
-    want = brute(rows) | {place for place, own in short if first[own] < place}
-    assert (2, 0) in want and (4, 0) in want and (1, 2) not in want
-    got = line_join.removed_lines(docs(rows).repartition(3), short_lines=True).collect()
-    assert {(r.doc_id, r.line_no) for r in got} == want
-    table = docs([(1, "read more\nx"), (2, "x\ny\nmore read")])
-    stage = corpus_pipeline.lines(spark, table, "").collect()
-    assert sorted((r.doc_id, r.text) for r in stage) == [(1, "read more\nx"), (2, "y")]
+def dense(n):
+    """Lines that share 20 of 22 words, so that all of them match."""
+    shared = " ".join(f"s{k}" for k in range(20))
+    return [(k, f"a{k} b{k} {shared}") for k in range(n)]
+
+
+def test_a_dense_group_is_not_listed_pair_by_pair(docs):
+    rows = dense(1000)
+    lines = line_join.lines_of(docs(rows), "doc_id", "text")
+    sets = line_join.line_sets(lines, line_join.word_ranks(lines)).cache()
+    pairs = line_join.leader_pairs(sets).cache()
+    assert pairs.count() < 20_000
+    first = line_join.matched(pairs, lines)
+    asking = sets.join(first, ["doc_id", "line_no"], "left_anti")
+    assert line_join.asked_pairs(asking, sets).count() + pairs.count() < 20_000
+    got = line_join.removed_lines(docs(rows)).collect()
+    assert {r.doc_id for r in got} == set(range(1, 1000))
+
+
+def test_copies_are_one_before_they_are_shuffled(docs):
+    """Each line with 200 copies in every one of 4 tasks leaves at most one row a task, below the exchange."""
+    lines = line_join.lines_of(docs([(k, "this line is found everywhere") for k in range(800)]).repartition(4), "doc_id", "text")
+    plan = line_join.line_sets(lines, [0] * (1 << 16))._jdf.queryExecution().executedPlan().toString()
+    exchange = re.search(r"Exchange hashpartitioning\(h1", plan).start()
+    assert "partial_min(place" in plan[exchange:] and "partial_count(1)" in plan[exchange:]
