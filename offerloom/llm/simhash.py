@@ -74,15 +74,16 @@ def majority(hashes: np.ndarray) -> np.uint64:
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (long: the same 64 bits) of each row; a null or empty text has fingerprint 0."""
+    """doc_id, t (a hash of the text) and fingerprint (long: the same 64 bits) of each row; a null or empty text has fingerprint 0."""
 
     def step(batches):
         for piece in pieces(batches):
             data, offsets = text_buffers(piece.column("text"))
             found = text_fingerprints(data, offsets, words_in_shingle)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("t"), pa.array(found.view(np.int64))], ["doc_id", "t", "fingerprint"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(step, "doc_id long, fingerprint long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+    return rows.mapInArrow(step, "doc_id long, t long, fingerprint long")
 
 
 def nearest_codeword(values: np.ndarray) -> np.ndarray:
@@ -232,11 +233,24 @@ def linked(distinct: DataFrame) -> DataFrame:
                 [pa.array(links[:, 0].copy().view(np.int64)), pa.array(links[:, 1].copy().view(np.int64))], ["a", "b"]
             )
 
-    spread_out = distinct.select("fingerprint").mapInArrow(spread, "anchor long, fingerprint long, own boolean")
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes become many: dealt by number, or they would be joined into a task or two.
+    dealt = distinct.select("fingerprint").repartition(partitions, "fingerprint")
+    spread_out = dealt.mapInArrow(spread, "anchor long, fingerprint long, own boolean")
     return spread_out.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(meet, "a long, b long").distinct()
 
 
+def _rooted(docs: DataFrame, words_in_shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t, fingerprint, smallest (doc_id under this fingerprint) and root of each row."""
+    prints = stored(fingerprints(docs, words_in_shingle, id_col, text_col), "fingerprints")
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest"))
+    roots = components(linked(classes))
+    rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root")
+    )
+    return prints.join(stored(rooted, "roots"), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of each row.
 
@@ -244,20 +258,28 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 4, id_col: str = "d
     so copies are never paired. Rows that share an id keep a row each; a null id gets a row, and counts in no
     component's smallest id; an empty table gives none. Extra columns are ignored.
     """
-    prints = stored(fingerprints(docs, words_in_shingle, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest"))
-    roots = components(linked(classes))
-    rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root")
-    )
-    rooted = stored(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    found = rooted.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(found, "fingerprint").select(
+    rows = _rooted(docs, words_in_shingle, id_col, text_col)
+    least = rows.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    return rows.join(least, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame, words_in_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: of those with its smallest id, the one with the least hash of its text.
+
+    Copies are told by their text alone: rows that share an id but whose texts are not linked are components of their
+    own and stay; repeated rows are one. Rows with a null id stay. The row travels inside a struct, so its columns may
+    have any name; an empty table gives no rows.
+    """
+    found = _rooted(docs, words_in_shingle, id_col, text_col).filter("doc_id IS NOT NULL")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("kept")).select("kept.*").distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"))
+    single = rows.join(kept, ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.first("row").alias("row"))
+    return single.select("row").union(rows.filter("doc_id IS NULL").select("row")).select("row.*")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 

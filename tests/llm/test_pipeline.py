@@ -71,7 +71,7 @@ def brute(rows):
         (i, "\n".join(line for k, line in enumerate(text.split("\n")) if (i, k) not in gone), lang) for i, text, lang in rows
     ]
     yield rows
-    prints = [test_simhash.brute_print(text, 5) for _, text, _ in rows]
+    prints = [test_simhash.brute_print(text) for _, text, _ in rows]
     roots = test_simhash.brute_components(prints, [r[0] for r in rows])
     rows = [r for r, root in zip(rows, roots) if r[0] is None or r[0] == root]
     yield rows

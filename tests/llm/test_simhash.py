@@ -58,6 +58,31 @@ def test_fingerprints_and_components(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    """Ids repeated with other texts, repeated rows, null ids, and columns of any name."""
+    rng = random.Random(8)
+    one, two = (" ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(90)) for _ in range(2))
+    rows = [(1, one), (1, two), (1, one), (2, one + " x"), (3, two), (None, one), (None, None), (4, ""), (5, None), (6, "only this")]
+    names = ["s_n", "s_id", "row", "t", "root", "kept", "q_row"]
+    schema = f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}"
+    table = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    got = simhash.one_of_each(table.repartition(3))
+    assert got.columns == table.columns
+    assert all(tuple(r)[2:] == tuple(names) for r in got.collect())
+    texts = [r[1] for r in rows]
+    parts = brute_components([brute_print(t) for t in texts], list(range(len(rows))))
+    kept = {}
+    for (doc, text), part in zip(rows, parts):
+        if doc is not None:
+            kept[part] = min(doc, kept.get(part, doc))
+    assert len(set(parts[:5])) == 2
+    found = sorted((r.doc_id, len(r.text or "")) for r in got.collect() if r.doc_id is not None)
+    assert [f[0] for f in found] == sorted(kept.values())
+    assert sorted(len(r.text or "") for r in got.collect() if r.doc_id == 1) == sorted((len(one), len(two)))
+    assert sum(r.doc_id is None for r in got.collect()) == 2
+    assert simhash.one_of_each(table.limit(0)).count() == 0
+
+
 def test_anchors_lose_no_pair(spark):
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**64, 300, np.uint64)
