@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import divergence, line_join, near_copies, packing, substrings
+from offerloom.llm import divergence, line_join, packing, simhash, substrings
 from offerloom.llm.arrow import stored
 
 
@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of near copies: shingles of four words, fingerprints within 4 bits."""
+    return simhash.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
