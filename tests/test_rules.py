@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.functions import codes, descriptions, ratings, stores, text
+from offerloom.operators import contains
 from offerloom.operators.resolve import resolve_domain_feed, resolve_domain_name, resolve_domain_slug, resolve_domain_text
 
 
@@ -159,11 +160,11 @@ def test_money(column):
     assert column(lambda a: descriptions.money(a), [(3.5,)], "a double") == ["£3.50"]
 
 
-@pytest.mark.parametrize("size", [0, 1, 5])
-def test_substrings(column, size):
-    from offerloom.operators.contains import substrings
-
-    word = "abcab"[:size]
-    want = {word[i:j] for i in range(size + 1) for j in range(i, size + 1)}
-    got = column(substrings, [(word,)], "t string")[0]
+@pytest.mark.parametrize("word", ["", "a", "abcab", "abcabcabcd", "äöüäöüß"])
+def test_grams(column, word):
+    """Every piece of up to six characters, each once; a needle's first gram is one of them if it is contained."""
+    want = {word[i:j] for i in range(len(word) + 1) for j in range(i, min(i + contains.GRAM, len(word)) + 1)}
+    got = column(contains.grams, [(word,)], "t string")[0]
     assert set(got) == want and len(got) == len(want)
+    needles = sorted({word[i:j] for i in range(len(word) + 1) for j in range(i, len(word) + 1)})
+    assert set(column(contains.first_gram, [(n,) for n in needles], "t string")) <= want
