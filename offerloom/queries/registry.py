@@ -38,7 +38,14 @@ from offerloom.queries.common import (
 from offerloom.queries.pages import BUTTON_OFFERS, faulty_captures
 from offerloom.session import work_path
 from offerloom.sources.registry import export_registry_json, read_registry
-from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports, trim_run_log
+from offerloom.sources.reports import (
+    append_run_log,
+    last_runs,
+    last_runs_per_source,
+    parse_reports,
+    read_run_log,
+    trim_run_log,
+)
 from offerloom.sources.versions import empty_registry, newest, read_registry_table, write_registry_table
 
 EARLY, LATE = "1998-06-01 00:00:00", "2001-12-01 00:00:00"
@@ -501,7 +508,7 @@ def collection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         append_run_log(collected.runs, log)
     trim_run_log(spark, log, 5)
-    logged = spark.read.parquet(log).groupBy("source").agg(F.max(F.col("codesFound") + F.size("errors")).alias("n"))
+    logged = read_run_log(spark, log).groupBy("source").agg(F.max(F.col("codesFound") + F.size("errors")).alias("n"))
     per_store = result.offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     left = result.stores.join(per_store, "domain").select(F.lit("store").alias("part"), F.col("domain").alias("label"), "n")
     counters = result.summary.select(F.lit("counter").alias("part"), F.col("counter").alias("label"), "n")

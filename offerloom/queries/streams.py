@@ -133,10 +133,11 @@ WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GRO
 
 
 def running_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals: a base of the first batches, and the changes of the rest."""
     status = F.when(F.col("event_type") == "purchase", F.lit("success")).otherwise(F.lit("failure"))
     attempts = event_stream(spark, sf_dir).select("domain", F.col("k").alias("code"), status.alias("status"))
     path = work_path(spark, "stream-tests")
-    drain(to_changes(stream_tests(attempts), path))
+    drain(to_changes(stream_tests(attempts), path, compact_every=2))
     return latest_tests(spark, path)
 
 

@@ -9,6 +9,7 @@ from offerloom.fixed import NOT_NEWLINE
 from offerloom.functions.text import trim_all
 from offerloom.operators.dedupe import first_rows
 from offerloom.schemas import RUN
+from offerloom.sources import pointers
 
 REPORT_TITLE = rf"Code failed: ({NOT_NEWLINE}+?) @ ({NOT_NEWLINE}+)"
 RUNS_KEPT = 100
@@ -36,19 +37,27 @@ def read_reports(spark: SparkSession, path: str, limit: int | None = None) -> Da
 
 def append_run_log(runs: DataFrame, path: str) -> None:
     """Append run rows to the log."""
-    columns = [F.col(f.name).cast(f.dataType) for f in RUN]
-    runs.select(*columns).write.mode("append").parquet(path)
+    spark = runs.sparkSession
+    before = pointers.current(spark, path)
+    part = pointers.write_part(runs.select(*(F.col(f.name).cast(f.dataType) for f in RUN)), path)
+    pointers.point(spark, path, before, [*before["parts"], part])
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """All run rows of the log; none where there is no log."""
+    return pointers.read_parts(spark, path, RUN)
 
 
 def trim_run_log(spark: SparkSession, path: str, keep: int = RUNS_KEPT) -> None:
-    """Leave the newest ``keep`` runs in the stored log; the new log is complete before it takes the old one's place."""
-    kept, new = last_runs(spark.read.schema(RUN).parquet(path), keep), f"{path.rstrip('/')}-trimmed"
-    kept.write.mode("overwrite").parquet(new)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old = hadoop.Path(path)
-    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(old, True)
-    system.rename(hadoop.Path(new), old)
+    """Leave the newest ``keep`` runs in the stored log.
+
+    They are written beside the others and become the log in one step; only then the others are deleted. Cut off
+    anywhere, the log is the old one or the new one.
+    """
+    before = pointers.current(spark, path)
+    part = pointers.write_part(last_runs(pointers.read_parts(spark, path, RUN, before), keep), path)
+    pointers.point(spark, path, before, [part])
+    pointers.clear(spark, path)
 
 
 def last_runs(runs: DataFrame, keep: int = RUNS_KEPT, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -10,13 +10,27 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from offerloom.functions.codes import norm_code
 from offerloom.operators.lifecycle import RETENTION_DAYS, match_reports
 from offerloom.plans.collect import upsert_into
 from offerloom.session import durable
-from offerloom.sources.versions import BUCKETS, KEEP, Manifest, newest, read_buckets, read_small, touched, write_changes
+from offerloom.sources import pointers
+from offerloom.sources.versions import (
+    BUCKETS,
+    KEEP,
+    Manifest,
+    file_system,
+    names_in,
+    newest,
+    path_exists,
+    read_buckets,
+    read_small,
+    touched,
+    write_changes,
+)
 
 
 def drain(query: StreamingQuery) -> None:
@@ -115,11 +129,24 @@ def stream_tests(attempts: DataFrame) -> DataFrame:
     )
 
 
-def to_changes(stream: DataFrame, path: str) -> StreamingQuery:
-    """Write the changed rows of every micro-batch below ``path``; a replay overwrites its batch."""
+#: Totals as they are stored.
+TESTS = T.StructType([T.StructField(n, k) for n, k in (("domain", T.StringType()), ("code", T.StringType()), ("total", T.LongType()), ("worked", T.LongType()))])
+#: Batches of changes that are folded into the base together.
+COMPACT_EVERY = 50
+
+
+def to_changes(stream: DataFrame, path: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Write the changed totals of every micro-batch below ``path``, and fold them into a base now and then.
+
+    A replay overwrites its batch; one that the base holds already is skipped.
+    """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        spark = batch.sparkSession
+        if number > pointers.current(spark, path).get("low", -1):
+            batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+            if (number + 1) % compact_every == 0:
+                compact_tests(spark, path)
 
     return (
         stream.writeStream.foreachBatch(write_batch)
@@ -130,11 +157,43 @@ def to_changes(stream: DataFrame, path: str) -> StreamingQuery:
     )
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches of changes that are there whole."""
+    names = [name for name in names_in(spark, f"{path}/changes") if name.startswith("batch=")]
+    return sorted(int(name[6:]) for name in names if path_exists(spark, f"{path}/changes/{name}/_SUCCESS"))
+
+
+def _totals(spark: SparkSession, path: str, base: dict, batches: list[int]) -> DataFrame:
+    rows = pointers.read_parts(spark, path, TESTS, base)
+    if batches:
+        folders = (f"{path}/changes/batch={number}" for number in batches)
+        rows = rows.unionByName(spark.read.schema(TESTS).parquet(*folders))
+    newest = rows.groupBy("domain", "code").agg(F.max("total").alias("total"), F.max("worked").alias("worked"))
+    return newest.select(*TESTS.names)
+
+
+def compact_tests(spark: SparkSession, path: str) -> None:
+    """Fold all changes so far into a new base, which states the last batch it holds (the low-water mark).
+
+    The base before it and its batches stay until the next time, for readers that are under way.
+    """
+    before = pointers.current(spark, path)
+    batches = [n for n in _batches(spark, path) if n > before.get("low", -1)]
+    if not batches:
+        return
+    part = pointers.write_part(_totals(spark, path, before, batches), path)
+    pointers.point(spark, path, before, [part], low=batches[-1])
+    pointers.clear(spark, path, keep=2)
+    system, root, jvm = file_system(spark, path)
+    for number in _batches(spark, path):
+        if number <= before.get("low", -1):
+            system.delete(jvm.org.apache.hadoop.fs.Path(root, f"changes/batch={number}"), True)
+
+
 def latest_tests(spark: SparkSession, path: str) -> DataFrame:
-    """Newest totals per offer out of the changes; totals only grow."""
-    changes = spark.read.parquet(f"{path}/changes")
-    newest = changes.groupBy("domain", "code").agg(F.max(F.struct("total", "worked")).alias("t"))
-    return newest.select("domain", "code", "t.total", "t.worked")
+    """Newest totals per offer: the base, and the batches since; totals only grow."""
+    base = pointers.current(spark, path)
+    return _totals(spark, path, base, [n for n in _batches(spark, path) if n > base.get("low", -1)])
 
 
 def stream_dedupe(offers: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:

@@ -19,9 +19,18 @@ from offerloom.operators.lifecycle import (
 from offerloom.plans.collect import run_and_store
 from offerloom.schemas import OFFER, RAW_OFFER, STORE
 from offerloom.session import shared_dir
+from offerloom.sources import pointers
 from offerloom.sources.dimensions import load_dimensions
 from offerloom.sources.registry import document_lines, export_registry_json, read_registry, single_document, store_parts
-from offerloom.sources.reports import append_run_log, last_runs, last_runs_per_source, parse_reports, read_reports
+from offerloom.sources.reports import (
+    append_run_log,
+    last_runs,
+    last_runs_per_source,
+    parse_reports,
+    read_reports,
+    read_run_log,
+    trim_run_log,
+)
 from offerloom.sources.versions import empty_registry, manifest, read_registry_table, snapshots, write_registry_table
 
 NOW = datetime(2024, 6, 1)
@@ -208,12 +217,37 @@ def test_run_log(spark, tmp_path):
     frame = spark.createDataFrame(rows, "timestamp timestamp, source string, codesFound int, codesAdded int, codesUpdated int, duration int, errors array<string>")
     append_run_log(frame.limit(60), path)
     append_run_log(frame.exceptAll(frame.limit(60)), path)
-    log = spark.read.parquet(path)
+    log = read_run_log(spark, path)
     kept = [r.codesFound for r in last_runs(log).collect()]
     assert len(kept) == 100 and min(kept) == 20
     assert last_runs_per_source(log, 3).count() == 6
 
 
+@pytest.mark.parametrize("step", ["write_part", "point", "clear"])
+def test_a_trim_that_is_cut_off_leaves_a_log(spark, tmp_path, monkeypatch, step):
+    """Whichever step fails, the log is the old or the new one, and the next trim ends the work."""
+    path = str(tmp_path / "runs")
+    assert read_run_log(spark, path).count() == 0
+    for k in range(3):
+        row = (datetime(2024, 1, 1 + k), "s", k, 0, 0, 5, [])
+        append_run_log(spark.createDataFrame([row], "timestamp timestamp, source string, codesFound int, codesAdded int, codesUpdated int, duration int, errors array<string>"), path)
+
+    def fail(*_, **__):
+        raise OSError("the driver went")
+
+    with monkeypatch.context() as cut:
+        cut.setattr(pointers, step, fail)
+        with pytest.raises(OSError):
+            trim_run_log(spark, path, 2)
+    left = sorted(r.codesFound for r in read_run_log(spark, path).collect())
+    assert left == ([1, 2] if step == "clear" else [0, 1, 2])
+    trim_run_log(spark, path, 2)
+    assert sorted(r.codesFound for r in read_run_log(spark, path).collect()) == [1, 2]
+    assert len(glob.glob(f"{path}/pointers/*.json")) == 1
+    with pytest.raises(FileExistsError):
+        pointers.point(spark, path, {"number": pointers.current(spark, path)["number"] - 1}, [])
+
+
 def test_whole_run(spark, tmp_path):
     base = str(tmp_path / "registry")
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from offerloom.operators.merge import merge_offers
 from offerloom.plans.collect import run_and_store
 from offerloom.schemas import OFFER, RAW_OFFER
+from offerloom.sources import pointers
 from offerloom.sources.versions import empty_registry, read_registry_table, snapshots, write_registry_table
 from offerloom.streaming.jobs import (
+    compact_tests,
     drain,
     expired_by,
     latest_tests,
@@ -141,6 +143,31 @@ def test_running_totals(spark, tmp_path):
     assert rows_of(latest_tests(spark, out)) == rows_of(batch)
 
 
+def test_changes_are_folded_into_a_base(spark, tmp_path):
+    """Base and later changes give the totals; folded batches go one round later, and replays change nothing."""
+    rows, out = events(4), str(tmp_path / "out")
+    want = rows_of(
+        spark.createDataFrame(rows, SCHEMA).groupBy("domain", "code")
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("worked"))
+    )
+    drain(to_changes(stream_tests(in_batches(spark, rows, SCHEMA, str(tmp_path / "in"), 7)), out, compact_every=2))
+    state = pointers.current(spark, out)
+    assert state["low"] == 5 and len(state["parts"]) == 1
+    assert sorted(p.name for p in (tmp_path / "out" / "changes").iterdir()) == ["batch=4", "batch=5", "batch=6"]
+    assert rows_of(latest_tests(spark, out)) == want
+    for batch in (5, 6):  # as if the driver went before it noted the last two batches
+        for name in (str(batch), f".{batch}.crc"):
+            (tmp_path / "out" / "checkpoint" / "commits" / name).unlink()
+    again = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(to_changes(stream_tests(again), out, compact_every=2))
+    assert rows_of(latest_tests(spark, out)) == want
+    compact_tests(spark, out)
+    assert pointers.current(spark, out)["low"] == 6 and rows_of(latest_tests(spark, out)) == want
+    before = pointers.current(spark, out)
+    compact_tests(spark, out)
+    assert pointers.current(spark, out) == before
+
+
 def test_dedupe(spark, tmp_path):
     """A repeat within the watermark is dropped; one long after it comes through again."""
     day = timedelta(days=1)
