@@ -29,11 +29,21 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+#: With this setting of Spark's, shuffle files of a query go when it ends, instead of whenever the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write to the shared folder and read back. The write's own shuffle files are deleted with it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +79,6 @@ def longs(column: pa.Array, null: int = 0) -> np.ndarray:
     return pc.fill_null(column, null).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def as_binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def within(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, one after the other."""
     total = int(counts.sum())

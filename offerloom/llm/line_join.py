@@ -111,10 +111,10 @@ def line_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
     return one.select("h1", "h2", "place.*", "copies", "n", "bits", "prefix")
 
 
-def postings(sets: DataFrame, part: Column | None = None) -> DataFrame:
+def postings(sets: DataFrame, part: Column | None = None, *more: str) -> DataFrame:
     """(t, doc_id, line_no, n, k, bits): each code of the prefix with its position k, or of the first ``part`` of it."""
     prefix = F.col("prefix") if part is None else F.slice("prefix", F.lit(1), part)
-    return sets.select(F.posexplode(prefix).alias("k", "t"), *PLACE, "n", "bits")
+    return sets.select(F.posexplode(prefix).alias("k", "t"), *PLACE, "n", "bits", *more)
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -133,9 +133,9 @@ def _may_match(a: str, b: str) -> Column:
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) of places that may match: of each posting with the first two and the last two before it.
+    """Pairs (later, earlier) of places that may match: of each posting with the first one and the one before it.
 
-    No pair of a dense group is listed but these, at most four for each code. Half a prefix will do: what is missed here
+    No pair of a dense group is listed but these, at most two for each code. Half a prefix will do: what is missed here
     is found by ``asked_pairs``.
     """
     half = (F.col("n") - F.floor((2 * SIMILARITY * F.col("n") + 179) / F.lit(180)) + 1).cast("int")
@@ -143,36 +143,29 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     order = W.partitionBy("t").orderBy(*PLACE)
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = postings(sets, half).select(
-        "t",
-        own.alias("own"),
-        F.first(own).over(so_far).alias("p1"),
-        F.nth_value(own, 2).over(so_far).alias("p2"),
-        F.lag(own, 1).over(order).alias("p3"),
-        F.lag(own, 2).over(order).alias("p4"),
+        "t", own.alias("own"), F.first(own).over(so_far).alias("p1"), F.lag(own, 1).over(order).alias("p2")
     )
+    partners = F.array(*(F.when((_place(p) < _place("own")) & _may_match("own", p), _place(p)) for p in ("p1", "p2")))
+    found = rows.select(_place("own").alias("later"), F.array_compact(partners).alias("partners")).filter(F.size("partners") > 0)
+    return found.select("later", F.explode(F.array_distinct("partners")).alias("earlier")).distinct()
 
-    def place(side: str) -> Column:
-        return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in PLACE))
 
-    partners = F.array(*(F.when((place(p) < place("own")) & _may_match("own", p), place(p)) for p in ("p1", "p2", "p3", "p4")))
-    found = rows.select(place("own").alias("later"), F.array_compact(partners).alias("partners")).filter(F.size("partners") > 0)
-    return found.select("later", F.explode(F.array_distinct("partners")).alias("earlier")).distinct()
+def _place(side: str) -> Column:
+    return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in PLACE))
 
 
-def asked_pairs(asking: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs (later, earlier) of places that may match, for the ``asking`` lines: prefix, length and positional filters.
+def asked_pairs(sets: DataFrame) -> DataFrame:
+    """All pairs (later, earlier) of places that may match, for the lines that ask (``asks``).
 
     Sets that match share one of the first n - ceil(0.8 n) + 1 words in the common order; where they share one, its
     positions bound what they can have in common; and their bits tell at once most sets that are too far apart.
     """
-    a, b = postings(asking).alias("a"), postings(sets).alias("b")
-    before = F.struct(*(F.col(f"b.{c}") for c in PLACE)) < F.struct(*(F.col(f"a.{c}") for c in PLACE))
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & before & _may_match("a", "b"))
-
-    def place(side: str) -> Column:
-        return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in PLACE))
-
-    return met.select(place("a").alias("later"), place("b").alias("earlier")).distinct()
+    rows = postings(sets, None, "asks")
+    a, b = rows.alias("a"), rows.alias("b")
+    # Both sides are one exchange. A test of a's column alone would be moved below it and make it two.
+    asks = F.col("a.asks") | (F.col("b.asks") & (F.col("b.n") < 0))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & asks & (_place("b") < _place("a")) & _may_match("a", "b"))
+    return met.select(_place("a").alias("later"), _place("b").alias("earlier")).distinct()
 
 
 def _marks(places: DataFrame) -> Column:
@@ -219,8 +212,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     sets = stored(line_sets(lines, word_ranks(lines)), "line-sets").filter("n > 0")
     first = stored(matched(leader_pairs(sets), lines), "lines-matched")
-    asking = sets.join(first, [*PLACE], "left_anti")
-    gone = first.union(matched(asked_pairs(asking, sets), lines)).withColumn("all_go", F.lit(True))
+    asking = sets.join(first.withColumn("found", F.lit(True)), [*PLACE], "left").withColumn("asks", F.col("found").isNull())
+    gone = first.union(matched(asked_pairs(stored(asking, "lines-asking")), lines)).withColumn("all_go", F.lit(True))
     bounds = sets.join(gone, [*PLACE], "left").filter((F.col("copies") > 1) | F.col("all_go"))
     bounds = bounds.select("h1", "h2", F.struct(*PLACE).alias("first"), F.coalesce("all_go", F.lit(False)).alias("all_go"))
     places = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))

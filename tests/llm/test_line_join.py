@@ -2,9 +2,11 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerloom.llm import line_join
+from offerloom.llm.arrow import stored
 from tests.llm.conftest import ODD
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -98,12 +100,26 @@ def test_a_dense_group_is_not_listed_pair_by_pair(docs):
     pairs = line_join.leader_pairs(sets).cache()
     assert pairs.count() < 20_000
     first = line_join.matched(pairs, lines)
-    asking = sets.join(first, ["doc_id", "line_no"], "left_anti")
-    assert line_join.asked_pairs(asking, sets).count() + pairs.count() < 20_000
+    asking = sets.join(first.withColumn("asks", F.lit(False)), ["doc_id", "line_no"], "left").na.fill(True, ["asks"])
+    assert line_join.asked_pairs(asking).count() + pairs.count() < 20_000
     got = line_join.removed_lines(docs(rows)).collect()
     assert {r.doc_id for r in got} == set(range(1, 1000))
 
 
+def test_both_sides_of_the_join_are_one_exchange(spark, docs):
+    lines = line_join.lines_of(docs(dense(50)), "doc_id", "text")
+    sets = stored(line_join.line_sets(lines, [0] * (1 << 16)).withColumn("asks", F.col("doc_id") > 3), "sets")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = line_join.asked_pairs(sets)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "SortMergeJoin" in plan and "ReusedExchange" in plan
+
+
 def test_copies_are_one_before_they_are_shuffled(docs):
     """Each line with 200 copies in every one of 4 tasks leaves at most one row a task, below the exchange."""
     lines = line_join.lines_of(docs([(k, "this line is found everywhere") for k in range(800)]).repartition(4), "doc_id", "text")
