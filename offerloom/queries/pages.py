@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from offerloom.operators.slugs import (
 )
 from offerloom.queries.common import SQL_HOST, sql_candidate, sql_trim, table
 from offerloom.session import work_path
-from offerloom.sources.pages import read_feed, select_sources, sitemap_locs
-from offerloom.sources.profiles import Discovery, PageProfile, Selector
+from offerloom.sources.pages import read_captures, read_feed, select_sources, sitemap_locs, write_captures
+from offerloom.sources.profiles import PAGES, Discovery, PageProfile, Selector
 
 WEB = {
     "web": PageProfile(
@@ -161,6 +163,48 @@ SELECT url, 's' || p_size || 'x' AS code, p_name || ' discount codes' AS store_n
        'Extra' AS description, 'unknown' AS type FROM p
 """
 
+def stored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each supplier on each of the nine page sources, through the capture table; one in five has no heading."""
+    key = F.col("s_suppkey").cast("string")
+    heading = F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("<h1>Shop "), key, F.lit(" voucher code</h1>"))).otherwise(F.lit(""))
+    html = F.concat(
+        F.lit("<html><head><title>Codes</title></head><body>"), heading,
+        F.lit("<article class='deal'><p>"), key, F.lit("% off shoes at Nike</p> with <b>WIN"), key, F.lit("X</b> </article>"),
+        F.lit("<div class='coupon offer' data-code='ATTR"), key, F.lit("'><h4 class='title'>£"), key, F.lit(" off at asos</h4></div>"),
+        F.lit("<section><p>Extra</p><button><div class='code-btn'>Get Code</div><span>hid</span><span>S"), key,
+        F.lit("B</span></button></section><table><tr><td><p>Buy 2 get 1 at Argos</p> <i>ROW"), key, F.lit("Z</i> </td></tr></table></body></html>"),
+    )
+    pages = table(spark, sf_dir, "supplier").select(
+        F.explode(F.array(*(F.lit(source) for source in PAGES))).alias("source"), F.concat(F.lit("https://c/"), key).alias("url"),
+        F.concat(F.lit("shop-"), key, F.lit("-discount-codes")).alias("slug"), html.alias("html"),
+    )
+    path = work_path(spark, "captures")
+    write_captures(pages, path)
+    parts = [extract_page_offers(read_captures(spark, path, [source]))[0] for source in PAGES]
+    return functools.reduce(DataFrame.unionByName, parts).select("source", "url", "code", "store_name", "store_domain", "description", "type")
+
+
+STORED_CAPTURES = """
+WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_suppkey % 5 > 0 AS headed FROM supplier),
+     o AS (SELECT unnest(['codesuk', 'coupert', 'myvouchercodes', 'netvouchercodes', 'savoo', 'voucherbox']) AS source, 'ATTR' AS head, '' AS tail,
+                  '£' AS lead, ' off at asos' AS words, 'fixed' AS type
+           UNION ALL SELECT unnest(['codesuk', 'myvouchercodes', 'netvouchercodes', 'savoo', 'voucherbox', 'latestdeals', 'moneysavingexpert']),
+                            'WIN', 'X', '', '% off shoes at Nike', 'percentage'
+           UNION ALL SELECT 'vouchercodes', 'S', 'B', NULL, 'Extra', 'unknown'
+           UNION ALL SELECT 'moneysavingexpert', 'ROW', 'Z', NULL, 'Buy 2 get 1 at Argos', 'bogo')
+SELECT source, 'https://c/' || k AS url, head || k || tail AS code,
+       CASE WHEN source IN ('latestdeals', 'moneysavingexpert') THEN CASE head WHEN 'ROW' THEN 'Argos' ELSE 'Nike' END
+            WHEN source = 'myvouchercodes' THEN CASE WHEN headed THEN 'Shop ' ELSE 'shop ' END || k
+            WHEN headed THEN 'Shop ' || k || ' voucher code'
+            WHEN source = 'vouchercodes' THEN 'shop ' || k || ' discount codes'
+            WHEN source = 'savoo' THEN 'Shop ' || k ELSE 'Shop ' || k || ' Discount Codes' END AS store_name,
+       CASE WHEN source IN ('latestdeals', 'moneysavingexpert') THEN CASE head WHEN 'ROW' THEN 'argos.co.uk' ELSE 'nike.com' END
+            WHEN source = 'savoo' THEN 'shop-' || k || '.co.uk' WHEN source = 'coupert' THEN 'shop' || k || 'discountcodes.co.uk'
+            ELSE 'shop-' || k || '-discount-codes.co.uk' END AS store_domain,
+       CASE WHEN lead IS NULL THEN words ELSE lead || k || words END AS description, type
+FROM s, o
+"""
+
 # -- slugs and addresses ------------------------------------------------------------------------
 
 LAST_SEGMENT = r"/([^/?#]+)\z"
@@ -279,6 +323,7 @@ QUERIES = {
     "q_attr_offers": attribute_offers,
     "q_button_offers": button_offers,
     "q_sibling_offers": sibling_offers,
+    "q_captures": stored_captures,
     "q_slugs": slugs,
     "q_slugs_first_nonempty": slugs_first_nonempty,
     "q_frontier": frontier,
@@ -294,6 +339,7 @@ SQL = {
     "q_attr_offers": ATTRIBUTE_OFFERS,
     "q_button_offers": BUTTON_OFFERS,
     "q_sibling_offers": SIBLING_OFFERS,
+    "q_captures": STORED_CAPTURES,
     "q_slugs": SLUGS,
     "q_slugs_first_nonempty": SLUGS_FIRST_NONEMPTY,
     "q_frontier": FRONTIER,

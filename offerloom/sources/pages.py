@@ -47,9 +47,23 @@ def _numbered(items: DataFrame) -> DataFrame:
     return placed.select("title", "link", "description", (F.col("_nth") * F.lit(1 << 32) + F.row_number().over(place)).alias("item_no"))
 
 
+CAPTURE = "url string, slug string, html string, status int, source string"
+
+
+def write_captures(captures: DataFrame, path: str) -> None:
+    """Add captured pages (source, url, slug, html; status if there is one) to a table that is parted by source.
+
+    A source with many pages goes to many files: pages are dealt by address, not by source.
+    """
+    if "status" not in captures.columns:
+        captures = captures.withColumn("status", F.lit(None).cast("int"))
+    rows = captures.select("url", "slug", "html", F.col("status").cast("int").alias("status"), "source")
+    rows.repartition("source", F.pmod(F.xxhash64("url"), F.lit(64))).write.mode("append").partitionBy("source").parquet(path)
+
+
 def read_captures(spark: SparkSession, path: str, sources: Sequence[str] | None = None) -> DataFrame:
-    """Stored pages (source, url, slug, html), optionally of some sources only."""
-    captures = spark.read.parquet(path).select("source", "url", "slug", "html")
+    """Stored pages (source, url, slug, html, status), optionally of some sources only: no other folder is read."""
+    captures = spark.read.schema(CAPTURE).parquet(path).select("source", "url", "slug", "html", "status")
     return select_sources(captures, sources)
 
 

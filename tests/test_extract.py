@@ -6,7 +6,7 @@ from offerloom.operators.extract import dead_letters, dedupe_page, extract_feed_
 from offerloom.operators.slugs import crawl_frontier, discover_slugs, paged_frontier
 from offerloom.plans.collect import collect_all, collect_markdown, collect_pages, collect_sources
 from offerloom.sources.profiles import DISCOVERY
-from offerloom.sources.pages import markdown_lines, read_captures, read_feed, read_markdown_pages, read_sitemaps, select_sources, sitemap_locs
+from offerloom.sources.pages import markdown_lines, read_captures, read_feed, read_markdown_pages, read_sitemaps, select_sources, sitemap_locs, write_captures
 
 MARKDOWN = """# Deals
 
@@ -279,3 +279,14 @@ def test_run_rows_name_the_first_page_errors(spark):
     assert runs["none"].errors == ["division by zero"]
     assert got.errors.groupBy("source").count().orderBy("source").collect() == [("none", 1), ("savoo", 130)]
     assert got.offers.count() == 1
+
+
+def test_a_source_reads_its_own_folder_alone(spark, tmp_path):
+    path = str(tmp_path / "captures")
+    rows = [(source, f"u{k}", "s", OFFER_PAGE) for source in ("savoo", "coupert") for k in range(20)]
+    write_captures(captures(spark, *rows), path)
+    write_captures(captures(spark, ("2024", "u", "s", None)), path)
+    plan = read_captures(spark, path, ["savoo"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan and "savoo" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert read_captures(spark, path, ["savoo"]).count() == 20 and read_captures(spark, path).count() == 41
+    assert [tuple(r) for r in read_captures(spark, path, "2024").collect()] == [("2024", "u", "s", None, None)]
