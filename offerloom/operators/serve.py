@@ -15,27 +15,28 @@ from offerloom.operators.contains import join_containing
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.ranking import with_position
 from offerloom.session import durable
+from offerloom.sources.store_keys import StoreKeys, key_base
 
 EXACT, WWW, CO_UK, PARTIAL, PRIORITY, POOL = 1, 2, 3, 4, 5, 6
 
 
-def _key_base(domain: Column) -> Column:
-    return F.replace(F.regexp_replace(domain, r"\.co\.uk\z", ""), F.lit("."), F.lit(""))
+def _partial_matches(hosts: DataFrame, stores: DataFrame, keys: StoreKeys | None = None) -> DataFrame:
+    """First store per host by containment between host and store key, either way round.
 
-
-def _partial_matches(hosts: DataFrame, stores: DataFrame) -> DataFrame:
-    """First store per host by containment between host and store key, either way round."""
+    With an index of the keys only its buckets with a piece of a host are read; else all keys are taken apart.
+    """
     compact = F.replace(F.col("host"), F.lit("."), F.lit(""))
-    bases = stores.groupBy(_key_base(F.col("domain")).alias("base")).agg(
-        F.min(F.struct("ord", "domain")).alias("store")
-    )
     names = hosts.select("host", F.explode(F.array_distinct(F.array("host", compact))).alias("name"))
-    inside_host = join_containing(names, "name", bases, "base").select("host", "store")
-    short = hosts.select("host", compact.alias("name"))
-    around_host = join_containing(bases, "base", short, "name").select("host", "store")
+    if keys is not None:
+        found = keys.containing(names.withColumn("short", F.col("name") == compact))
+        hits = found.join(stores.select("domain", F.struct("ord", "domain").alias("store")), "domain").select("host", "store")
+    else:
+        bases = stores.groupBy(key_base(F.col("domain")).alias("base")).agg(F.min(F.struct("ord", "domain")).alias("store"))
+        inside_host = join_containing(names, "name", bases, "base").select("host", "store")
+        short = hosts.select("host", compact.alias("name"))
+        hits = inside_host.unionByName(join_containing(bases, "base", short, "name").select("host", "store"))
     return (
-        inside_host.unionByName(around_host)
-        .groupBy("host")
+        hits.groupBy("host")
         .agg(F.min("store").alias("store"))
         .select("host", F.lit(PARTIAL).alias("tier"), F.col("store.domain").alias("domain"))
     )
@@ -93,9 +94,12 @@ def match_store(
     stores: DataFrame,
     offers: DataFrame,
     priority: Sequence[str] = PRIORITY_DOMAINS,
+    keys: StoreKeys | None = None,
 ) -> DataFrame:
     """Store of every distinct host: (host, tier, domain, pool, name); unmatched hosts are absent.
 
+    ``keys`` is the index of a stored registry; without it the store keys are taken apart anew.
+
     Equality tiers are hash joins; only hosts they leave over go to the containment tiers.  The
     answer of the equality tiers is kept, as it is read once for its matches and twice for the rest.
     """
@@ -123,7 +127,7 @@ def match_store(
     equal = tried.filter(F.col("tier").isNotNull())
     rest = tried.filter(F.col("tier").isNull()).select("host")
     stocked = stores.select("domain").join(offers.select("domain").distinct(), "domain", "left_semi")
-    others = _partial_matches(rest, stores).unionByName(
+    others = _partial_matches(rest, stores, keys).unionByName(
         _priority_matches(rest, stores, stocked, priority), allowMissingColumns=True
     )
     first = others.groupBy("host").agg(F.min(F.struct("tier", "domain", "pool")).alias("m"))

@@ -39,6 +39,7 @@ from offerloom.operators.merge import (
 from offerloom.schemas import RAW_OFFER, RUN
 from offerloom.session import durable, work_path
 from offerloom.sources.profiles import PAGES, PageProfile
+from offerloom.sources.store_keys import follow_stores
 from offerloom.sources.versions import (
     BUCKETS,
     KEEP,
@@ -208,7 +209,10 @@ def upsert_into(
     size = version.buckets if version else BUCKETS
     hit, shops = touched(firsts, "offers", size), touched(firsts, "stores", size)
     merged = upsert_firsts(read_buckets(spark, base, version, "offers", hit), firsts, now).drop("is_new", "rows")
-    stores = store_upsert_firsts(read_buckets(spark, base, version, "stores", shops), firsts)
+    before = read_buckets(spark, base, version, "stores", shops)
+    stores = store_upsert_firsts(before, firsts)
+    added = stores.join(before, "domain", "left_anti")
+    follow_stores(spark, base, read_buckets(spark, base, version, "stores"), added)
     return write_changes(spark, base, version, (merged, hit), (stores, shops), stream, keep)
 
 
@@ -243,6 +247,7 @@ def run_and_store(
     left = durable(drop_empty_stores(known, kept.select("domain").unionByName(untouched.select("domain"))))
     changed = stores.join(left, "domain", "left_anti").select("domain").unionByName(left.join(stores, "domain", "left_anti").select("domain"))
     shops = touched(changed, "stores", size)
+    follow_stores(spark, base, stores, left.join(stores, "domain", "left_anti"))
     of_shops = left.filter(bucket_of("stores", size).isin(*shops)) if shops else left.limit(0)
     write_changes(spark, base, version, (kept, hit), (of_shops, shops), keep=keep)
     return RunResult(*read_registry_table(spark, base), summary)

@@ -25,9 +25,12 @@ from offerloom.operators.serve import (
     visible_offers,
     with_rate,
 )
-from offerloom.plans.lookup import lookup_hosts
+from offerloom.plans.lookup import lookup_hosts, lookup_stored
 from offerloom.queries.common import SQL_HOST, sql_stamp, stamp, table
 from offerloom.queries.registry import EVENTS_K, TESTED_SQL, events_k, tested_offers
+from offerloom.session import work_path
+from offerloom.sources.store_keys import rebuild_store_keys
+from offerloom.sources.versions import empty_registry, write_registry_table
 
 ASOF = "2024-02-01 12:00:00"
 
@@ -350,6 +353,34 @@ SELECT domain, size AS visible, (SELECT count(*) FROM tested t WHERE t.domain =
        {_sql_age('last_seen')} AS last_verified, code AS best, size FROM ranked r WHERE position = 1
 """
 
+def pool_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup of every host of the pages in a stored registry, through its key index: the shop it leads to, which may be a
+    pool of stores, and the cards and codes it shows. Every offer has a twin of the same code; every third is hidden."""
+    stores, offers = sample_stores(spark, sf_dir)
+    twins = offers.withColumn("dup_no", F.explode(F.array(F.lit(0), F.lit(1))))
+    full, _ = empty_registry(spark)
+    full = full.unionByName(twins.withColumn("norm_code", F.col("code")), allowMissingColumns=True)
+    base = work_path(spark, "served")
+    write_registry_table(full, stores, base)
+    rebuild_store_keys(spark, base, stores)
+    hidden = offers.filter(F.substring("code", 2, 20).cast("long") % 3 == 0)
+    matched, cards_, _ = lookup_stored(spark, base, page_hosts(spark, sf_dir), hidden, F.lit(ASOF), PRIORITY)
+    shown = cards_.groupBy("pooled", "shop").agg(F.count("*").alias("cards"), F.count_distinct("domain", "code").alias("codes"))
+    return matched.join(shown, ["pooled", "shop"], "left").select(
+        "host", F.col("tier").cast("long").alias("tier"), "pooled", "shop", F.coalesce("cards", F.lit(0)).alias("cards"), F.coalesce("codes", F.lit(0)).alias("codes")
+    )
+
+
+POOL_LOOKUP = f"""
+WITH {STORES_SQL},
+shown AS (SELECT * FROM offers WHERE CAST(substr(code, 2) AS BIGINT) % 3 <> 0),
+served AS (SELECT host, domain AS of_store FROM shown JOIN matched USING (domain) WHERE tier < 6
+           UNION ALL SELECT host, s.domain FROM matched m JOIN shown s ON contains(s.domain, m.pool) WHERE tier = 6),
+sizes AS (SELECT host, count(*) AS n FROM served GROUP BY 1)
+SELECT host, CAST(tier AS BIGINT) AS tier, tier = 6 AS pooled, CASE WHEN tier = 6 THEN pool ELSE domain END AS shop,
+       2 * coalesce(n, 0) AS cards, coalesce(n, 0) AS codes FROM matched LEFT JOIN sizes USING (host)
+"""
+
 QUERIES = {
     "q_match_store": matched_hosts,
     "q_offers_for_hosts": hosts_offers,
@@ -367,6 +398,7 @@ QUERIES = {
     "q_outcomes_to_tests": tests_from_outcomes,
     "q_tests_applied": tests_applied,
     "q_lookup": lookup,
+    "q_lookup_pool": pool_lookup,
 }
 
 SQL = {
@@ -386,4 +418,5 @@ SQL = {
     "q_outcomes_to_tests": TESTS,
     "q_tests_applied": TESTS_APPLIED,
     "q_lookup": LOOKUP,
+    "q_lookup_pool": POOL_LOOKUP,
 }

@@ -29,10 +29,13 @@ def current(spark: SparkSession, path: str) -> dict:
     return _pointer(spark, path, numbers[-1]) if numbers else {"number": 0, "parts": []}
 
 
-def write_part(rows: DataFrame, path: str) -> str:
-    """Write rows as a part; it belongs to the table once a pointer names it."""
+def write_part(rows: DataFrame, path: str, by: str | None = None) -> str:
+    """Write rows as a part, with a folder for each value of ``by``; it belongs to the table once a pointer names it."""
     part = f"parts/{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{part}")
+    if by is None:
+        rows.write.parquet(f"{path}/{part}")
+    else:
+        rows.repartition(by).write.partitionBy(by).parquet(f"{path}/{part}")
     return part
 
 

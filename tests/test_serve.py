@@ -23,8 +23,11 @@ from offerloom.operators.serve import (
     trial_order,
     visible_offers,
 )
-from offerloom.plans.lookup import lookup_hosts
-from offerloom.sources.registry import empty_registry
+from offerloom.plans.collect import run_and_store
+from offerloom.plans.lookup import lookup_hosts, lookup_stored
+from offerloom.schemas import RAW_OFFER
+from offerloom.sources.store_keys import StoreKeys, follow_stores, rebuild_store_keys
+from offerloom.sources.versions import empty_registry
 
 STORES = "domain string, name string, category string, n long"
 
@@ -64,7 +67,7 @@ def ladder(host, domains, stocked):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_match_store_equals_the_ladder(spark, seed):
+def test_match_store_equals_the_ladder(spark, tmp_path, seed):
     rng = random.Random(seed)
     parts = ["driffle", "gog", "shop", "alpha", "be", "gamer", "x", "kinguin"]
     tails = [".com", ".co.uk", ".net", ""]
@@ -81,6 +84,44 @@ def test_match_store_equals_the_ladder(spark, seed):
     ).collect()
     want = {h: answer for h in hosts if (answer := ladder(h, domains, stocked)) is not None}
     assert {r.host: (r.tier, r.domain, r.pool) for r in got} == want
+    # Through an index that was added to, and that still holds a store that has gone.
+    base = str(tmp_path)
+    rebuild_store_keys(spark, base, stores_frame(spark, [*domains[:2], "gog-gone.com"]))
+    follow_stores(spark, base, stores_frame(spark, domains[:2]), stores_frame(spark, domains[2:]))
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = match_store(frame, stores_frame(spark, domains), offers, keys=StoreKeys(spark, base)).collect()
+    assert {r.host: (r.tier, r.domain, r.pool) for r in got} == want
+
+
+def test_a_lookup_reads_the_buckets_of_its_pieces(spark, tmp_path):
+    base = str(tmp_path)
+    rebuild_store_keys(spark, base, stores_frame(spark, [f"store{k:04d}.com" for k in range(200)]))
+    keys = StoreKeys(spark, base)
+    wanted = spark.createDataFrame([("store0",), ("e0042c",)], "gram string")
+    rows = keys.rows(wanted)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert rows.select("bucket").distinct().count() <= 2
+    assert [r.domain for r in rows.filter("gram = 'e0042c'").collect()] == ["store0042.com"]
+
+
+def test_the_index_follows_the_registry(spark, tmp_path):
+    base = str(tmp_path)
+    names = [f.name for f in RAW_OFFER]
+
+    def run(domain):
+        row = {"pos": 1, "code": "AA11", "store_domain": domain, "source": "x"}
+        return run_and_store(spark, base, spark.createDataFrame([tuple(row.get(n) for n in names)], RAW_OFFER), F.lit("2024-01-05 00:00:00"))
+
+    rebuild_store_keys(spark, base, run("alpha-shop.com").stores)
+    run("beta-shop.com")
+    hidden = spark.createDataFrame([], "domain string, code string")
+    hosts = spark.createDataFrame([("www2.beta-shop.com.au",), ("my.alpha-shop.com.au",), ("none",)], "host string")
+    matched, cards, _ = lookup_stored(spark, base, hosts, hidden, F.lit("2024-01-05 00:00:00"))
+    assert {(r.host, r.tier, r.shop) for r in matched.collect()} == {
+        ("www2.beta-shop.com.au", 4, "beta-shop.com"), ("my.alpha-shop.com.au", 4, "alpha-shop.com")
+    }
+    assert cards.count() == 2
 
 
 def test_pool_shows_every_store_of_the_label(spark):
