@@ -20,7 +20,8 @@ from offerloom.operators.slugs import (
     paged_frontier,
     slug_in,
 )
-from offerloom.queries.common import SQL_HOST, sql_candidate, sql_trim, table
+from offerloom.fixed import FALLBACK_SLUGS
+from offerloom.queries.common import SQL_HOST, quoted, sql_candidate, sql_trim, table
 from offerloom.session import work_path
 from offerloom.sources.pages import read_captures, read_feed, select_sources, sitemap_locs, write_captures
 from offerloom.sources.profiles import PAGES, Discovery, PageProfile, Selector
@@ -284,11 +285,7 @@ WITH p AS (SELECT page_id, url, {SQL_HOST} AS host, nullif(regexp_extract(url, '
              (source = 'com' AND page_id = (SELECT min(page_id) FROM q WHERE source = 'com' AND slug IS NOT NULL AND contains(sm, 'th')))))
 SELECT source, slug, CASE source WHEN 'org' THEN 'https://o/' || slug ELSE '' END AS url FROM f
 UNION ALL
-SELECT 'savoo', s, 'https://s/' || s FROM (SELECT unnest([
-  'amazon','argos','asos','boohoo','currys','john-lewis','next','very','tesco','sainsburys','morrisons','marks-and-spencer','new-look','hm',
-  'zara','sports-direct','nike','adidas','just-eat','dominos-pizza','uber-eats','deliveroo','ebay','shein','dunelm','wayfair','wickes',
-  'b-and-q','boots','superdrug','lookfantastic','myprotein','halfords','tui','debenhams','samsung','ao-com','wowcher','groupon',
-  'booking-com','expedia']) || '-discount-codes' AS s UNION ALL SELECT 'game-promo-codes')
+SELECT 'savoo', s, 'https://s/' || s FROM (SELECT unnest([{quoted(FALLBACK_SLUGS["savoo"])}]) AS s)
 """
 
 
@@ -297,14 +294,14 @@ def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "feed")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     items = table(spark, sf_dir, "pages").select(
-        title.alias("title"), F.col("url").alias("link"), F.col("page_id").cast("string").alias("description")
+        title.alias("title"), F.col("url").alias("link"), F.col("html").alias("description")
     )
     items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
     return read_feed(spark, path).select("title", "link", "description")
 
 
 FEED_ROUND_TRIP = f"""
-SELECT {sql_trim("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, url AS link, CAST(page_id AS VARCHAR) AS description FROM pages
+SELECT {sql_trim("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, url AS link, {sql_trim("html")} AS description FROM pages
 """
 
 

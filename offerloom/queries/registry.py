@@ -208,8 +208,8 @@ SELECT user_id, k, event_id, event_type FROM (
 
 
 def tested_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registry whose attempts come from events: purchases worked, errors failed."""
-    events = events_k(spark, sf_dir).filter(F.col("event_type").isin("purchase", "error", "view"))
+    """A registry whose offers and attempts come from all events: purchases worked, errors failed, others only show them."""
+    events = events_k(spark, sf_dir)
     worked = F.count_if(F.col("event_type") == "purchase")
     failed = F.count_if(F.col("event_type") == "error")
     grouped = events.groupBy(
@@ -235,8 +235,8 @@ def tested_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TESTED_SQL = f"""
 SELECT 's' || (user_id % 10) || '.example.com' AS domain, CAST(k AS VARCHAR) AS code,
-       count(*) FILTER (WHERE event_type <> 'view') AS total, count(*) FILTER (WHERE event_type = 'purchase') AS worked, max(ts) AS last_seen
-FROM {EVENTS_K} WHERE event_type IN ('purchase', 'error', 'view') GROUP BY 1, 2
+       count(*) FILTER (WHERE event_type IN ('purchase', 'error')) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS worked, max(ts) AS last_seen
+FROM {EVENTS_K} GROUP BY 1, 2
 """
 
 

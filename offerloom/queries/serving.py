@@ -184,17 +184,18 @@ BEST_OFFERS = f"WITH {RANKED_SQL} SELECT domain, code, worked, total FROM ranked
 
 
 def hidden_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers readers reported: the errors of odd events."""
-    errors = events_k(spark, sf_dir).filter((F.col("event_type") == "error") & (F.col("event_id") % 2 == 1))
+    """Offers readers reported: all errors. Those of even events name codes that no store has, and hide nothing."""
+    errors = events_k(spark, sf_dir).filter(F.col("event_type") == "error")
+    code = F.when(F.col("event_id") % 2 == 1, F.col("k")).otherwise(F.col("k") + 1_000_000)
     return errors.select(
         F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string"), F.lit(".example.com")).alias("domain"),
-        F.col("k").cast("string").alias("code"),
+        code.cast("string").alias("code"),
     )
 
 
 HIDDEN_SQL = f"""
-hidden AS (SELECT DISTINCT 's' || (user_id % 10) || '.example.com' AS domain, CAST(k AS VARCHAR) AS code FROM {EVENTS_K}
-           WHERE event_type = 'error' AND event_id % 2 = 1)
+hidden AS (SELECT DISTINCT 's' || (user_id % 10) || '.example.com' AS domain,
+                  CAST(CASE event_id % 2 WHEN 1 THEN k ELSE k + 1000000 END AS VARCHAR) AS code FROM {EVENTS_K} WHERE event_type = 'error')
 """
 
 
