@@ -389,7 +389,14 @@ VOUCHERCODES_STORES = _pairs(
     o2 = o2.co.uk
     """
 )
-VOUCHERCODES_FALLBACK = 29
+# Slugs used when that source lists none.
+VOUCHERCODES_SLUGS = _words(
+    """
+    amazon asos boohoo currys johnlewis.com next argos very.co.uk tesco sainsburys ocado morrisons
+    marksandspencer.com newlook.co.uk hm zara primark sportsdirect.com nike adidas booking.com expedia
+    just-eat dominos.co.uk ubereats.com deliveroo game-co-uk shopto-net razerzone-com
+    """
+)
 
 # Display names of the Markdown source.
 GAME_STORES = _pairs(
@@ -482,7 +489,7 @@ STORE_TABLES: dict[str, dict[str, str]] = {
 
 #: Slugs visited when discovery finds none.
 FALLBACK_SLUGS: dict[str, tuple[str, ...]] = {
-    "vouchercodes": tuple(VOUCHERCODES_STORES)[:VOUCHERCODES_FALLBACK],
+    "vouchercodes": VOUCHERCODES_SLUGS,
     "myvouchercodes": MYVOUCHERCODES_SLUGS,
     "savoo": tuple(
         f"{slug}-promo-codes" if slug == "game" else f"{slug}-discount-codes"

@@ -63,22 +63,26 @@ def feed_description(title: Column) -> Column:
     return F.left(trim_all(text), F.lit(DESCRIPTION_CHARS))
 
 
-def _number(text: Column, pattern: str) -> Column:
-    """First captured number of a text; no match gives '', which casts to null."""
-    return F.regexp_extract(text, pattern, 1).try_cast("double")
+def _number(text: Column, pattern: str, sign: str | None = None) -> Column:
+    """First captured number of a text; no match gives '', which casts to null.
+
+    ``sign`` is a character that every match holds: texts without it are not searched.
+    """
+    found = F.regexp_extract(text, pattern, 1).try_cast("double")
+    return found if sign is None else F.when(F.contains(text, F.lit(sign)), found)
 
 
 def offer_value(description: Column, kind: Column, intended: bool = False) -> Column:
     """Percent or pounds named by a description; whole percents only unless ``intended``."""
     percent = fixed.PERCENT_OFF_DECIMAL if intended else fixed.PERCENT_OFF
     return (
-        F.when(kind == "percentage", _number(description, percent))
-        .when(kind == "fixed", _number(description, fixed.POUNDS))
+        F.when(kind == "percentage", _number(description, percent, "%"))
+        .when(kind == "fixed", _number(description, fixed.POUNDS, "£"))
     )
 
 
 def min_spend(description: Column) -> Column:
-    return _number(description, fixed.MIN_SPEND)
+    return _number(description, fixed.MIN_SPEND, "£")
 
 
 def money(amount: Column) -> Column:
