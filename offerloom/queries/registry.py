@@ -12,6 +12,7 @@ from offerloom.operators.lifecycle import (
     drop_empty_stores,
     mark_reported,
     prune_stale,
+    registry_meta,
     remove_reported,
     reports_with_effect,
     run_summary,
@@ -487,6 +488,17 @@ SELECT unnest(['found', 'added', 'updated', 'pruned', 'total']) AS counter, unne
 """
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a published registry says of itself."""
+    meta = registry_meta(late_merge(spark, sf_dir), F.lit(LATE))
+    return meta.select("total_codes", "version", stamp(F.col("last_updated")).alias("last_updated"))
+
+
+REGISTRY_META = f"""
+WITH {ITEMS_SQL} SELECT count(*) AS total_codes, '1.0' AS version, {sql_stamp(f"TIMESTAMP '{LATE}'")} AS last_updated FROM merged
+"""
+
+
 def collection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run: collect (one source fails while it is read, some pages of another cannot be read), merge, expire,
     remove reported, drop empty stores, log.
@@ -561,6 +573,7 @@ QUERIES = {
     "q_last_runs": logged_last_runs,
     "q_last_runs_per_source": runs_by_source,
     "q_run_summary": summary,
+    "q_registry_meta": totals,
     "q_collection_run": collection_run,
 }
 
@@ -582,5 +595,6 @@ SQL = {
     "q_last_runs": LAST_RUNS,
     "q_last_runs_per_source": RUNS_BY_SOURCE,
     "q_run_summary": RUN_SUMMARY,
+    "q_registry_meta": REGISTRY_META,
     "q_collection_run": COLLECTION_RUN,
 }

@@ -17,6 +17,7 @@ from offerloom.functions.descriptions import (
 from offerloom.functions.text import let, present
 from offerloom.operators.extract import extract_feed_offers, extract_markdown_offers, line_blocks
 from offerloom.operators.resolve import first_contained, resolve_domain_slug
+from offerloom.plans.collect import collect_markdown
 from offerloom.queries.common import (
     OFFER_TEXT_SQL,
     offer_text,
@@ -33,6 +34,9 @@ from offerloom.queries.common import (
     sql_value,
     table,
 )
+from offerloom.session import work_path
+from offerloom.sources.pages import read_markdown_pages
+from offerloom.sources.versions import file_system, names_in
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +216,8 @@ FROM n
 """
 
 
-def markdown_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown page per part: a block with a code line, one whose code line has another form."""
+def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown page per part (p_partkey, text): a block with a code line, one whose code line has another form."""
     part = table(spark, sf_dir, "part")
     store = F.element_at(
         F.array(F.lit("K4G.com"), F.lit("Green Man Gaming"), F.lit("Unlisted Shop!")),
@@ -227,7 +231,11 @@ def markdown_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("copy\n\nStart:1h ago\n\n[![Steam](y.svg)](https://y)\n\nExtra  discount\n\nmixedCase"),
         size, F.lit("copy\n"),
     )
-    pages = part.select(F.concat(F.lit("page-"), "p_partkey").alias("page"), text.alias("text"))
+    return part.select("p_partkey", text.alias("text"))
+
+
+def markdown_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = part_pages(spark, sf_dir).select(F.concat(F.lit("page-"), "p_partkey").alias("page"), "text")
     return extract_markdown_offers(pages).select(
         F.col("page_key").alias("page"), "pos", "code", "store_name", "store_domain", "description", "type"
     )
@@ -242,6 +250,41 @@ FROM p
 """
 
 
+#: Markdown files that the pages are written to, and lines between pages: more than a block looks ahead.
+MARKDOWN_FILES, GAP_LINES = 20, 12
+
+
+def markdown_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as cached Markdown files, read back and reduced to the first of each code and domain."""
+    path = work_path(spark, "markdown")
+    rows = part_pages(spark, sf_dir).select(
+        F.lpad((F.col("p_partkey") % MARKDOWN_FILES).cast("string"), 2, "0").alias("file"), "p_partkey",
+        F.concat("text", F.lit("\n" * (GAP_LINES - 1))).alias("value"),
+    )
+    rows = rows.repartition("file").sortWithinPartitions("file", "p_partkey").select("file", "value")
+    rows.write.partitionBy("file").text(f"{path}/written")
+    system, folder, jvm = file_system(spark, f"{path}/cache")
+    system.mkdirs(folder)
+    for name in names_in(spark, f"{path}/written"):  # a folder for each of the few files
+        for part in names_in(spark, f"{path}/written/{name}") if name.startswith("file=") else ():
+            if part.startswith("part-"):
+                old = jvm.org.apache.hadoop.fs.Path(f"{path}/written/{name}/{part}")
+                system.rename(old, jvm.org.apache.hadoop.fs.Path(folder, f"pages-{name[5:]}.md"))
+    offers = collect_markdown(read_markdown_pages(spark, f"{path}/cache", "cache/"))
+    return offers.select(F.col("page_key").alias("page"), "pos", "code", "store_domain", "description")
+
+
+MARKDOWN_SOURCE = f"""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % {MARKDOWN_FILES} ORDER BY p_partkey) - 1 AS nth,
+                  CASE p_partkey % 3 WHEN 0 THEN 'K4G.com' WHEN 1 THEN 'Green Man Gaming' ELSE 'Unlisted Shop!' END AS store FROM part),
+o AS (SELECT 'cache/pages-' || lpad(CAST(p_partkey % {MARKDOWN_FILES} AS VARCHAR), 2, '0') || '.md' AS page,
+             CAST(nth * {15 + GAP_LINES} + 2 AS BIGINT) AS pos, upper(replace(p_name, ' ', '')) || p_size AS code,
+             CASE p_partkey % 3 WHEN 0 THEN 'k4g.com' WHEN 1 THEN 'greenmangaming.com' ELSE 'unlistedshop.com' END AS store_domain,
+             p_size || '% off ' || p_name || ' — ' || store AS description FROM p)
+SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY code, store_domain ORDER BY page, pos) = 1
+"""
+
+
 def feed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed item per part: store in the link, in the title, or nowhere."""
     name, size = F.col("p_name"), F.col("p_size").cast("string")
@@ -346,6 +389,7 @@ QUERIES = {
     "q_feed_offers": feed_offers,
     "q_line_blocks": text_blocks,
     "q_markdown_offers": markdown_offers,
+    "q_markdown_source": markdown_source,
     "q_resolve_domain_exact": domains_by_slug,
     "q_resolve_domain_contains": domains_by_text,
 }
@@ -362,6 +406,7 @@ SQL = {
     "q_feed_offers": FEED_OFFERS,
     "q_line_blocks": TEXT_BLOCKS,
     "q_markdown_offers": MARKDOWN_OFFERS,
+    "q_markdown_source": MARKDOWN_SOURCE,
     "q_resolve_domain_exact": DOMAINS_BY_SLUG,
     "q_resolve_domain_contains": DOMAINS_BY_TEXT,
 }
