@@ -17,6 +17,9 @@ OTHER_SEPARATORS = "\t\x0b\x0c\r"
 #: Words are counted in so many groups of hashes; the counts order the words of a line, and 65,536 numbers go to each task.
 RARITY_BITS = 16
 
+#: Lines of more words also have 256 bits, as 64 do not tell sets of so many words apart.
+WIDE_WORDS = 64
+
 #: Bits of the table that says which lines to look at again; a full table lets every line through.
 MARK_BITS = 22
 
@@ -76,12 +79,26 @@ def _codes(ranks: list[int]) -> Column:
     return F.sort_array(F.transform("hashes", code))
 
 
+def _flipped(bits: Column, h: Column) -> Column:
+    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+
+
 def _parities() -> Column:
     """64 bits of which each word turns one: sets whose bits differ in k places differ in k words at least."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(
-        "hashes", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
-    )
+    return F.aggregate("hashes", F.lit(0).cast("long"), _flipped)
+
+
+def _wide() -> Column:
+    """The same in 256 bits, as four numbers; joined by XOR they are the 64 bits."""
+
+    def quarter(j: Column) -> Column:
+        def turn(bits: Column, h: Column) -> Column:
+            own = F.shiftright(h, 6).bitwiseAND(F.lit(3)).cast("int") == j
+            return F.when(own, _flipped(bits, h)).otherwise(bits)
+
+        return F.aggregate("hashes", F.lit(0).cast("long"), turn)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), quarter)
 
 
 def needed(a: Column, b: Column) -> Column:
@@ -95,20 +112,24 @@ def _prefix(n: Column) -> Column:
 
 
 def line_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
-    """One row for each different line with a word: h1, h2, its first place, copies, n words, bits, and the prefix of its codes.
+    """One row for each different line with a word: h1, h2, its first place, copies, n words, bits, wide, and the prefix of its codes.
 
     Copies are joined in the map tasks before anything is shuffled.
     """
     rows = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), _words("line").alias("words"))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("hashes")
+    rows = rows.withColumn("wide", F.when(n > WIDE_WORDS, _wide()))
+    folded = F.aggregate("wide", F.lit(0).cast("long"), lambda all_, part: all_.bitwiseXOR(part))
     rows = rows.select(
-        "h1", "h2", F.struct(*PLACE).alias("place"), n.alias("n"), _parities().alias("bits"), F.slice(_codes(ranks), F.lit(1), _prefix(n)).alias("prefix")
-    )
+        "h1", "h2", F.struct(*PLACE).alias("place"), n.alias("n"),
+        F.when(F.col("wide").isNull(), _parities()).otherwise(folded).alias("bits"), "wide",
+        F.slice(_codes(ranks), F.lit(1), _prefix(n)).alias("prefix"),
+    )
     one = rows.groupBy("h1", "h2").agg(
-        F.min("place").alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
+        F.min("place").alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bits", "wide", "prefix"))
     )
-    return one.select("h1", "h2", "place.*", "copies", "n", "bits", "prefix")
+    return one.select("h1", "h2", "place.*", "copies", "n", "bits", "wide", "prefix")
 
 
 def postings(sets: DataFrame, part: Column | None = None, *more: str) -> DataFrame:
@@ -117,8 +138,8 @@ def postings(sets: DataFrame, part: Column | None = None, *more: str) -> DataFra
     return sets.select(F.posexplode(prefix).alias("k", "t"), *PLACE, "n", "bits", *more)
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length, positional and bit filter of two postings (structs or sides) that share a code."""
+def _may_match(a: str, b: str, wide: bool = False) -> Column:
+    """Length, positional and bit filters of two postings (structs or sides) that share a code."""
 
     def of(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
@@ -129,7 +150,12 @@ def _may_match(a: str, b: str) -> Column:
     # As many as stand before in both, this one, and as many as follow in both.
     common = F.least(k_a, k_b) + 1 + F.least(n_a - k_a, n_b - k_b) - 1
     apart = F.bit_count(of(a, "bits").bitwiseXOR(of(b, "bits")))
-    return long_enough & (common >= least) & (apart <= n_a + n_b - 2 * least)
+    most = n_a + n_b - 2 * least
+    passed = long_enough & (common >= least) & (apart <= most)
+    if not wide:
+        return passed
+    each = F.zip_with(of(a, "wide"), of(b, "wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return passed & F.coalesce(F.aggregate(each, F.lit(0), lambda total, one: total + one) <= most, F.lit(True))
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
@@ -160,11 +186,11 @@ def asked_pairs(sets: DataFrame) -> DataFrame:
     Sets that match share one of the first n - ceil(0.8 n) + 1 words in the common order; where they share one, its
     positions bound what they can have in common; and their bits tell at once most sets that are too far apart.
     """
-    rows = postings(sets, None, "asks")
+    rows = postings(sets, None, "asks", "wide")
     a, b = rows.alias("a"), rows.alias("b")
     # Both sides are one exchange. A test of a's column alone would be moved below it and make it two.
     asks = F.col("a.asks") | (F.col("b.asks") & (F.col("b.n") < 0))
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & asks & (_place("b") < _place("a")) & _may_match("a", "b"))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & asks & (_place("b") < _place("a")) & _may_match("a", "b", wide=True))
     return met.select(_place("a").alias("later"), _place("b").alias("earlier")).distinct()
 
 

@@ -56,6 +56,25 @@ def test_removed_lines(docs):
     assert len(got) == len(set(got))
 
 
+def test_long_lines(docs):
+    """Lines of more than 64 words, which are told apart by 256 bits, at similarities about 0.8."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        words = [f"v{rng.randrange(400)}" for _ in range(rng.choice([50, 66, 90, 150, 300]))]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 4):
+            other = [f"v{rng.randrange(400)}" if rng.random() < 0.06 * c else w for w in words]
+            rows.append((10 * k + c, " ".join(other[: len(other) - rng.randrange(8)])))
+    want = brute(rows)
+    assert 40 < len(want) < 170
+    got = line_join.removed_lines(docs(rows).repartition(3)).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == want
+    lines = line_join.lines_of(docs(rows), "doc_id", "text")
+    sets = stored(line_join.line_sets(lines, line_join.word_ranks(lines)).withColumn("asks", F.lit(True)), "sets")
+    assert line_join.asked_pairs(sets).count() < 400
+
+
 def test_texts_without_the_lines(spark, docs):
     rows = table_rows(3)
     gone = brute(rows)
