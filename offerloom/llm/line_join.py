@@ -159,9 +159,9 @@ def _may_match(a: str, b: str, wide: bool = False) -> Column:
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) of places that may match: of each posting with the first one and the one before it.
+    """Pairs (later, earlier) of places that may match: of each posting with the first two and the last two before it.
 
-    No pair of a dense group is listed but these, at most two for each code. Half a prefix will do: what is missed here
+    No pair of a dense group is listed but these, at most four for each code. Half a prefix will do: what is missed here
     is found by ``asked_pairs``.
     """
     half = (F.col("n") - F.floor((2 * SIMILARITY * F.col("n") + 179) / F.lit(180)) + 1).cast("int")
@@ -169,9 +169,14 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     order = W.partitionBy("t").orderBy(*PLACE)
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = postings(sets, half).select(
-        "t", own.alias("own"), F.first(own).over(so_far).alias("p1"), F.lag(own, 1).over(order).alias("p2")
+        "t",
+        own.alias("own"),
+        F.first(own).over(so_far).alias("p1"),
+        F.nth_value(own, 2).over(so_far).alias("p2"),
+        F.lag(own, 1).over(order).alias("p3"),
+        F.lag(own, 2).over(order).alias("p4"),
     )
-    partners = F.array(*(F.when((_place(p) < _place("own")) & _may_match("own", p), _place(p)) for p in ("p1", "p2")))
+    partners = F.array(*(F.when((_place(p) < _place("own")) & _may_match("own", p), _place(p)) for p in ("p1", "p2", "p3", "p4")))
     found = rows.select(_place("own").alias("later"), F.array_compact(partners).alias("partners")).filter(F.size("partners") > 0)
     return found.select("later", F.explode(F.array_distinct("partners")).alias("earlier")).distinct()
 
