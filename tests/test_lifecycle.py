@@ -17,6 +17,7 @@ from offerloom.operators.lifecycle import (
     source_summary,
 )
 from offerloom.plans.collect import run_and_store
+from offerloom.queries.registry import logged_last_runs
 from offerloom.schemas import OFFER, RAW_OFFER, STORE
 from offerloom.session import shared_dir
 from offerloom.sources import pointers
@@ -223,6 +224,16 @@ def test_run_log(spark, tmp_path):
     assert last_runs_per_source(log, 3).count() == 6
 
 
+def test_last_runs_come_from_the_log_as_it_is_stored(spark, tmp_path):
+    """The log lies in parts behind a pointer file, which no plain read of its folder finds."""
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i // 2), i % 3, "view", 1.0, f'{{"k": {i}}}') for i in range(130)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    last = logged_last_runs(spark, str(tmp_path)).collect()
+    assert sorted(r.duration for r in last) == list(range(30, 130))
+    assert {r.codesFound for r in last} == set(range(30, 130))
+
+
 @pytest.mark.parametrize("step", ["write_part", "point", "clear"])
 def test_a_trim_that_is_cut_off_leaves_a_log(spark, tmp_path, monkeypatch, step):
     """Whichever step fails, the log is the old or the new one, and the next trim ends the work."""
