@@ -35,7 +35,14 @@ def grams(haystack: Column) -> Column:
 def join_containing(
     haystacks: DataFrame, haystack: str, needles: DataFrame, needle: str, also: Sequence[str] = ()
 ) -> DataFrame:
-    """Pairs of rows where ``haystack`` contains ``needle``, and the columns ``also`` are equal."""
-    left = haystacks.withColumn("_gram", F.explode(grams(F.col(haystack))))
+    """Pairs of rows where ``haystack`` contains ``needle``, and the columns ``also`` are equal.
+
+    A text that many rows share is taken apart once, and only pieces that some needle opens with go on to the rows.
+    Pieces are many more than the size of the stored texts tells, so no side may be broadcast by that estimate.
+    """
     right = needles.withColumn("_gram", first_gram(F.col(needle)))
-    return left.join(right, ["_gram", *also]).filter(F.contains(haystack, F.col(needle))).drop("_gram")
+    pieces = haystacks.select(haystack).distinct().withColumn("_gram", F.explode(grams(F.col(haystack))))
+    pieces = pieces.hint("merge").join(right.select("_gram").distinct().hint("merge"), "_gram", "left_semi")
+    left = haystacks.hint("merge").join(pieces.hint("merge"), haystack)
+    met = left.hint("merge").join(right.hint("merge"), ["_gram", *also])
+    return met.filter(F.contains(haystack, F.col(needle))).drop("_gram")

@@ -168,3 +168,16 @@ def test_grams(column, word):
     assert set(got) == want and len(got) == len(want)
     needles = sorted({word[i:j] for i in range(len(word) + 1) for j in range(i, len(word) + 1)})
     assert set(column(contains.first_gram, [(n,) for n in needles], "t string")) <= want
+
+
+def test_containment_takes_a_text_apart_once_and_broadcasts_no_side(spark):
+    """Pieces are many times the rows they come from, so the size of the stored texts must not have them broadcast."""
+    haystacks = [(f"s{n}.example.com", str(k)) for n in range(40) for k in range(4)] + [(None, "1"), ("", "2")]
+    needles = [(i, text, str(i % 4)) for i, text in enumerate(["s1", "s12", "", "example", "ample.com", "s39.exa", "s7x", None])]
+    frame = spark.createDataFrame(haystacks, "domain string, code string")
+    asked = spark.createDataFrame(needles, "n int, label string, code string")
+    met = contains.join_containing(frame, "domain", asked, "label", ["code"])
+    want = sorted((d, c, n) for d, c in haystacks for n, label, code in needles if d is not None and label is not None and c == code and label in d)
+    assert sorted((r.domain, r.code, r.n) for r in met.collect()) == want
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("explode(") > 0
