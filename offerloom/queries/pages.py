@@ -21,7 +21,7 @@ from offerloom.operators.slugs import (
     slug_in,
 )
 from offerloom.fixed import FALLBACK_SLUGS
-from offerloom.queries.common import SQL_HOST, quoted, sql_candidate, sql_trim, table
+from offerloom.queries.common import SQL_HOST, dealt, quoted, sql_candidate, sql_trim, table
 from offerloom.session import work_path
 from offerloom.sources.pages import read_captures, read_feed, select_sources, sitemap_locs, write_captures
 from offerloom.sources.profiles import PAGES, Discovery, PageProfile, Selector
@@ -117,7 +117,8 @@ def built_captures(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         F.lit("x</span></button></section></body></html>"),
     )
     slug = F.replace(name, F.lit(" "), F.lit("-"))
-    return table(spark, sf_dir, "part").select(
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
+    return parts.select(
         F.lit(source).alias("source"), F.concat(F.lit("https://p/"), "p_partkey").alias("url"), slug.alias("slug"), html.alias("html")
     )
 
@@ -175,7 +176,7 @@ def stored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<section><p>Extra</p><button><div class='code-btn'>Get Code</div><span>hid</span><span>S"), key,
         F.lit("B</span></button></section><table><tr><td><p>Buy 2 get 1 at Argos</p> <i>ROW"), key, F.lit("Z</i> </td></tr></table></body></html>"),
     )
-    pages = table(spark, sf_dir, "supplier").select(
+    pages = dealt(table(spark, sf_dir, "supplier").select("s_suppkey")).select(
         F.explode(F.array(*(F.lit(source) for source in PAGES))).alias("source"), F.concat(F.lit("https://c/"), key).alias("url"),
         F.concat(F.lit("shop-"), key, F.lit("-discount-codes")).alias("slug"), html.alias("html"),
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from offerloom.operators.extract import dead_letters, dedupe_page, extract_feed_offers, extract_markdown_offers, extract_page_offers, line_blocks
 from offerloom.operators.slugs import crawl_frontier, discover_slugs, paged_frontier
 from offerloom.plans.collect import collect_all, collect_markdown, collect_pages, collect_sources
+from offerloom.queries.pages import built_captures
 from offerloom.sources.profiles import DISCOVERY
 from offerloom.sources.pages import markdown_lines, read_captures, read_feed, read_markdown_pages, read_sitemaps, select_sources, sitemap_locs, write_captures
 
@@ -290,3 +291,13 @@ def test_a_source_reads_its_own_folder_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(source" in plan and "savoo" in plan.split("PartitionFilters")[1].split("]")[0]
     assert read_captures(spark, path, ["savoo"]).count() == 20 and read_captures(spark, path).count() == 41
     assert [tuple(r) for r in read_captures(spark, path, "2024").collect()] == [("2024", "u", "s", None, None)]
+
+
+def test_built_pages_are_dealt_over_all_cores(spark, tmp_path):
+    """One small file of parts is one task; the pages built of it cost far more than its bytes."""
+    rows = [(i, f"part no {i}", i % 50) for i in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    pages = built_captures(spark, str(tmp_path), "coupert")
+    tasks = [r.n for r in pages.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks) <= 40 and sum(tasks) == 400
+    assert sorted(r.slug for r in pages.select("slug").collect()) == sorted(name.replace(" ", "-") for _, name, _ in rows)
