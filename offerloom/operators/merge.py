@@ -49,11 +49,10 @@ def first_per_key(keyed: DataFrame) -> DataFrame:
     """
     per_source = keyed.groupBy(*KEY, F.col("entry.source").alias("source")).agg(
         F.min(F.struct("ord", "entry")).alias("first"),
-        F.min("ord").alias("first_ord"),
         F.count(F.lit(1)).alias("rows"),
         F.max("success_rate").alias("best_rate"),
     )
-    named = F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.struct("first_ord", "source"))
+    named = F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.struct(F.col("first.ord").alias("first_ord"), "source"))
     per_key = per_source.groupBy(*KEY).agg(
         F.min("first").alias("first"),
         F.sum("rows").alias("rows"),

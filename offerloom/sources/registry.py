@@ -9,6 +9,7 @@ from offerloom.functions.codes import norm_code
 from offerloom.functions.text import blank_to_null
 from offerloom.operators.ranking import with_position
 from offerloom.schemas import DOCUMENT, OFFER, STORE
+from offerloom.session import durable
 from offerloom.sources.versions import empty_registry, path_exists
 
 VERSION = "1.0"
@@ -123,22 +124,32 @@ def _code_entry() -> Column:
 def store_parts(offers: DataFrame, stores: DataFrame, part_offers: int = CHUNK_OFFERS) -> DataFrame:
     """Rows (domain, name, category, ord, part, codes): the offers of a store in order, so many in each part.
 
-    Positions come from ``with_position``, so a store of any size is cut by many tasks and no array grows beyond a
-    part.
+    A store of one part is gathered as it is, in one shuffle. The places of offers in a larger one come from
+    ``with_position``, so it is cut by many tasks and no array grows beyond a part.
     """
-    placed = with_position(offers, ["domain"], [F.col("ord"), F.col("norm_code"), F.col("dup_no")], "_at", "_size")
+    offers = durable(offers)
+    sizes = offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    # At most one row for every part of the registry.
+    larger = F.broadcast(sizes.filter(F.col("n") > part_offers).select(F.col("domain").alias("_larger")))
+    of_larger = F.col("domain").eqNullSafe(F.col("_larger"))
+    order = ["ord", "norm_code", "dup_no"]
+    whole = offers.join(larger, of_larger, "left_anti")
+    placed = with_position(offers.join(larger, of_larger, "left_semi"), ["domain"], [F.col(name) for name in order], "_at", "_size")
     placed = placed.withColumn("part", F.floor((F.col("_at") - 1) / part_offers).cast("int"))
-    listed = placed.groupBy("domain", "part").agg(
-        F.array_sort(F.collect_list(F.struct("_at", _code_entry().alias("entry")))).alias("codes")
-    )
-    return listed.join(stores.select("domain", "name", "category", "ord"), "domain", "left").select(
-        "domain",
-        F.coalesce("name", F.col("domain")).alias("name"),
-        F.coalesce("category", F.lit("general")).alias("category"),
-        "ord",
-        "part",
-        F.transform("codes", lambda row: row["entry"]).alias("codes"),
-    )
+
+    def listed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        codes = F.array_sort(F.collect_list(F.struct(*order, _code_entry().alias("entry"))))
+        # Entries are built behind the shuffle, as they are wider than the rows.
+        return rows.repartition(*by).groupBy(*by).agg(codes.alias("codes")).join(stores.select("domain", "name", "category", "ord"), "domain", "left").select(
+            "domain",
+            F.coalesce("name", F.col("domain")).alias("name"),
+            F.coalesce("category", F.lit("general")).alias("category"),
+            "ord",
+            (F.col("part") if "part" in by else F.lit(0)).alias("part"),
+            F.transform("codes", lambda row: row["entry"]).alias("codes"),
+        )
+
+    return listed(whole, ["domain"], order).unionByName(listed(placed, ["domain", "part"], ["_at"]))
 
 
 def _meta(asof: Column, total: Column) -> Column:
@@ -220,11 +231,11 @@ def _quoted(text: str) -> Column:
 def export_registry_json(
     offers: DataFrame, stores: DataFrame, path: str, asof: Column, single: bool = False
 ) -> None:
-    """Publish the registry: JSON lines by part of a store, or one document in one file.
+    """Publish the registry: JSON lines by part of a store (gzip), or one document in one file.
 
     The file of a document is written by one task, line by line as the sorted lines come in.
     """
     if single:
         single_document(offers, stores, asof).coalesce(1).write.mode("overwrite").text(path)
     else:
-        document_lines(offers, stores, asof).write.mode("overwrite").text(path)
+        document_lines(offers, stores, asof).write.mode("overwrite").option("compression", "gzip").text(path)

@@ -16,11 +16,13 @@ from offerloom.operators.lifecycle import (
     reports_with_effect,
     source_summary,
 )
+from offerloom.operators.ranking import with_position
 from offerloom.plans.collect import run_and_store
 from offerloom.queries.registry import logged_last_runs
 from offerloom.schemas import OFFER, RAW_OFFER, STORE
 from offerloom.session import shared_dir
 from offerloom.sources import pointers
+from offerloom.sources import registry as document
 from offerloom.sources.dimensions import load_dimensions
 from offerloom.sources.registry import document_lines, export_registry_json, read_registry, single_document, store_parts
 from offerloom.sources.reports import (
@@ -224,6 +226,25 @@ def test_run_log(spark, tmp_path):
     assert last_runs_per_source(log, 3).count() == 6
 
 
+def test_stores_of_one_part_and_larger_ones(spark, tmp_path, monkeypatch):
+    """Only offers of stores with more than one part are placed by range; the published lines are compressed."""
+    sizes = {"a.com": 1, "b.com": 3, "c.com": 4, "d.com": 9}
+    rows = [(d, f"C{i:02d}", 0, f"C{i:02d}", (datetime(2024, 1, 1), 0, "p", (i * 7) % n)) for d, n in sizes.items() for i in range(n)]
+    shape = "domain string, norm_code string, dup_no int, code string, ord struct<run:timestamp,source_rank:int,page_key:string,pos:long>"
+    offers = registry(spark, rows, shape)
+    stores = spark.createDataFrame([], STORE)
+    placed = []
+    monkeypatch.setattr(document, "with_position", lambda df, *rest: placed.append(df) or with_position(df, *rest))
+    parts = {(r.domain, r.part): [c.code for c in r.codes] for r in store_parts(offers, stores, 3).collect()}
+    want = {d: [r[3] for r in sorted((r for r in rows if r[0] == d), key=lambda r: (r[4], r[1]))] for d in sizes}
+    assert parts == {(d, k // 3): codes[k : k + 3] for d, codes in want.items() for k in range(0, len(codes), 3)}
+    assert {r.domain for r in placed[0].select("domain").collect()} == {"c.com", "d.com"}
+    export_registry_json(offers, stores, f"{tmp_path}/lines", F.lit(NOW))
+    written = glob.glob(f"{tmp_path}/lines/part-*")
+    assert written and all(name.endswith(".gz") for name in written)
+    assert read_registry(spark, f"{tmp_path}/lines")[0].count() == len(rows)
+
+
 def test_last_runs_come_from_the_log_as_it_is_stored(spark, tmp_path):
     """The log lies in parts behind a pointer file, which no plain read of its folder finds."""
     rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i // 2), i % 3, "view", 1.0, f'{{"k": {i}}}') for i in range(130)]
