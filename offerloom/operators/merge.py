@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions.codes import norm_code
@@ -53,13 +53,18 @@ def first_per_key(keyed: DataFrame) -> DataFrame:
         F.max("success_rate").alias("best_rate"),
     )
     named = F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.struct(F.col("first.ord").alias("first_ord"), "source"))
-    per_key = per_source.groupBy(*KEY).agg(
-        F.min("first").alias("first"),
-        F.sum("rows").alias("rows"),
-        F.max("best_rate").alias("best_rate"),
-        F.array_sort(F.collect_list(named)).alias("seen"),
+    # Most keys have one source, so a window, which sorts once, costs half of an aggregation on both sides of a shuffle.
+    in_order = Window.partitionBy(*KEY).orderBy("first")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per_key = per_source.select(
+        *KEY,
+        "first",
+        F.row_number().over(in_order).alias("place"),
+        F.sum("rows").over(whole).alias("rows"),
+        F.max("best_rate").over(whole).alias("best_rate"),
+        F.array_sort(F.collect_list(named).over(whole)).alias("seen"),
     )
-    return per_key.select(
+    return per_key.filter(F.col("place") == 1).select(
         *KEY,
         F.col("first.ord").alias("ord"),
         F.col("first.entry").alias("entry"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from offerloom.operators.contains import grams
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.lifecycle import match_reports, remove_reported
+from offerloom.operators.merge import first_per_key, keyed_offers
 from offerloom.operators.serve import best_offer, match_store
 from offerloom.queries import all_queries, all_sql
 from offerloom.queries.common import table
@@ -26,6 +27,11 @@ def test_top_row_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(best_offer(samples.tested_offers(spark, SMALL)))
 
 
+def test_sources_of_a_key_are_gathered_after_the_shuffle_alone(spark):
+    plan = plan_of(first_per_key(keyed_offers(samples.item_offers(spark, SMALL), F.lit(samples.LATE))))
+    assert "ObjectHashAggregate" not in plan and plan.count("Exchange hashpartitioning(") == 2
+
+
 def test_reports_do_not_compare_all_pairs(spark):
     offers = samples.tested_offers(spark, SMALL)
     reports = spark.createDataFrame([(1, "a", "b.c")], "report_id long, code string, store_domain string")
