@@ -166,6 +166,19 @@ def test_snapshots(spark, tmp_path):
     assert snapshots(spark, base) == [1, 2] and read_registry_table(spark, base)[0].count() == 2
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    base, (offers, stores) = str(tmp_path / "registry"), empty_registry(spark)
+    many = spark.range(0, 40000, 1, 8).select(F.lit("a").alias("domain"), F.sha2(F.col("id").cast("string"), 256).alias("norm_code"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "256k")
+    try:
+        write_registry_table(offers.unionByName(many, allowMissingColumns=True), stores, base, buckets=1)
+    finally:
+        spark.conf.unset(size)
+    assert len(files(base)) > 1
+    assert read_registry_table(spark, base)[0].select("norm_code").distinct().count() == 40000
+
+
 def files(base):
     return {path[len(base) :] for path in glob.glob(f"{base}/*/v=*/bucket=*/*.parquet")}
 
