@@ -138,8 +138,12 @@ def postings(sets: DataFrame, part: Column | None = None, *more: str) -> DataFra
     return sets.select(F.posexplode(prefix).alias("k", "t"), *PLACE, "n", "bits", *more)
 
 
-def _may_match(a: str, b: str, wide: bool = False) -> Column:
-    """Length, positional and bit filters of two postings (structs or sides) that share a code."""
+def _may_match(a: str, b: str, first: bool = False) -> Column:
+    """Length, positional and bit filters of two postings (structs or sides) that share a code.
+
+    ``first`` asks that no earlier code is shared, so nothing before the postings counts: a pair that matches passes at the
+    first code it shares, and fewer of the others pass, and at fewer codes. It also tests the wide bits.
+    """
 
     def of(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
@@ -147,12 +151,14 @@ def _may_match(a: str, b: str, wide: bool = False) -> Column:
     n_a, n_b, k_a, k_b = of(a, "n"), of(b, "n"), of(a, "k"), of(b, "k")
     least = needed(n_a, n_b)
     long_enough = (100 * n_a >= SIMILARITY * n_b) & (100 * n_b >= SIMILARITY * n_a)
-    # As many as stand before in both, this one, and as many as follow in both.
-    common = F.least(k_a, k_b) + 1 + F.least(n_a - k_a, n_b - k_b) - 1
+    # This one and as many as follow in both; where others may be shared, also as many as stand before in both.
+    common = F.least(n_a - k_a, n_b - k_b)
+    if not first:
+        common = common + F.least(k_a, k_b)
     apart = F.bit_count(of(a, "bits").bitwiseXOR(of(b, "bits")))
     most = n_a + n_b - 2 * least
     passed = long_enough & (common >= least) & (apart <= most)
-    if not wide:
+    if not first:
         return passed
     each = F.zip_with(of(a, "wide"), of(b, "wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return passed & F.coalesce(F.aggregate(each, F.lit(0), lambda total, one: total + one) <= most, F.lit(True))
@@ -195,7 +201,7 @@ def asked_pairs(sets: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     # Both sides are one exchange. A test of a's column alone would be moved below it and make it two.
     asks = F.col("a.asks") | (F.col("b.asks") & (F.col("b.n") < 0))
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & asks & (_place("b") < _place("a")) & _may_match("a", "b", wide=True))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & asks & (_place("b") < _place("a")) & _may_match("a", "b", first=True))
     return met.select(_place("a").alias("later"), _place("b").alias("earlier")).distinct()
 
 

@@ -145,3 +145,13 @@ def test_copies_are_one_before_they_are_shuffled(docs):
     plan = line_join.line_sets(lines, [0] * (1 << 16))._jdf.queryExecution().executedPlan().toString()
     exchange = re.search(r"Exchange hashpartitioning\(h1", plan).start()
     assert "partial_min(place" in plan[exchange:] and "partial_count(1)" in plan[exchange:]
+
+
+def test_a_pair_is_listed_only_where_its_first_shared_word_leaves_enough(spark):
+    schema = "doc_id long, line_no int, n int, bits long, wide array<long>, asks boolean, prefix array<int>"
+    rows = [
+        (1, 0, 20, 0, None, True, [1, 2, 3, 4, 9]), (2, 0, 20, 0, None, True, [5, 6, 7, 8, 9]),  # 16 words left, 18 are needed
+        (3, 0, 20, 0, None, True, [21, 22, 30, 31, 32]), (4, 0, 20, 0, None, True, [23, 24, 30, 31, 32]),  # 18 left
+    ]
+    pairs = line_join.asked_pairs(spark.createDataFrame(rows, schema)).collect()
+    assert [(row["later"]["doc_id"], row["earlier"]["doc_id"]) for row in pairs] == [(4, 3)]
