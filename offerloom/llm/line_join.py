@@ -149,15 +149,15 @@ def _may_match(a: str, b: str, first: bool = False) -> Column:
         return F.col(f"{side}.{name}")
 
     n_a, n_b, k_a, k_b = of(a, "n"), of(b, "n"), of(a, "k"), of(b, "k")
-    least = needed(n_a, n_b)
     long_enough = (100 * n_a >= SIMILARITY * n_b) & (100 * n_b >= SIMILARITY * n_a)
     # This one and as many as follow in both; where others may be shared, also as many as stand before in both.
     common = F.least(n_a - k_a, n_b - k_b)
     if not first:
         common = common + F.least(k_a, k_b)
     apart = F.bit_count(of(a, "bits").bitwiseXOR(of(b, "bits")))
-    most = n_a + n_b - 2 * least
-    passed = long_enough & (common >= least) & (apart <= most)
+    most = n_a + n_b - 2 * needed(n_a, n_b)
+    # What is cheapest comes first; ``common`` against what is needed, without a division.
+    passed = long_enough & ((100 + SIMILARITY) * common.cast("long") >= SIMILARITY * (n_a + n_b)) & (apart <= most)
     if not first:
         return passed
     each = F.zip_with(of(a, "wide"), of(b, "wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
@@ -182,7 +182,7 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
         F.lag(own, 1).over(order).alias("p3"),
         F.lag(own, 2).over(order).alias("p4"),
     )
-    partners = F.array(*(F.when((_place(p) < _place("own")) & _may_match("own", p), _place(p)) for p in ("p1", "p2", "p3", "p4")))
+    partners = F.array(*(F.when(_may_match("own", p) & _before(p, "own"), _place(p)) for p in ("p1", "p2", "p3", "p4")))
     found = rows.select(_place("own").alias("later"), F.array_compact(partners).alias("partners")).filter(F.size("partners") > 0)
     return found.select("later", F.explode(F.array_distinct("partners")).alias("earlier")).distinct()
 
@@ -191,6 +191,12 @@ def _place(side: str) -> Column:
     return F.struct(*(F.col(f"{side}.{c}").alias(c) for c in PLACE))
 
 
+def _before(a: str, b: str) -> Column:
+    """Whether a place comes before another, without a struct for each pair that is looked at."""
+    same = F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")
+    return (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | (same & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
+
+
 def asked_pairs(sets: DataFrame) -> DataFrame:
     """All pairs (later, earlier) of places that may match, for the lines that ask (``asks``).
 
@@ -201,7 +207,7 @@ def asked_pairs(sets: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     # Both sides are one exchange. A test of a's column alone would be moved below it and make it two.
     asks = F.col("a.asks") | (F.col("b.asks") & (F.col("b.n") < 0))
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & asks & (_place("b") < _place("a")) & _may_match("a", "b", first=True))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & _may_match("a", "b", first=True) & asks & _before("b", "a"))
     return met.select(_place("a").alias("later"), _place("b").alias("earlier")).distinct()
 
 
