@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,11 +17,14 @@ SIMILARITY = 80
 #: Bytes that part words; all but the space are first made spaces, so that one plain character parts them.
 OTHER_SEPARATORS = "\t\x0b\x0c\r"
 
-#: Words are counted in so many groups of hashes; the counts order the words of a line, and 65,536 numbers go to each task.
+#: Words are counted in so many groups of hashes (2 to the power); the counts order the words of a line.
 RARITY_BITS = 16
 
+#: Counts are told apart by so many steps of their logarithm; one small number for each group goes to each task.
+RARITY_STEPS = 127
+
 #: Lines of more words also have 256 bits, as 64 do not tell sets of so many words apart.
-WIDE_WORDS = 64
+WIDE_WORDS = 96
 
 #: Bits of the table that says which lines to look at again; a full table lets every line through.
 MARK_BITS = 22
@@ -39,42 +45,47 @@ def _table(values: list[int]) -> Column:
 
 def _split(line: str) -> Column:
     """Words with repeats; some may be empty."""
-    odd = F.col(line).rlike(r"[\x09\x0B-\x0D]")
+    odd = functools.reduce(Column.__or__, (F.col(line).contains(c) for c in OTHER_SEPARATORS))
     spaced = F.when(odd, F.translate(line, OTHER_SEPARATORS, " " * len(OTHER_SEPARATORS))).otherwise(F.col(line))
     return F.split(spaced, " ")
 
 
-def _words(line: str) -> Column:
-    return F.array_distinct(F.array_remove(_split(line), ""))
+def _hashes(line: str) -> Column:
+    """The set of words, each as its 64-bit hash; sets of numbers are made far faster than sets of strings."""
+    hashes = F.transform(_split(line), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
-def _group(hash_: Column) -> Column:
-    return F.shiftrightunsigned(hash_, 64 - RARITY_BITS).cast("int")
+def _group(hash_: Column, bits: int = RARITY_BITS) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - bits).cast("int")
 
 
 def word_ranks(lines: DataFrame) -> list[int]:
-    """The rank of each group of word hashes by how often its words occur, rarest first; one number for each of the 65,536 groups."""
+    """For each group of word hashes a step (0 to 127) by how often its words occur, rarest first.
+
+    Small numbers, as Java holds one object for each of them: a table of large ones would be 65,536 objects in each task.
+    """
     words = lines.select(F.explode(_split("line")).alias("w"))
     counts = words.groupBy(_group(F.xxhash64("w")).alias("g")).agg(F.count("*").alias("n")).collect()
-    by_group = {row["g"]: row["n"] for row in counts}
-    order = sorted(range(1 << RARITY_BITS), key=lambda g: (by_group.get(g, 0), g))
-    ranks = [0] * len(order)
-    for rank, group in enumerate(order):
-        ranks[group] = rank
+    most = max((row["n"] for row in counts), default=1)
+    ranks = [0] * (1 << RARITY_BITS)
+    for row in counts:
+        ranks[row["g"]] = round(RARITY_STEPS * math.log(row["n"]) / math.log(most + 1))
     return ranks
 
 
 def _codes(ranks: list[int]) -> Column:
-    """The words' codes in one order for all lines, rarest first: rank of the group, then 16 more bits of the hash.
+    """The words' codes in one order for all lines, rarest first: step of the group, then 25 bits of the hash.
 
     Words may share a code. They then stand at the same place in the order, so sets that share a word still share its
     code where they would share the word; a pair too many is told by its words later.
     """
-    table = _table(ranks)
+    table, bits = _table(ranks), len(ranks).bit_length() - 1
 
     def code(h: Column) -> Column:
-        rank = F.get(table, _group(h)).cast("long") - (1 << 15)
-        return (F.shiftleft(rank, 16) + F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(0xFFFF))).cast("int")
+        # As little as can be, since it is interpreted for every word; and no nulls, so that plain numbers are sorted.
+        step = F.coalesce(F.get(table, _group(h, bits)), F.lit(0).cast("long"))
+        return F.shiftleft(step, 25).bitwiseOR(h.bitwiseAND(F.lit((1 << 25) - 1)))
 
     return F.sort_array(F.transform("hashes", code))
 
@@ -91,14 +102,11 @@ def _parities() -> Column:
 def _wide() -> Column:
     """The same in 256 bits, as four numbers; joined by XOR they are the 64 bits."""
 
-    def quarter(j: Column) -> Column:
-        def turn(bits: Column, h: Column) -> Column:
-            own = F.shiftright(h, 6).bitwiseAND(F.lit(3)).cast("int") == j
-            return F.when(own, _flipped(bits, h)).otherwise(bits)
+    def quarter(j: int) -> Column:
+        own = F.filter("hashes", lambda h: h.bitwiseAND(F.lit(3 << 6)) == F.lit(j << 6))
+        return F.aggregate(own, F.lit(0).cast("long"), _flipped)
 
-        return F.aggregate("hashes", F.lit(0).cast("long"), turn)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), quarter)
+    return F.array(*(quarter(j) for j in range(4)))
 
 
 def needed(a: Column, b: Column) -> Column:
@@ -116,15 +124,16 @@ def line_sets(lines: DataFrame, ranks: list[int]) -> DataFrame:
 
     Copies are joined in the map tasks before anything is shuffled.
     """
-    rows = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), _words("line").alias("words"))
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), _hashes("line").alias("hashes"))
     n = F.size("hashes")
     rows = rows.withColumn("wide", F.when(n > WIDE_WORDS, _wide()))
-    folded = F.aggregate("wide", F.lit(0).cast("long"), lambda all_, part: all_.bitwiseXOR(part))
+    folded = functools.reduce(Column.bitwiseXOR, (F.get("wide", F.lit(j)) for j in range(4)))
+    low = F.lit(1 << 31)  # of codes as longs from 0; they are kept as ints
+    prefix = F.transform(F.slice(_codes(ranks), F.lit(1), _prefix(n)), lambda code: (code - low).cast("int"))
     rows = rows.select(
         "h1", "h2", F.struct(*PLACE).alias("place"), n.alias("n"),
         F.when(F.col("wide").isNull(), _parities()).otherwise(folded).alias("bits"), "wide",
-        F.slice(_codes(ranks), F.lit(1), _prefix(n)).alias("prefix"),
+        prefix.alias("prefix"),
     )
     one = rows.groupBy("h1", "h2").agg(
         F.min("place").alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bits", "wide", "prefix"))
@@ -154,14 +163,18 @@ def _may_match(a: str, b: str, first: bool = False) -> Column:
     common = F.least(n_a - k_a, n_b - k_b)
     if not first:
         common = common + F.least(k_a, k_b)
-    apart = F.bit_count(of(a, "bits").bitwiseXOR(of(b, "bits")))
-    most = n_a + n_b - 2 * needed(n_a, n_b)
-    # What is cheapest comes first; ``common`` against what is needed, without a division.
-    passed = long_enough & ((100 + SIMILARITY) * common.cast("long") >= SIMILARITY * (n_a + n_b)) & (apart <= most)
+    both = n_a + n_b
+
+    def near(apart: Column) -> Column:
+        return (100 + SIMILARITY) * apart <= (100 - SIMILARITY) * both
+
+    # What is cheapest comes first. No divisions and no lambdas, so that all of it is compiled into the join.
+    passed = long_enough & ((100 + SIMILARITY) * common.cast("long") >= SIMILARITY * both)
+    passed = passed & near(F.bit_count(of(a, "bits").bitwiseXOR(of(b, "bits"))))
     if not first:
         return passed
-    each = F.zip_with(of(a, "wide"), of(b, "wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return passed & F.coalesce(F.aggregate(each, F.lit(0), lambda total, one: total + one) <= most, F.lit(True))
+    each = [F.bit_count(F.get(of(a, "wide"), F.lit(j)).bitwiseXOR(F.get(of(b, "wide"), F.lit(j)))) for j in range(4)]
+    return passed & F.coalesce(near(functools.reduce(Column.__add__, each)), F.lit(True))
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
@@ -182,9 +195,10 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
         F.lag(own, 1).over(order).alias("p3"),
         F.lag(own, 2).over(order).alias("p4"),
     )
-    partners = F.array(*(F.when(_may_match("own", p) & _before(p, "own"), _place(p)) for p in ("p1", "p2", "p3", "p4")))
-    found = rows.select(_place("own").alias("later"), F.array_compact(partners).alias("partners")).filter(F.size("partners") > 0)
-    return found.select("later", F.explode(F.array_distinct("partners")).alias("earlier")).distinct()
+    # One test behind the generator: four in one expression are too long a method for the JVM to compile.
+    met = rows.select("own", F.explode(F.array("p1", "p2", "p3", "p4")).alias("other"))
+    met = met.filter(F.col("other").isNotNull() & _before("other", "own") & _may_match("own", "other"))
+    return met.select(_place("own").alias("later"), _place("other").alias("earlier")).distinct()
 
 
 def _place(side: str) -> Column:
@@ -207,7 +221,7 @@ def asked_pairs(sets: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     # Both sides are one exchange. A test of a's column alone would be moved below it and make it two.
     asks = F.col("a.asks") | (F.col("b.asks") & (F.col("b.n") < 0))
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & _may_match("a", "b", first=True) & asks & _before("b", "a"))
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & _before("b", "a") & _may_match("a", "b", first=True) & asks)
     return met.select(_place("a").alias("later"), _place("b").alias("earlier")).distinct()
 
 
@@ -231,7 +245,7 @@ def matched(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Places (doc_id, line_no) that match the earlier one of a pair, by all their words."""
     pairs = stored(pairs, "line-pairs")
     places = stored(pairs.select("later.*").union(pairs.select("earlier.*")).distinct(), "line-places")
-    words = F.array_sort(F.transform(_words("line"), lambda w: F.xxhash64(w)))
+    words = F.sort_array(_hashes("line"))
     # The words are worked out behind the join, for wanted lines alone.
     wanted = lines.filter(_marks(places)).join(places, [*PLACE], "left_semi").dropDuplicates([*PLACE])
     sets = stored(wanted.select(F.struct(*PLACE).alias("place"), words.alias("s")), "line-words")
@@ -255,8 +269,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines_of(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     sets = stored(line_sets(lines, word_ranks(lines)), "line-sets").filter("n > 0")
     first = stored(matched(leader_pairs(sets), lines), "lines-matched")
-    asking = sets.join(first.withColumn("found", F.lit(True)), [*PLACE], "left").withColumn("asks", F.col("found").isNull())
-    gone = first.union(matched(asked_pairs(stored(asking, "lines-asking")), lines)).withColumn("all_go", F.lit(True))
+    # Only what the bit table does not clear is shuffled to be told from the matched lines.
+    spot = _marks(first)
+    asking = sets.filter(spot).join(first.withColumn("found", F.lit(True)), [*PLACE], "left")
+    asking = asking.withColumn("asks", F.col("found").isNull()).drop("found")
+    asking = sets.filter(~spot).withColumn("asks", F.lit(True)).unionByName(asking)
+    gone = first.union(matched(asked_pairs(asking), lines)).withColumn("all_go", F.lit(True))
     bounds = sets.join(gone, [*PLACE], "left").filter((F.col("copies") > 1) | F.col("all_go"))
     bounds = bounds.select("h1", "h2", F.struct(*PLACE).alias("first"), F.coalesce("all_go", F.lit(False)).alias("all_go"))
     places = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))

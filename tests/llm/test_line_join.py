@@ -139,6 +139,34 @@ def test_both_sides_of_the_join_are_one_exchange(spark, docs):
     assert "SortMergeJoin" in plan and "ReusedExchange" in plan
 
 
+def test_pairs_are_tested_in_compiled_code(spark, docs):
+    """Both tests of pairs are inside generated code, in methods that the JVM compiles (up to 8,000 bytes)."""
+    lines = line_join.lines_of(docs(dense(50)), "doc_id", "text")
+    sets = stored(line_join.line_sets(lines, [0] * (1 << 16)).withColumn("asks", F.lit(True)), "sets")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for pairs, node in ((line_join.leader_pairs(sets), "Generate explode"), (line_join.asked_pairs(sets), "SortMergeJoin")):
+            plan = pairs._jdf.queryExecution().executedPlan()
+            assert re.search(rf"\*\(\d+\) {node}", plan.toString())
+            code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+            assert all(int(size) < 8000 for size in re.findall(r"maxMethodCodeSize:(\d+)", code))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_asking_lines_are_not_stored_again(spark, docs, monkeypatch):
+    """The sets are written once; what asks goes from them to the join, whose sides are one exchange."""
+    names = []
+    monkeypatch.setattr(line_join, "stored", lambda df, name: names.append(name) or stored(df, name))
+    rows = dense(30) + [(100, "read more\nx"), (101, "x\ny")]
+    got = line_join.removed_lines(docs(rows)).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == brute(rows)
+    assert [name for name in names if "asking" in name] == [] and names.count("line-sets") == 1
+
+
 def test_copies_are_one_before_they_are_shuffled(docs):
     """Each line with 200 copies in every one of 4 tasks leaves at most one row a task, below the exchange."""
     lines = line_join.lines_of(docs([(k, "this line is found everywhere") for k in range(800)]).repartition(4), "doc_id", "text")
