@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions.codes import norm_code
 from offerloom.functions.text import blank_to_null
 from offerloom.operators.ranking import with_position
-from offerloom.schemas import DOCUMENT, OFFER, STORE
-from offerloom.session import durable
+from offerloom.schemas import DOCUMENT, OFFER, ORD, STORE
+from offerloom.session import durable, shuffles_dropped, stored
 from offerloom.sources.versions import empty_registry, path_exists
 
 VERSION = "1.0"
@@ -121,24 +123,30 @@ def _code_entry() -> Column:
     )
 
 
-def store_parts(offers: DataFrame, stores: DataFrame, part_offers: int = CHUNK_OFFERS) -> DataFrame:
+def store_parts(
+    offers: DataFrame, stores: DataFrame, part_offers: int = CHUNK_OFFERS, fixed: Callable[[DataFrame], DataFrame] = durable
+) -> DataFrame:
     """Rows (domain, name, category, ord, part, codes): the offers of a store in order, so many in each part.
 
     A store of one part is gathered as it is, in one shuffle. The places of offers in a larger one come from
-    ``with_position``, so it is cut by many tasks and no array grows beyond a part.
+    ``with_position``, so it is cut by many tasks and no array grows beyond a part. Offers are read several times, so they
+    are ``fixed`` first.
     """
-    offers = durable(offers)
+    offers = fixed(offers)
     sizes = offers.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     # At most one row for every part of the registry.
     larger = F.broadcast(sizes.filter(F.col("n") > part_offers).select(F.col("domain").alias("_larger")))
     of_larger = F.col("domain").eqNullSafe(F.col("_larger"))
-    order = ["ord", "norm_code", "dup_no"]
+    places = [F.col(f"ord.{field.name}") for field in ORD]
+    order = [F.col("ord"), F.col("norm_code"), F.col("dup_no")]
     whole = offers.join(larger, of_larger, "left_anti")
-    placed = with_position(offers.join(larger, of_larger, "left_semi"), ["domain"], [F.col(name) for name in order], "_at", "_size")
+    placed = with_position(offers.join(larger, of_larger, "left_semi"), ["domain"], order, "_at", "_size", fixed)
     placed = placed.withColumn("part", F.floor((F.col("_at") - 1) / part_offers).cast("int"))
 
-    def listed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-        codes = F.array_sort(F.collect_list(F.struct(*order, _code_entry().alias("entry"))))
+    def listed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+        # Plain columns come first in what is sorted, as a struct inside costs an ordering of its own in every comparison.
+        at = [value.alias(f"at{i}") for i, value in enumerate(order)]
+        codes = F.sort_array(F.collect_list(F.struct(*at, _code_entry().alias("entry"))))
         # Entries are built behind the shuffle, as they are wider than the rows.
         return rows.repartition(*by).groupBy(*by).agg(codes.alias("codes")).join(stores.select("domain", "name", "category", "ord"), "domain", "left").select(
             "domain",
@@ -149,7 +157,8 @@ def store_parts(offers: DataFrame, stores: DataFrame, part_offers: int = CHUNK_O
             F.transform("codes", lambda row: row["entry"]).alias("codes"),
         )
 
-    return listed(whole, ["domain"], order).unionByName(listed(placed, ["domain", "part"], ["_at"]))
+    in_order = [F.col("ord").isNotNull(), *places, *order[1:]]
+    return listed(whole, ["domain"], in_order).unionByName(listed(placed, ["domain", "part"], [F.col("_at")]))
 
 
 def _meta(asof: Column, total: Column) -> Column:
@@ -169,10 +178,10 @@ _JSON = {"ignoreNullFields": "false"}
 
 
 def document_lines(
-    offers: DataFrame, stores: DataFrame, asof: Column, part_offers: int = CHUNK_OFFERS
+    offers: DataFrame, stores: DataFrame, asof: Column, part_offers: int = CHUNK_OFFERS, fixed: Callable[[DataFrame], DataFrame] = durable
 ) -> DataFrame:
     """One JSON line per part of a store, each a small document of its own that states its places and its part."""
-    parts = store_parts(offers, stores, part_offers)
+    parts = store_parts(offers, stores, part_offers, fixed)
     entry = F.struct("domain", _store_entry().alias("store"))
     return parts.select(
         F.to_json(
@@ -185,12 +194,14 @@ def document_lines(
     )
 
 
-def single_document(offers: DataFrame, stores: DataFrame, asof: Column, part_offers: int = CHUNK_OFFERS) -> DataFrame:
+def single_document(
+    offers: DataFrame, stores: DataFrame, asof: Column, part_offers: int = CHUNK_OFFERS, fixed: Callable[[DataFrame], DataFrame] = durable
+) -> DataFrame:
     """The whole registry as the lines of one JSON document, sorted: a head, the parts of each store, a foot.
 
     Nothing is gathered: the parts of a store follow each other inside its one array.
     """
-    parts = store_parts(offers, stores, part_offers)
+    parts = store_parts(offers, stores, part_offers, fixed)
     of_store = Window.partitionBy("domain")
     parts = parts.withColumn("last", F.max("part").over(of_store))
     ends = parts.agg(
@@ -229,13 +240,27 @@ def _quoted(text: str) -> Column:
 
 
 def export_registry_json(
-    offers: DataFrame, stores: DataFrame, path: str, asof: Column, single: bool = False
+    offers: DataFrame, stores: DataFrame, path: str, asof: Column, single: bool = False, append: bool = False
 ) -> None:
     """Publish the registry: JSON lines by part of a store (gzip), or one document in one file.
 
-    The file of a document is written by one task, line by line as the sorted lines come in.
+    The file of a document is written by one task, line by line as the sorted lines come in. With ``append``, the lines of
+    whole stores join those that are published, so a registry can be published slice by slice (``merge.in_slice``).
+    What is written in between, and its shuffle files, go when the lines are there.
     """
-    if single:
-        single_document(offers, stores, asof).coalesce(1).write.mode("overwrite").text(path)
-    else:
-        document_lines(offers, stores, asof).write.mode("overwrite").option("compression", "gzip").text(path)
+    spark, between = offers.sparkSession, []
+
+    def fixed(rows: DataFrame) -> DataFrame:
+        between.append(stored(rows, "publishing"))
+        return between[-1].rows
+
+    try:
+        with shuffles_dropped(spark):
+            if single:
+                single_document(offers, stores, asof, fixed=fixed).coalesce(1).write.mode("overwrite").text(path)
+            else:
+                lines = document_lines(offers, stores, asof, fixed=fixed)
+                lines.write.mode("append" if append else "overwrite").option("compression", "gzip").text(path)
+    finally:
+        for each in between:
+            each.drop()

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -18,6 +19,8 @@ from offerloom.operators.lifecycle import (
 )
 from offerloom.operators.ranking import with_position
 from offerloom.plans.collect import run_and_store
+from offerloom.queries import common
+from offerloom.queries import registry as samples
 from offerloom.queries.registry import logged_last_runs
 from offerloom.schemas import OFFER, RAW_OFFER, STORE
 from offerloom.session import shared_dir
@@ -323,3 +326,32 @@ def test_dimensions(spark):
 
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def line_items(spark, path):
+    """Line items of 41 stores, early and late ones of the same keys among them."""
+    shape = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+             "l_discount double, l_returnflag string, l_shipdate timestamp_ntz")
+    rows = [
+        (i // 7, i % 31, i % 41, i % 7 + 1, float(i % 50), i * 1.25, (i % 11) / 100, "ANR"[i % 3], datetime(1996 + i % 5, 1, 1 + i % 28))
+        for i in range(4000)
+    ]
+    spark.createDataFrame(rows, shape).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_a_registry_is_published_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Each slice is published on its own, and what it needed in between is gone; the rows are those of one slice."""
+    sf_dir, sizes = line_items(spark, tmp_path), []
+    whole = sorted(map(str, samples.registry_json(spark, sf_dir).collect()))
+    monkeypatch.setattr(common, "SLICE_BYTES", 1)
+    monkeypatch.setattr(common, "SLICES", 2)
+
+    def published(offers, *rest, **options):
+        sizes.append(offers.count())
+        export_registry_json(offers, *rest, **options)
+        assert not [name for name in os.listdir(shared_dir(spark)) if name.startswith("publishing-")]
+
+    monkeypatch.setattr(samples, "export_registry_json", published)
+    assert sorted(map(str, samples.registry_json(spark, sf_dir).collect())) == whole
+    assert len(sizes) == 2 and min(sizes) > 0 and sum(sizes) == len(whole) > 1000
