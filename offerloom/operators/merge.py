@@ -15,14 +15,14 @@ KEY = ["domain", "norm_code"]
 UNKNOWN_SOURCE = "unknown"
 
 
-def in_slice(rows: DataFrame, domain: Column, part: tuple[int, int]) -> DataFrame:
-    """Rows of slice k of n, ``part`` being (k, n): the stores whose hash says so, with all their rows.
+def in_slice(rows: DataFrame, store: Column, part: tuple[int, int]) -> DataFrame:
+    """Rows of slice k of n, ``part`` being (k, n): the stores (a key of theirs) whose hash says so, with all their rows.
 
     Merging slice after slice keeps the shuffle files of one of them on the disk instead of all. A store with a third of
     all rows makes its slice as large.
     """
     number, count = part
-    return rows if count == 1 else rows.filter(F.pmod(F.xxhash64(domain), F.lit(count)) == number)
+    return rows if count == 1 else rows.filter(F.pmod(F.xxhash64(store), F.lit(count)) == number)
 
 
 def keyed_offers(incoming: DataFrame, now: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import functools
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +32,13 @@ from offerloom.operators.lifecycle import (
 )
 from offerloom.operators.merge import (
     first_per_key,
+    in_slice,
     keyed_offers,
     store_upsert_firsts,
     upsert_firsts,
 )
 from offerloom.schemas import RAW_OFFER, RUN
-from offerloom.session import durable, work_path
+from offerloom.session import durable, stored, work_path
 from offerloom.sources.profiles import PAGES, PageProfile
 from offerloom.sources.store_keys import follow_stores
 from offerloom.sources.versions import (
@@ -203,17 +204,36 @@ def upsert_into(
     now: Column,
     stream: tuple[str, int] | None = None,
     keep: int | None = KEEP,
+    slices: int = 1,
 ) -> Manifest:
-    """Merge raw offers into ``version`` and write the next one; only buckets with one of their keys are read and written."""
-    firsts = durable(first_per_key(keyed_offers(incoming, now)))
-    size = version.buckets if version else BUCKETS
-    hit, shops = touched(firsts, "offers", size), touched(firsts, "stores", size)
-    merged = upsert_firsts(read_buckets(spark, base, version, "offers", hit), firsts, now).drop("is_new", "rows")
-    before = read_buckets(spark, base, version, "stores", shops)
-    stores = store_upsert_firsts(before, firsts)
-    added = stores.join(before, "domain", "left_anti")
-    follow_stores(spark, base, read_buckets(spark, base, version, "stores"), added)
-    return write_changes(spark, base, version, (merged, hit), (stores, shops), stream, keep)
+    """Merge raw offers into ``version`` and write the next one; only buckets with one of their keys are read and written.
+
+    With ``slices``, so many parts of the stores are merged one after the other (``merge.in_slice``), so that the disk holds
+    the shuffle files of one of them. The incoming rows and the buckets are then read once for each, so ``incoming`` and
+    ``now`` must come out the same every time.
+    """
+    keyed = keyed_offers(incoming, now)
+    size, held = version.buckets if version else BUCKETS, []
+    try:
+        for number in range(slices):
+            held.append(stored(first_per_key(in_slice(keyed, F.col("domain"), (number, slices))), "firsts"))
+        firsts = functools.reduce(DataFrame.unionByName, (part.rows for part in held))
+        hit, shops = touched(firsts, "offers", size), touched(firsts, "stores", size)
+        known = read_buckets(spark, base, version, "offers", hit)
+        before = read_buckets(spark, base, version, "stores", shops)
+        merged_stores = stored(store_upsert_firsts(before, firsts), "stores")
+        stores, held = merged_stores.rows, [*held, merged_stores]
+
+        def merged() -> Iterator[DataFrame]:
+            for number, part in enumerate(held[:slices]):
+                yield upsert_firsts(in_slice(known, F.col("domain"), (number, slices)), part.rows, now).drop("is_new", "rows")
+                part.drop()
+
+        follow_stores(spark, base, read_buckets(spark, base, version, "stores"), stores.join(before, "domain", "left_anti"))
+        return write_changes(spark, base, version, (merged(), hit), (stores, shops), stream, keep)
+    finally:
+        for part in held:
+            part.drop()
 
 
 def run_and_store(

@@ -17,7 +17,9 @@ from offerloom.operators.lifecycle import (
     reports_with_effect,
     source_summary,
 )
+from offerloom.operators.merge import upsert_firsts
 from offerloom.operators.ranking import with_position
+from offerloom.plans import collect
 from offerloom.plans.collect import run_and_store
 from offerloom.queries import common
 from offerloom.queries import registry as samples
@@ -355,3 +357,15 @@ def test_a_registry_is_published_slice_by_slice(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(samples, "export_registry_json", published)
     assert sorted(map(str, samples.registry_json(spark, sf_dir).collect())) == whole
     assert len(sizes) == 2 and min(sizes) > 0 and sum(sizes) == len(whole) > 1000
+
+
+def test_versions_are_written_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Each version is written in slices of the stores, and what was needed in between is gone; the rows are those of one slice."""
+    sf_dir, parts = line_items(spark, tmp_path), []
+    whole = sorted(map(str, samples.registry_snapshot(spark, sf_dir).collect()))
+    monkeypatch.setattr(common, "SLICE_BYTES", 1)
+    monkeypatch.setattr(common, "SLICES", 2)
+    monkeypatch.setattr(collect, "upsert_firsts", lambda *rows: parts.append(rows[1].count()) or upsert_firsts(*rows))
+    assert sorted(map(str, samples.registry_snapshot(spark, sf_dir).collect())) == whole
+    assert len(parts) == 2 and min(parts) > 0 and len(whole) > 2000
+    assert not [name for name in os.listdir(shared_dir(spark)) if name.startswith(("firsts-", "stores-"))]
